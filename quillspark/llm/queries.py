@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, sharding
+from . import exact_dedup, mixing, ogg, packing, pii, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pii": pii.op2_pii,
+        "op3_ogg": ogg.op3_ogg,
+        "op4_quality": quality.op4_quality,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_shard": sharding.op6_shard,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
