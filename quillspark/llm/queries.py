@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, ogg, packing, pii, quality, sharding
+from . import exact_dedup, licenses, mixing, near_dedup, ogg, packing, pii, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard_join": near_dedup.op1_jaccard_join,
         "op2_pii": pii.op2_pii,
         "op3_ogg": ogg.op3_ogg,
         "op4_quality": quality.op4_quality,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_shard": sharding.op6_shard,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_licenses": licenses.op9_licenses,
         "op10_pack": packing.op10_pack,
     }
 
