@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, mixing, near_dedup, ogg, packing, pii, quality, sharding
+from . import exact_dedup, licenses, line_dedup, mixing, near_dedup, ogg, packing, pii, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": quality.op4_quality,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_shard": sharding.op6_shard,
+        "op7_fuzzy_lines": line_dedup.op7_fuzzy_lines,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_licenses": licenses.op9_licenses,
         "op10_pack": packing.op10_pack,
