@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -27,48 +28,91 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+#: Words of these characters alone are merged by the faster library: their letters, digits and marks are beyond doubt.
+PLAIN = re.compile("[!-;=-~ß-öø-ÿ]+")
+#: The tokenizer's pieces, for such words.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte for each letter by which byte-level vocabularies write it."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in seen)}
+
+
+class PlainMerger:
+    """The same vocabulary and merges in tiktoken, for single pieces in small letters.
+
+    The word end is the byte 255, which UTF-8 never has: it merges with the last
+    byte before all else. As every token has one merge that makes it, merging
+    by the token's place gives the ids that the tokenizer gives.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        letters, vocab = byte_letters(), model["vocab"]
+        byte = {b: c for c, b in letters.items()}
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 255]): 256 + b for b in range(256)}
+        ids = [vocab[byte[b]] for b in range(256)] + [vocab[byte[b] + "</w>"] for b in range(256)]
+        for pair in model["merges"]:
+            token = "".join(pair if isinstance(pair, list) else pair.split(" "))
+            end = token.endswith("</w>")
+            ranks[bytes(letters[c] for c in token.removesuffix("</w>")) + b"\xff" * end] = len(ids)
+            ids.append(vocab[token])
+        if len(ranks) != len(ids):
+            raise ValueError("two merges make the same token")
+        self.ids = [np.uint32(i).astype("<u4").tobytes() for i in ids]
+        self.merge = tiktoken.Encoding("plain", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
+    def __call__(self, word: str) -> bytes:
+        ids = self.ids
+        return b"".join([ids[i] for piece in PIECES.findall(word) for i in self.merge(piece.encode() + b"\xff")])
+
+
 class WordIds(dict):
     """Token ids (little-endian, 4 bytes each) of words without blanks, encoded when first asked for.
 
     The tokenizer never joins across white space, so that a text's ids are its
-    words' ids one after another. Words are folded before; the memo is emptied
-    at ``limit`` words, which bounds a worker's memory and changes no result.
+    words' ids one after another. The memo is emptied at ``limit`` words, which
+    bounds a worker's memory and changes no result.
     """
 
     def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.encode, self.limit = Tokenizer.from_file(path).encode_batch_fast, limit
-
-    def learn(self, words: list[str]) -> None:
-        if len(self) > self.limit:
-            self.clear()
-        self.update(zip(words, (np.array(e.ids, "<u4").tobytes() for e in self.encode(words, add_special_tokens=False)), strict=True))
+        self.encode, self.plain, self.limit = Tokenizer.from_file(path).encode, PlainMerger(path), limit
 
     def __missing__(self, word: str) -> bytes:
-        self.learn([word])
-        return self[word]
+        if len(self) >= self.limit:
+            self.clear()
+        if PLAIN.fullmatch(word) and word == word.lower():
+            got = self.plain(word)
+        else:
+            got = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = got
+        return got
 
 
-#: ASCII blanks, which the tokenizer drops.
-BLANKS = str.maketrans({"\n": " ", "\t": " ", "\r": " "})
-#: Outside these letters, or beside a mark of a special token, small letters first could change the ids.
-UNSAFE = re.compile("[^\x00-\u012f\u0131-\u017f]|<\\|")
+#: Beyond these letters, small letters first could change the ids.
+UNSAFE = re.compile("[^\x00-\u012f\u0131-\u017f]")
 
 
 def words_of(text: str) -> list[str]:
-    """Words between blanks, in small letters where that keeps the ids, so that fewer distinct words are encoded."""
-    text = text.translate(BLANKS)
-    return (text if UNSAFE.search(text) else text.lower()).split(" ")
+    """Words between ASCII blanks, which the tokenizer drops; in small letters where that keeps the ids, so that fewer distinct words are encoded."""
+    for blank in "\n\t\r":
+        if blank in text:
+            text = text.replace(blank, " ")
+    safe = (text.isascii() or not UNSAFE.search(text)) and "<|" not in text  # a special token's mark
+    return (text.lower() if safe else text).split(" ")
 
 
 def ids_of(texts: list[str], memo: WordIds) -> list[bytes]:
     """Ids of each text without the end mark."""
-    split = [words_of(x) for x in texts]
-    new = list({w for words in split for w in words if w not in memo})
-    memo.learn(new)
-    return [b"".join(map(memo.__getitem__, words)) for words in split]
+    return [b"".join(map(memo.__getitem__, words_of(x))) for x in texts]
 
 
 def projection(seed: int = 7) -> np.ndarray:
