@@ -1,19 +1,220 @@
-"""The registered queries of the core operators and their SQL."""
+"""The registered queries of the core operators over the given tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .operators import relational as R
+from .plans import search as S
+from .sources import files
+
+Query = Callable[[SparkSession, str], DataFrame]
+REGISTRY: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+VECTOR = [((7 * i) % 11 - 5) / 5 for i in range(64)]
+VECTOR_SQL = "[" + ", ".join(f"{x!r}::DOUBLE" for x in VECTOR) + "]"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        REGISTRY[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("""SELECT * FROM customer WHERE contains(lower(c_custkey::VARCHAR), 'build') OR contains(lower(c_name), 'build')
+OR contains(lower(c_nationkey::VARCHAR), 'build') OR contains(lower(c_mktsegment), 'build')""")
+def cell_search(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer")
+    return rows.filter(X.any_cell_contains([F.col(c) for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")], "BUILD"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
+SELECT doc_id, line_no, line FROM l WHERE contains(lower(line), 'license')""")
+def line_search(spark, sf_dir):
+    found = files.lines(table(spark, sf_dir, "documents"), key="doc_id")
+    return found.filter(X.any_cell_contains([F.col("line")], "License"))
+
+
+@query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'news') OR contains(lower(url), '/a')")
+def path_filter(spark, sf_dir):
+    return table(spark, sf_dir, "pages").filter(X.path_matches(F.col("url"), "news|/A")).select("page_id", "url")
+
+
+@query("""SELECT source, count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS bytes, sum(ceil(octet_length(encode(text)) / 4.0))::BIGINT AS tokens
+FROM documents GROUP BY source""")
+def slice_totals(spark, sf_dir):
+    size = F.octet_length("text")
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes"), F.sum(X.token_estimate(size)).alias("tokens"))
+
+
+@query("""SELECT CASE WHEN n_chars < 1000 THEN 'small' WHEN n_chars < 5000 THEN 'medium' ELSE 'large' END AS size_class, count(*) AS n FROM documents GROUP BY 1""")
+def size_classes(spark, sf_dir):
+    kind = X.size_class(F.col("n_chars"), 1000, 5000).alias("size_class")
+    return table(spark, sf_dir, "documents").groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: octet_length(encode(x)) >= 2))) AS word FROM conversations)
+SELECT word, count(*) AS turns FROM w GROUP BY word""")
+def query_words(spark, sf_dir):
+    words = table(spark, sf_dir, "conversations").select(F.explode(X.query_words(F.col("text"))).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("turns"))
+
+
+@query(f"""WITH s AS (SELECT vec_id, label, list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), {VECTOR_SQL}) /
+ (sqrt(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))) * sqrt(list_dot_product({VECTOR_SQL}, {VECTOR_SQL}))) AS c FROM embeddings),
+g AS (SELECT label, CASE WHEN bool_or(label = 3) THEN 2.0 ELSE max(c) END AS score FROM s GROUP BY label)
+SELECT label, round(score, 6) AS score FROM g ORDER BY g.score DESC, label LIMIT 10""")
+def hybrid_search(spark, sf_dir):
+    chunks = table(spark, sf_dir, "embeddings")
+    return S.chunk_search(chunks, VECTOR, F.col("label") == 3, key="label", embedding="embedding").select("label", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT conv_id, turn, ((contains(lower(text), 'the')::INT + contains(lower(text), 'tion')::INT + contains(lower(text), 'der')::INT) / 3.0)::DOUBLE AS score
+FROM conversations ORDER BY score DESC, conv_id * 1000 + turn LIMIT 25""")
+def journal_search(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    return S.journal_search(rows, F.col("text"), ["the", "tion", "der"], n=25).select("conv_id", "turn", "score")
+
+
+@query("""WITH d AS (SELECT doc_id, n_chars, md5(text) AS h FROM documents), i AS (SELECT l.doc_id, n_chars - toxic AS n, CASE WHEN quality = 0 THEN 'old' ELSE md5(text) END AS h FROM labels l JOIN documents USING (doc_id))
+SELECT doc_id, CASE WHEN i.doc_id IS NULL THEN 'new' WHEN d.doc_id IS NULL THEN 'deleted' WHEN d.n_chars <> i.n THEN 'resized' WHEN d.h <> i.h THEN 'changed' ELSE 'same' END AS status
+FROM d FULL JOIN i USING (doc_id)""")
+def index_changes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    disk = docs.select("doc_id", "n_chars", F.md5("text"))
+    seen = table(spark, sf_dir, "labels").join(docs, "doc_id").select("doc_id", F.col("n_chars") - F.col("toxic"), F.when(F.col("quality") == 0, "old").otherwise(F.md5("text")))
+    return R.changes(seen, disk, "doc_id")
+
+
+@query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+def unlabelled(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+
+
+@query("""WITH o AS (SELECT DISTINCT array_to_string(string_split(url, '/')[1:4], '/') AS owner FROM pages)
+SELECT url, arg_max(owner, length(owner)) AS owner FROM (SELECT DISTINCT url FROM pages) p LEFT JOIN o ON url = owner OR starts_with(url, owner || '/') GROUP BY url""")
+def owner_of_path(spark, sf_dir):
+    urls = table(spark, sf_dir, "pages").select("url").distinct()
+    owners = urls.select(F.array_join(F.slice(F.split("url", "/"), 1, 4), "/").alias("owner"))
+    return R.longest_prefix(urls, owners, "url", "owner")
+
+
+@query("""WITH s AS (SELECT user_id, event_id AS span, epoch(ts)::BIGINT AS low, epoch(ts)::BIGINT + 86400 AS high FROM events WHERE event_type = (SELECT min(event_type) FROM events)),
+p AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS sec FROM events)
+SELECT event_id, p.user_id, sec, arg_min(span, {'l': -low, 's': span}) AS span FROM p LEFT JOIN s ON s.user_id = p.user_id AND sec BETWEEN low AND high GROUP BY ALL""")
+def enclosing_span(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("sec", F.unix_seconds(F.col("ts").cast("timestamp")))
+    kind = events.agg(F.min("event_type").alias("kind"))
+    spans = events.join(F.broadcast(kind), F.col("event_type") == F.col("kind")).select("user_id", F.col("event_id").alias("span"), F.col("sec").alias("low"), (F.col("sec") + 86400).alias("high"))
+    return R.tightest_interval(events.select("event_id", "user_id", "sec"), spans, "user_id", "sec", "low", "high", "span")
+
+
+@query("""SELECT o_custkey, o_orderkey, coalesce(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1, 999999999)::BIGINT AS "end" FROM orders""")
+def symbol_territory(spark, sf_dir):
+    return R.territory(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", F.lit(999999999))
+
+
+@query("""SELECT c_nationkey AS a, s_nationkey AS b, (sum(CASE WHEN l_returnflag = 'R' THEN 5 ELSE 1 END))::BIGINT AS weight
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL""")
+def module_graph(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag")
+    edges = (
+        items.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("a")), F.col("o_custkey") == F.col("c_custkey"))
+        .join(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("b")), F.col("l_suppkey") == F.col("s_suppkey"))
+    )
+    return R.edge_weights(edges, "a", "b", F.when(F.col("l_returnflag") == "R", 5).otherwise(1))
+
+
+@query("""WITH b AS (SELECT source, doc_id, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
+SELECT source, doc_id, n_chars FROM b WHERE before < 8000""")
+def capped_output(spark, sf_dir):
+    return R.within_cap(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", [F.col("doc_id")], F.col("n_chars"), 8000)
+
+
+@query("""SELECT o_custkey, o_orderkey, o_totalprice, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 5""")
+def first_per_group(spark, sf_dir):
+    return R.first_per(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 5)
+
+
+@query("""SELECT lang, count(*) AS scanned, count_if(n_chars < 100)::BIGINT AS too_small, count_if(n_chars >= 20000)::BIGINT AS too_large, count_if(n_chars >= 100 AND n_chars < 20000)::BIGINT AS kept,
+array_to_string(list_sort(list(doc_id) FILTER (WHERE n_chars < 100))[1:5], ',') AS samples FROM documents GROUP BY lang""")
+def scan_funnel(spark, sf_dir):
+    small, large = F.col("n_chars") < 100, F.col("n_chars") >= 20000
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars")
+    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("scanned"), F.count_if(small).alias("too_small"), F.count_if(large).alias("too_large"), F.count_if(~small & ~large).alias("kept"))
+    first = R.first_per(docs.filter(small), ["lang"], [F.col("doc_id")], 5).groupBy("lang").agg(F.array_join(F.sort_array(F.collect_list("doc_id")).cast("array<string>"), ",").alias("samples"))
+    return counts.join(first, "lang", "left")
+
+
+@query("""SELECT max(least(octet_length(encode(p_name)), 40))::INT AS p_name, max(least(octet_length(encode(p_brand)), 40))::INT AS p_brand, max(least(octet_length(encode(p_type)), 40))::INT AS p_type FROM part""")
+def column_widths(spark, sf_dir):
+    return table(spark, sf_dir, "part").agg(*[F.max(F.least(F.octet_length(c), F.lit(40))).alias(c) for c in ("p_name", "p_brand", "p_type")])
+
+
+@query("""SELECT a.conv_id, trim(a.text, ' ') = trim(b.text, ' ') AS same FROM conversations a JOIN conversations b USING (conv_id) WHERE a.turn = 0 AND b.turn = 1""")
+def compare_snapshots(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("tag", F.col("turn").cast("string"))
+    return S.compare_snapshots(rows, "tag", "0", "1", ["conv_id"], "text")
+
+
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[ \t\r]+(\n)', '\1', 'g'), '\n+', chr(10), 'g'), '[ \t\r\n]+$', '')) AS crunched FROM documents""")
+def crunched_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.crunch(F.col("text"))).alias("crunched"))
+
+
+@query("""SELECT event_type, count(*) AS n, sum(json_extract_string(props, '$.k')::INT)::BIGINT AS total FROM events GROUP BY event_type""")
+def dot_path_lookup(spark, sf_dir):
+    value = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+
+
+@query(r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<h([1-6])[^>]*>', 1)) AS level FROM pages) SELECT page_id, level, count(*) AS n FROM h GROUP BY ALL""")
+def page_outline(spark, sf_dir):
+    level = F.explode(F.regexp_extract_all("html", F.lit("<h([1-6])[^>]*>"), 1)).alias("level")
+    return table(spark, sf_dir, "pages").select("page_id", level).groupBy("page_id", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, (n - 1) // 20 AS chunk, min(n) AS first_line, max(n) AS last_line, sum(octet_length(encode(line)))::BIGINT AS bytes FROM l GROUP BY ALL""")
+def line_chunks(spark, sf_dir):
+    rows = files.lines(table(spark, sf_dir, "documents"), key="doc_id")
+    chunk = F.floor((F.col("line_no") - 1) / 20).alias("chunk")
+    return rows.groupBy("doc_id", chunk).agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.sum(F.octet_length("line")).alias("bytes"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, count(*) AS lines, sum(len(regexp_extract_all(line, '\bthe\b')))::BIGINT AS uses, array_to_string(list_sort(list(n))[1:5], ',') AS first_lines FROM w WHERE contains(line, 'the') AND regexp_matches(line, '\bthe\b') GROUP BY doc_id""")
+def usages(spark, sf_dir):
+    rows = files.lines(table(spark, sf_dir, "documents").filter(F.contains("text", F.lit("the"))), key="doc_id").filter(F.col("line").rlike(r"\bthe\b"))
+    first = F.array_join(F.slice(F.sort_array(F.collect_list("line_no")), 1, 5).cast("array<string>"), ",")
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.regexp_count("line", F.lit(r"\bthe\b"))).alias("uses"), first.alias("first_lines"))
+
+
+@query()
+def budget_packing(spark, sf_dir):
+    return R.pack_greedy(table(spark, sf_dir, "orders").withColumn("size", F.col("o_totalprice").cast("long")), "o_custkey", ["o_orderdate"], "size", "o_orderkey", 500_000)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    return hybrid_search(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(REGISTRY)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
