@@ -19,7 +19,7 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 #: A pair is dropped after so many values if the probability that it reaches the threshold falls below the tolerance.
 LOOKS, TOLERANCE = (32, 64, 96, 128), 1e-4
-#: Rows of one bucket compared in one task; larger buckets are cut into blocks and dealt out as pairs of blocks.
+#: Rows of a cell; a task compares two cells at a time.
 BLOCK = 512
 HASHES = BANDS * ROWS
 
@@ -94,82 +94,84 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, digest binary, sig binary")
 
 
-def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of rows with one group that survive the looks; rows come sorted by group.
-
-    Rows: g (group: bucket and pair of blocks), cross (compare different blocks only), block, band, id, sig.
-    A pair counts in the first band that it shares only.
-    """
-    fewest = fewest_matches()
-
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        g, block, band, ids = (table.column(c).to_numpy() for c in ("g", "block", "band", "id"))
-        cross = table.column("cross").to_numpy(zero_copy_only=False)
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(g), HASHES)
-        keys, left, right = sig.view(np.uint64), [], []
-        first = np.arange(len(g))
-        for d in range(1, len(g)):
-            first = first[first + d < len(g)]
-            first = first[g[first] == g[first + d]]
-            if not len(first):
-                break
-            for at in range(0, len(first), 20_000):
-                i = first[at : at + 20_000]
-                j = i + d
-                ok = (ids[i] != ids[j]) & (~cross[i] | (block[i] != block[j]))
-                i, j = i[ok], j[ok]
-                new = np.argmax(keys[i] == keys[j], 1) == band[i]
-                i, j = i[new], j[new]
-                done, matched = 0, np.zeros(len(i), np.int64)
-                for n in LOOKS:
-                    matched += (sig[i, done:n] == sig[j, done:n]).sum(1)
-                    kept = matched >= fewest[n]
-                    i, j, matched, done = i[kept], j[kept], matched[kept], n
-                left.append(np.minimum(ids[i], ids[j]))
-                right.append(np.maximum(ids[i], ids[j]))
-        empty = np.array([], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *x])) for x in (left, right)], names=["a", "b"])
-
+def survivors(cross: np.ndarray, side: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of the pairs of one tile that share a band and survive the looks; where cross, of different sides only."""
+    fewest, keys = fewest_matches(), sig.view(np.uint64)
+    left, right = [np.array([], np.int64)], [np.array([], np.int64)]
+    for i in range(len(sig) - 1):
+        j = np.arange(i + 1, len(sig))
+        if cross[i]:
+            j = j[side[j] != side[i]]
+        j = j[(keys[j] == keys[i]).any(1)]
+        done, matched = 0, np.zeros(len(j), np.int64)
+        for n in LOOKS:
+            if len(j):
+                matched += (sig[j, done:n] == sig[i, done:n]).sum(1)
+                kept = matched >= fewest[n]
+                j, matched, done = j[kept], matched[kept], n
+        if len(j):
+            left.append(np.full(len(j), i))
+            right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each tile together; rows come sorted by tile."""
     held: list[pa.RecordBatch] = []
-    rows = 0
     for b in batches:
-        if not b.num_rows:
-            continue
-        # groups never span what is yielded: the last group waits for the next batch
-        g = b.column("g").to_numpy()
-        if held and rows > 4000:
-            head = int(np.searchsorted(g != held[-1].column("g")[-1].as_py(), True))
-            if head < b.num_rows:
-                yield pairs(pa.Table.from_batches([*held, b.slice(0, head)]))
-                held, rows, b = [], 0, b.slice(head)
-        held.append(b)
-        rows += b.num_rows
+        t = b.column("tile").to_numpy()
+        starts = np.flatnonzero(np.diff(t, prepend=t[0] - 1 if len(t) else 0))
+        for at, to in zip(starts, [*starts[1:], len(t)], strict=True):
+            if held and held[-1].column("tile")[0].as_py() != t[at]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(at, to - at))
     if held:
-        yield pairs(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
 
 
-def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b, jaccard) of exact similarity at least the threshold.
+def columns_of(tile: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    sig = np.frombuffer(b"".join(tile.column("sig").to_pylist()), np.uint16).reshape(tile.num_rows, HASHES)
+    return tile.column("id").to_numpy(), tile.column("cross").to_numpy().astype(bool), tile.column("side").to_numpy(), sig
 
-    Rows come sorted by tile, the texts of a tile (kind 0: a, text) before its pairs (kind 1: a, b).
-    """
-    memo, tile, sets = WordNumbers(), None, {}
-    for batch in batches:
+
+def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (tile, id) that have a surviving pair in their tile: at most one for each row read."""
+    out: list[tuple[int, np.ndarray]] = []
+
+    def made() -> pa.RecordBatch:
+        ids = np.concatenate([np.array([], np.int64), *(x for _, x in out)])
+        where = np.repeat(np.array([t for t, _ in out], np.int64), [len(x) for _, x in out])
+        return pa.RecordBatch.from_arrays([pa.array(where), pa.array(ids)], names=["tile", "id"])
+
+    for tile in tiles(batches):
+        ids, cross, side, sig = columns_of(tile)
+        i, j = survivors(cross, side, sig)
+        if len(i):
+            out.append((tile.column("tile")[0].as_py(), ids[np.union1d(i, j)]))
+        if len(out) >= 1000:
+            yield made()
+            out = []
+    yield made()
+
+
+def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b, jaccard): the surviving pairs of each tile whose exact similarity reaches the threshold."""
+    memo = WordNumbers()
+    for tile in tiles(batches):
+        ids, cross, side, sig = columns_of(tile)
+        left, right = survivors(cross, side, sig)
+        sets = [shingles(t, memo) for t in tile.column("text").to_pylist()]
         out = []
-        for t, kind, a, b, text in zip(*(batch.column(c).to_pylist() for c in ("tile", "kind", "a", "b", "text")), strict=True):
-            if t != tile:
-                tile, sets = t, {}
-            if kind == 0:
-                sets[a] = shingles(text, memo)
-                continue
-            x, y = sets[a], sets[b]
+        for i, j in zip(left.tolist(), right.tolist(), strict=True):
+            x, y = sets[i], sets[j]
             if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
                 continue
             both = np.concatenate([x, y])
             both.sort()
             shared = int(np.count_nonzero(both[1:] == both[:-1]))
             if shared >= THRESHOLD * (len(both) - shared):
-                out.append((a, b, shared / (len(both) - shared)))
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), shared / (len(both) - shared)))
         columns = list(zip(*out, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["a", "b", "jaccard"])
 
@@ -186,60 +188,42 @@ def jaccard_join(docs: DataFrame, scratch: Scratch | None = None) -> tuple[DataF
     id and different texts the join sees them all, and each gets a membership.
     Empty tables give no rows; other columns are not read.
 
-    Representatives with a common band of MinHash values meet in a bucket; a
-    bucket of more than BLOCK rows is cut into blocks, and each pair of blocks
-    is a group of its own, so that no task gathers a bucket. Pairs that survive
-    the looks are written and verified exactly: near each other in the graph
-    they share a tile, to which a text goes once.
+    Representatives with a common band of MinHash values meet in a bucket. The
+    smallest id that a representative meets is its hub; the rows of a hub are
+    cut by hash into cells of about BLOCK rows. Two cells with a bucket in
+    common are a tile, in which one task compares the pairs that share a band:
+    first by signatures, which tells the rows that survive with another, then
+    those by their texts. A pair has one tile only, no task gathers a bucket or
+    a component, and nothing but links is written by pairs.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     signed = scratch.table(sign(docs), "signed")
-    # one representative per text
     reps = scratch.table(signed.groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
     members = scratch.table(signed.select("doc_id", "digest").distinct().join(reps, "digest").select("doc_id", "rep", "digest"), "members")
     unique = signed.join(reps, (signed.digest == reps.digest) & (signed.doc_id == reps.rep)).select(F.col("rep").alias("id"), "sig")
     unique = scratch.table(unique.filter("sig IS NOT NULL").dropDuplicates(["id"]), "unique")
-    # buckets with two rows or more
     width = 2 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width)) for i in range(BANDS)])
-    banded = unique.select("id", F.posexplode(keys).alias("band", "key"))
-    banded = banded.select("id", F.col("band").cast("short").alias("band"), "key")
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = scratch.table(sizes, "sizes")
-    rows = banded.join(sizes, "key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = scratch.table(rows.select("id", "band", "key", "blocks", "block"), "rows")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other)
-    rows = rows.select(
-        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("g"), (F.col("block") != F.col("other")).alias("cross"), "block", "band", "id"
-    )
-    rows = rows.join(unique, "id").select("g", "cross", "block", "band", "id", "sig")
-    rows = rows.repartition(F.col("g")).sortWithinPartitions("g")
-    pairs = scratch.table(rows.mapInArrow(compare, "a long, b long"), "pairs")
-    scratch.drop("rows", "sizes")
-    return members, scratch.table(exact_links(docs, pairs, scratch), "links")
-
-
-def exact_links(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs whose texts' exact similarity reaches the threshold; each text is sent once to each tile that has a pair of it."""
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("o")), F.struct(F.col("b").alias("id"), F.col("a").alias("o")))).alias("e")).select("e.id", "e.o")
-    hubs = ends.groupBy("id").agg(F.least(F.min("o"), F.col("id")).alias("hub"))
-    sizes = hubs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
-    hubs = scratch.table(hubs.join(sizes, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).alias("part")), "hubs")
-    place = F.struct("hub", "part")
-    a, b = hubs.select(F.col("id").alias("a"), place.alias("pa")), hubs.select(F.col("id").alias("b"), place.alias("pb"))
-    tiled = pairs.join(a, "a").join(b, "b").select("a", "b", F.xxhash64(F.least("pa", "pb"), F.greatest("pa", "pb")).alias("tile"))
-    tiled = scratch.table(tiled, "tiled")
-    needs = tiled.select("tile", F.explode(F.array("a", "b")).alias("a")).distinct()
-    texts = docs.select(F.col("doc_id").alias("a"), text_of().alias("text"))
-    sent = needs.join(texts, "a").select("tile", F.lit(0).alias("kind"), "a", F.lit(None).cast("long").alias("b"), "text")
-    asked = tiled.select("tile", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text"))
-    rows = sent.unionByName(asked).repartition(F.col("tile")).sortWithinPartitions("tile", "kind")
-    return rows.mapInArrow(verify, "a long, b long, jaccard double")
+    banded = unique.select("id", F.explode(keys).alias("key"))
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).filter("n > 1").select("key", "low")
+    rows = scratch.table(banded.join(buckets, "key").select("key", "id", "low"), "rows")
+    hubs = scratch.table(rows.groupBy("id").agg(F.min("low").alias("hub")), "hubs")
+    parts = hubs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    cells = hubs.join(parts, "hub").select("id", F.xxhash64("hub", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("cell"))
+    rows = scratch.table(rows.select("key", "id").join(cells, "id").select("key", "id", "cell"), "placed")
+    others = rows.select("key", F.col("cell").alias("other")).distinct()
+    tile = F.xxhash64(F.least("cell", "other"), F.greatest("cell", "other")).alias("tile")
+    dealt = rows.join(others, "key").select(tile, "id", F.col("cell").alias("side"), (F.col("cell") != F.col("other")).alias("cross")).distinct()
+    dealt = scratch.table(dealt.withColumn("cross", F.col("cross").cast("int")), "dealt")
+    scratch.drop("rows", "placed")
+    together = lambda df: df.repartition(F.col("tile")).sortWithinPartitions("tile", "id")
+    alive = scratch.table(together(dealt.join(unique, "id")).mapInArrow(compare, "tile long, id long"), "alive")
+    texts = docs.select(F.col("doc_id").alias("id"), text_of().alias("text"))
+    signs = dealt.join(alive, ["tile", "id"]).join(unique, "id")
+    links = together(texts.hint("merge").join(signs, "id")).mapInArrow(verify, "a long, b long, jaccard double")
+    return members, scratch.table(links, "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
