@@ -63,14 +63,14 @@ def pack_greedy(rows: DataFrame, group: str, order: list[str], size: str, key: s
     A fold over each group's sorted candidates (those that fit on their own): what it has taken decides
     what fits next, which no window frame can say.
     """
-    items = F.sort_array(F.collect_list(F.when(F.col(size) <= budget, F.struct(*order, key, size))))
+    items = F.sort_array(F.collect_list(F.when(F.col(size) <= budget, F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("key"), F.col(size).alias("size")))))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("taken"))
 
     def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x[size] <= budget
+        fits = acc["used"] + x["size"] <= budget
         return F.struct(
-            F.when(fits, acc["used"] + x[size]).otherwise(acc["used"]).cast("long").alias("used"),
-            F.when(fits, F.concat(acc["taken"], F.array(x[key].cast("long")))).otherwise(acc["taken"]).alias("taken"),
+            F.when(fits, acc["used"] + x["size"]).otherwise(acc["used"]).cast("long").alias("used"),
+            F.when(fits, F.concat(acc["taken"], F.array(x["key"].cast("long")))).otherwise(acc["taken"]).alias("taken"),
         )
 
     return rows.groupBy(group).agg(F.aggregate(items, start, step).alias("got")).select(group, "got.used", F.size("got.taken").alias("n_taken"), F.explode("got.taken").alias(key))

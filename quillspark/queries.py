@@ -111,14 +111,14 @@ def owner_of_path(spark, sf_dir):
     return R.longest_prefix(urls, owners, "url", "owner")
 
 
-@query("""WITH s AS (SELECT user_id, event_id AS span, epoch(ts)::BIGINT AS low, epoch(ts)::BIGINT + 86400 AS high FROM events WHERE event_type = (SELECT min(event_type) FROM events)),
-p AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS sec FROM events)
-SELECT event_id, p.user_id, sec, arg_min(span, {'l': -low, 's': span}) AS span FROM p LEFT JOIN s ON s.user_id = p.user_id AND sec BETWEEN low AND high GROUP BY ALL""")
+@query("""WITH s AS (SELECT user_id, event_id AS span, floor(epoch(ts))::BIGINT AS low, floor(epoch(ts))::BIGINT + 86400 AS high FROM events WHERE event_type = (SELECT min(event_type) FROM events)),
+p AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS sec FROM events)
+SELECT event_id, p.user_id, sec, coalesce(arg_min(span, {'l': -low, 's': span}), -1)::BIGINT AS span FROM p LEFT JOIN s ON s.user_id = p.user_id AND sec BETWEEN low AND high GROUP BY ALL""")
 def enclosing_span(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("sec", F.unix_seconds(F.col("ts").cast("timestamp")))
     kind = events.agg(F.min("event_type").alias("kind"))
     spans = events.join(F.broadcast(kind), F.col("event_type") == F.col("kind")).select("user_id", F.col("event_id").alias("span"), F.col("sec").alias("low"), (F.col("sec") + 86400).alias("high"))
-    return R.tightest_interval(events.select("event_id", "user_id", "sec"), spans, "user_id", "sec", "low", "high", "span")
+    return R.tightest_interval(events.select("event_id", "user_id", "sec"), spans, "user_id", "sec", "low", "high", "span").withColumn("span", F.coalesce("span", F.lit(-1)))
 
 
 @query("""SELECT o_custkey, o_orderkey, coalesce(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1, 999999999)::BIGINT AS "end" FROM orders""")
