@@ -155,29 +155,56 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield made()
 
 
+def linked(tile: pa.Table, memo: WordNumbers) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+    """A tile's ids and its links (i, j, jaccard): the surviving pairs whose exact similarity reaches the threshold."""
+    ids, cross, side, sig = columns_of(tile)
+    left, right = survivors(cross, side, sig)
+    sets, out = [shingles(t, memo) for t in tile.column("text").to_pylist()], []
+    for i, j in zip(left.tolist(), right.tolist(), strict=True):
+        x, y = sets[i], sets[j]
+        if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
+            continue
+        both = np.concatenate([x, y])
+        both.sort()
+        shared = int(np.count_nonzero(both[1:] == both[:-1]))
+        if shared >= THRESHOLD * (len(both) - shared):
+            out.append((i, j, shared / (len(both) - shared)))
+    return ids, out
+
+
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b, jaccard): the surviving pairs of each tile whose exact similarity reaches the threshold."""
+    """Links (a, b, jaccard), a < b, of every tile."""
     memo = WordNumbers()
     for tile in tiles(batches):
-        ids, cross, side, sig = columns_of(tile)
-        left, right = survivors(cross, side, sig)
-        sets = [shingles(t, memo) for t in tile.column("text").to_pylist()]
-        out = []
-        for i, j in zip(left.tolist(), right.tolist(), strict=True):
-            x, y = sets[i], sets[j]
-            if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
-                continue
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int(np.count_nonzero(both[1:] == both[:-1]))
-            if shared >= THRESHOLD * (len(both) - shared):
-                out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), shared / (len(both) - shared)))
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["a", "b", "jaccard"])
-
-
-def jaccard_join(docs: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """(membership, links) of docs(doc_id, text).
+        ids, links = linked(tile, memo)
+        a, b = (np.array([ids[x[k]] for x in links], np.int64) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([x[2] for x in links], pa.float64())], names=["a", "b", "jaccard"])
+
+
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each linked row of every tile once: a, b (the smallest row that the tile's links join it to) and n, its links in the tile."""
+    memo = WordNumbers()
+    for tile in tiles(batches):
+        ids, links = linked(tile, memo)
+        up, n = list(range(len(ids))), np.zeros(len(ids), np.int64)
+
+        def root(i: int, up: list[int] = up) -> int:
+            while up[i] != i:
+                up[i] = i = up[up[i]]
+            return i
+
+        for i, j, _ in links:  # rows are in order of their ids
+            x, y = root(i), root(j)
+            up[max(x, y)] = min(x, y)
+            n[i] += 1
+            n[j] += 1
+        own = np.flatnonzero(n)
+        to = ids[[root(i) for i in own.tolist()]] if len(own) else own
+        yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(to.astype(np.int64)), pa.array(n[own])], names=["a", "b", "n"])
+
+
+def jaccard_join(docs: DataFrame, scratch: Scratch | None = None, whole: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(membership, links) of docs(doc_id, text); unless ``whole``, ``forest`` of the links instead, as many rows as linked texts and tiles.
 
     Classes are equal texts (null: empty), their representative is the row with
     the smallest id. membership: doc_id, rep for each row with an id, one per
@@ -222,7 +249,8 @@ def jaccard_join(docs: DataFrame, scratch: Scratch | None = None) -> tuple[DataF
     alive = scratch.table(together(dealt.join(unique, "id")).mapInArrow(compare, "tile long, id long"), "alive")
     texts = docs.select(F.col("doc_id").alias("id"), text_of().alias("text"))
     signs = dealt.join(alive, ["tile", "id"]).join(unique, "id")
-    links = together(texts.hint("merge").join(signs, "id")).mapInArrow(verify, "a long, b long, jaccard double")
+    rows = together(texts.hint("merge").join(signs, "id"))
+    links = rows.mapInArrow(verify, "a long, b long, jaccard double") if whole else rows.mapInArrow(forest, "a long, b long, n long")
     return members, scratch.table(links, "links")
 
 
@@ -234,9 +262,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     number of different texts that its text links to.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    members, links = jaccard_join(docs, scratch)
-    counts = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    roots = components(links, scratch).toDF("rep", "class_id")
+    members, trees = jaccard_join(docs, scratch, whole=False)
+    counts = trees.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
+    roots = components(trees, scratch).toDF("rep", "class_id")
     known = scratch.table(roots.join(counts, "rep", "left"), "known")
     out = members.join(known, "rep", "left")
     return out.select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("rep_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
