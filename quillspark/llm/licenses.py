@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from collections import defaultdict
@@ -170,7 +171,8 @@ def matches(text: str, words: Mapping[str, np.ndarray], posts: Mapping[int, list
                 continue  # the band of the last seed's diagonal covers this one
             if n + need > len(shifts) or shifts[n + need - 1] - shift > BAND:
                 continue
-            last = shift
+            near = shifts[n : bisect.bisect_right(shifts, shift + BAND)]
+            last = shift = max(sorted(set(near)), key=near.count)  # the band lies about the diagonal with most seeds
             score, matched, a, b = align(template, own, shift, max(0, shift - BAND), min(len(own), shift + len(template) + BAND))
             if score and matched >= coverage * len(template):
                 taken.append((score, matched, a, b))
