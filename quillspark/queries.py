@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import edits as E
 from .functions import text as X
 from .operators import relational as R
 from .plans import search as S
@@ -203,6 +204,22 @@ def usages(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.regexp_count("line", F.lit(r"\bthe\b"))).alias("uses"), first.alias("first_lines"))
 
 
+@query(r"""SELECT doc_id, md5('<file path="' || source || '/' || doc_id || '"><![CDATA[' || replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t\r]+(\n)', '\1', 'g'), '\n+', chr(10), 'g'), '[ \t\r\n]+$', ''), ']]>', ']]]]><![CDATA[>') || ']]></file>') AS element FROM documents""")
+def context_elements(spark, sf_dir):
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(E.file_element(path, F.col("text"))).alias("element"))
+
+
+@query("""SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[-3:], chr(10))) AS tail FROM documents""")
+def tail_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(E.tail(F.col("text"), 3)).alias("tail"))
+
+
+@query("""SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS r FROM events) WHERE r <= 50""")
+def tag_listing(spark, sf_dir):
+    return R.first_per(table(spark, sf_dir, "events").select("event_type", "event_id", "ts"), ["event_type"], [F.desc("ts"), F.col("event_id")], 50).select("event_type", "event_id")
+
+
 @query()
 def budget_packing(spark, sf_dir):
     return R.pack_greedy(table(spark, sf_dir, "orders").withColumn("size", F.col("o_totalprice").cast("long")), "o_custkey", ["o_orderdate"], "size", "o_orderkey", 500_000)

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark import queries as core
-from quillspark.functions import names
+from quillspark.functions import edits, names
 from quillspark.functions import text as X
 from quillspark.operators import relational as R
+from quillspark.operators import symbols
 from quillspark.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +71,39 @@ def test_changes(spark):
     a = spark.createDataFrame([("p", 1, "x"), ("q", 2, "x"), ("r", 3, "x"), ("s", 4, "x")], "k string, n long, h string")
     b = spark.createDataFrame([("p", 1, "x"), ("q", 5, "x"), ("r", 3, "y"), ("t", 4, "x")], "k string, n long, h string")
     assert {r.k: r.status for r in R.changes(a, b, "k").collect()} == {"p": "same", "q": "resized", "r": "changed", "s": "deleted", "t": "new"}
+
+
+def source_lines(spark):
+    texts = {
+        "a.rs": "use std::fmt::Display;\npub struct Point;\nimpl fmt::Display for Point {\n}\npub fn area(p: Point) -> i32 {\n    scale(1)\n}\nconst fn scale(x: i32) -> i32 { x }\n",
+        "b.py": "class Tree:\n    async def grow(self):\n        scale (2)\n\nscaled(3)\n",
+        "c.ts": "import { x } from './x';\nexport class Shop extends Base implements Store, Other.Thing {\n}\nexport const price = 1;\n",
+        "d.txt": "def nothing\n",
+    }
+    rows = spark.createDataFrame([(k, k[2:], v) for k, v in texts.items()], "rel_path string, ext string, text string")
+    return files.lines(rows).join(rows.select("rel_path", "ext"), "rel_path")
+
+
+def test_symbols_imports_and_implementations(spark):
+    got = {(r.rel_path, r.name, r.kind, r.line_no) for r in symbols.symbols(source_lines(spark)).collect()}
+    assert got == {("a.rs", "Point", "struct", 2), ("a.rs", "area", "function", 5), ("a.rs", "scale", "function", 8), ("b.py", "Tree", "class", 1), ("b.py", "grow", "function", 2), ("c.ts", "Shop", "class", 2), ("c.ts", "price", "const", 4)}
+    assert {(r.rel_path, r.imports) for r in symbols.imports(source_lines(spark)).collect()} == {("a.rs", "std::fmt::Display"), ("c.ts", "./x")}
+    assert [r.type for r in symbols.implementations(source_lines(spark), "Display").collect()] == ["Point"]
+    assert [r.type for r in symbols.implementations(source_lines(spark), "Thing").collect()] == ["Shop"]
+
+
+def test_callers_and_skeleton(spark):
+    got = {(r.rel_path, r.line_no, r.caller) for r in symbols.callers(source_lines(spark), "scale").select("rel_path", "line_no", "caller").collect()}
+    assert got == {("a.rs", 6, "area"), ("b.py", 3, "grow")}
+    gaps = {(r.line_no, r.gap) for r in symbols.skeleton(source_lines(spark)).filter("rel_path = 'a.rs'").collect()}
+    assert gaps == {(1, 0), (2, 0), (5, 2), (8, 2)}
+
+
+def test_edits(spark):
+    rows = spark.createDataFrame([("FOO=bar\n  BAZ=123  \n# comment\n",), (None,)], "t string")
+    t = F.col("t")
+    got = rows.select(edits.set_env(t, "BAZ", "9").alias("a"), edits.set_env(t, "NEW", "1").alias("b"), edits.delete_env(t, "FOO").alias("c")).collect()
+    assert tuple(got[0]) == ("FOO=bar\nBAZ=9\n# comment\n", "FOO=bar\n  BAZ=123  \n# comment\nNEW=1\n", "  BAZ=123  \n# comment\n")
+    assert tuple(got[1]) == ("BAZ=9\n", "NEW=1\n", "\n")
+    one = spark.range(1).select(edits.file_element(F.lit('a&"b'), F.lit("x]]>y  \n\n")).alias("e")).first().e
+    assert one == '<file path="a&amp;&quot;b"><![CDATA[x]]]]><![CDATA[>y]]></file>'
