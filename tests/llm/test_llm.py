@@ -1,6 +1,7 @@
 """The training-data operators against brute force and on odd inputs."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -177,6 +178,30 @@ def test_line_dedup(spark, none):
     assert line_dedup.line_classes(none).count() == 0
 
 
+def test_line_classes_equal_brute_force(spark):
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefghij\u00e9\u4e2d\U0001f600", k=r.randint(2, 8))) for _ in range(60)]
+    lines = [" ".join(r.choices(words, k=r.randint(1, 30))) for _ in range(120)] + ["x", "xy", "abcd", "abcde", "\u4e2d" * 3000]
+    for x in lines[:80]:
+        at = r.randrange(len(x))
+        lines.append(x[:at] + r.choice("qz") * r.randint(1, 3) + x[at + r.randint(0, 2) :])
+    unique = list(dict.fromkeys(lines))
+    sets = [line_dedup.shingles(x) for x in unique]
+    up = list(range(len(unique)))
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for i in range(len(unique)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(unique)], "doc_id long, text string")
+    got = {x.doc_id: x.class_doc_id for x in line_dedup.line_classes(rows).collect()}
+    assert got == {i: root(i) for i in range(len(unique))} and len(set(got.values())) < len(got) - 20
+
+
 def test_base_spans_equal_patterns():
     import random
 
