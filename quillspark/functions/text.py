@@ -93,3 +93,30 @@ def context_window(lines: Column, line_no: Column, around: int = 2) -> Column:
     some = F.slice(lines, low, F.least(line_no + around, F.size(lines)) - low + 1)
     numbered = F.transform(some, lambda x, i: F.format_string("%s %4d | %s", F.when(low + i == line_no, ">>>").otherwise("   "), low + i, x))
     return F.array_join(numbered, "\n")
+
+
+def minified(text: Column, most: int = 2000) -> Column:
+    """One of the first five lines that aren't blank has more than ``most`` bytes; false for null."""
+    full = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r")) != "")
+    return F.coalesce(F.exists(F.slice(full, 1, 5), lambda x: F.octet_length(x) > most), F.lit(False))
+
+
+def short_cell(cell: Column, most: int = 40) -> Column:
+    """A cell of more than ``most`` bytes cut to one character fewer, with an ellipsis."""
+    return F.when(F.octet_length(cell) > most, F.concat(F.left(cell, F.lit(most - 1)), F.lit("…"))).otherwise(cell)
+
+
+def signature(text: Column, most: int = 240) -> Column:
+    """A definition up to its body or line end, blanks as single spaces, ``most`` characters at most."""
+    head = F.regexp_extract(text, r"^[^{\n]*", 0)
+    return F.left(F.trim(F.regexp_replace(head, r"\s+", " ")), F.lit(most))
+
+
+def unquoted(text: Column) -> Column:
+    """The text without one pair of equal quotes around it."""
+    return F.regexp_replace(text, r"""^(["'`])(.*)\1$""", "$2")
+
+
+def without_fences(text: Column) -> Column:
+    """The text without lines that begin with three backticks."""
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.ltrim(x).startswith("```")), "\n")

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import edits as E
+from .functions import paths as P
 from .functions import text as X
 from .operators import relational as R
+from .operators import sections as C
 from .plans import search as S
 from .sources import files
 
@@ -225,6 +227,58 @@ def budget_packing(spark, sf_dir):
     return R.pack_greedy(table(spark, sf_dir, "orders").withColumn("size", F.col("o_totalprice").cast("long")), "o_custkey", ["o_orderdate"], "size", "o_orderkey", 500_000)
 
 
+@query("""SELECT source, doc_id FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM documents) WHERE upto <= 50000""")
+def stop_on_overflow(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return C.within_budget(rows, "source", [F.col("doc_id")], F.col("n_chars"), 50_000).select("source", "doc_id")
+
+
+@query("""WITH u AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '') AS path FROM pages) SELECT * FROM u""")
+def address_paths(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", P.uri_path(F.col("url")).alias("path"))
+
+
+@query("""SELECT doc_id, len(string_split(text, chr(10)))::INT AS lines, len(regexp_extract_all(text, '[^ \\t\\n\\r]+'))::INT AS words FROM documents""")
+def text_statistics(spark, sf_dir):
+    lines, words = F.size(F.split("text", "\n", -1)), F.regexp_count("text", F.lit(r"[^ \t\n\r]+"))
+    return table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"), words.alias("words"))
+
+
+@query("""WITH h AS (SELECT l_orderkey, l_linenumber, (l_quantity::INT % 6 + 1) AS level FROM lineitem)
+SELECT a.l_orderkey, a.l_linenumber, a.level, coalesce((SELECT min(b.l_linenumber) FROM h b WHERE b.l_orderkey = a.l_orderkey AND b.l_linenumber > a.l_linenumber AND b.level <= a.level) - 1, 99)::INT AS "end" FROM h a""")
+def section_ends(spark, sf_dir):
+    heads = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("int") % 6 + 1).alias("level"))
+    return C.section_ends(heads, "l_orderkey", "l_linenumber", "level", F.lit(99)).withColumn("end", F.col("end").cast("int"))
+
+
+@query("""WITH k AS (SELECT s_suppkey AS found FROM supplier WHERE s_acctbal > 3000), c AS (SELECT p_partkey, unnest([p_partkey, p_partkey // 2, p_partkey // 7]) AS c, unnest([1, 2, 3]) AS r FROM part)
+SELECT p_partkey, coalesce(arg_min(found, r), -1)::BIGINT AS found FROM c LEFT JOIN k ON c = found GROUP BY p_partkey""")
+def best_candidate(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey")
+    known = table(spark, sf_dir, "supplier").filter("s_acctbal > 3000").select(F.col("s_suppkey").alias("found"))
+    return C.resolve(parts, F.expr("array(p_partkey, p_partkey div 2, p_partkey div 7)"), known, "found").withColumn("found", F.coalesce("found", F.lit(-1).cast("long")))
+
+
+@query("""WITH i AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'old' ELSE md5(text) END AS version FROM labels JOIN documents USING (doc_id) UNION ALL SELECT -1, 'gone'), d AS (SELECT doc_id, md5(text) AS version FROM documents)
+SELECT i.* FROM i SEMI JOIN d USING (doc_id, version) UNION ALL SELECT d.* FROM d ANTI JOIN i USING (doc_id, version)""")
+def index_refresh(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("version"))
+    seen = table(spark, sf_dir, "labels").select("doc_id", "quality").join(docs, "doc_id").select("doc_id", F.when(F.col("quality") == 0, "old").otherwise(F.col("version")).alias("version"))
+    gone = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("gone").alias("version"))
+    return C.refresh(seen.unionByName(gone), docs, "doc_id", "version")
+
+
+@query("""SELECT doc_id, coalesce(list_bool_or(list_transform(list_filter(string_split(text, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13)) <> '')[1:5], lambda l: octet_length(encode(l)) > 2000)), false) AS minified FROM documents""")
+def minified_guard(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.minified(F.col("text")).alias("minified"))
+
+
+@query()
+def line_grouping(spark, sf_dir):
+    spans = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 5000).alias("low"), (F.col("event_id") % 5000 + 30).alias("high"))
+    return C.line_groups(spans, "user_id", "low", "high", 80)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid_search(spark, sf_dir)
 

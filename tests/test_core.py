@@ -1,3 +1,6 @@
+import random
+import re
+
 import duckdb
 import pandas as pd
 import pytest
@@ -5,8 +8,10 @@ from pyspark.sql import functions as F
 
 from quillspark import queries as core
 from quillspark.functions import edits, names
+from quillspark.functions import paths as P
 from quillspark.functions import text as X
 from quillspark.operators import relational as R
+from quillspark.operators import sections as C
 from quillspark.operators import symbols
 from quillspark.sources import files
 
@@ -107,3 +112,45 @@ def test_edits(spark):
     assert tuple(got[1]) == ("BAZ=9\n", "NEW=1\n", "\n")
     one = spark.range(1).select(edits.file_element(F.lit('a&"b'), F.lit("x]]>y  \n\n")).alias("e")).first().e
     assert one == '<file path="a&amp;&quot;b"><![CDATA[x]]]]><![CDATA[>y]]></file>'
+
+
+def test_headings_and_sections(spark):
+    text = "# One\ntext\n## Two\n```\n# not this\n```\n### Three ##\n## Four\n# Five\n"
+    lines = files.lines(spark.createDataFrame([("a.md", text), ("b.md", None)], "rel_path string, text string"))
+    got = C.section_ends(C.headings(lines), "rel_path", "line_no", "level", F.lit(10)).orderBy("line_no").collect()
+    assert [(r.title, r.level, r.line_no, r.end) for r in got] == [("One", 1, 1, 8), ("Two", 2, 3, 7), ("Three", 3, 7, 7), ("Four", 2, 8, 8), ("Five", 1, 9, 10)]
+
+
+def test_line_groups_equal_brute_force(spark):
+    r = random.Random(2)
+    spans = [(f"f{k}", low, low + r.randint(0, 40)) for k in range(5) for low in r.sample(range(400), 30)] + [("g", 1, 500), ("g", 2, 3), ("h", None, 3)]
+    want = []
+    for key in sorted({k for k, low, _ in spans if low is not None}):
+        runs = []
+        for low, high in sorted((a, b) for k, a, b in spans if k == key):
+            if runs and max(runs[-1][1], high) - runs[-1][0] < 80:
+                runs[-1] = [runs[-1][0], max(runs[-1][1], high), runs[-1][2] + 1]
+            else:
+                runs.append([low, high, 1])
+        want += [(key, *x) for x in runs]
+    got = C.line_groups(spark.createDataFrame(spans, "k string, low long, high long"), "k", "low", "high", 80)
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+
+
+def test_paths(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert [bool(re.match(P.glob_regex(g), p)) for g, p in [("packages/*", "packages/a"), ("packages/*", "packages/a/b"), ("**/*.py", "a.py"), ("**/*.py", "x/y/a.py"), ("a?.c", "ab.c")]] == [True, False, True, True, True]
+    assert one(P.matches_globs(F.lit("x/y.py"), ["**/*.py"], ["x/*"])) is False and one(P.matches_globs(F.lit(None).cast("string"))) is False
+    assert one(P.normal_path(F.lit(".\\a\\b\\"))) == "a/b" and one(P.normal_path(F.lit("/"))) == "/"
+    assert one(P.uri_path(F.lit("file:///C:/a/b.txt?q#f"))) == "C:/a/b.txt"
+    assert one(P.safe_name(F.lit("a b/c:*d"))) == "a_b_c_d"
+    assert one(P.import_candidates(F.lit("src/a"), F.lit("../b/./c")))[:2] == ["src/b/c", "src/b/c.ts"] and one(P.import_candidates(F.lit("src"), F.lit("react"))) == []
+
+
+def test_short_text_functions(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(X.short_cell(F.lit("x" * 40))) == "x" * 40 and one(X.short_cell(F.lit("x" * 41))) == "x" * 39 + "…"
+    assert one(X.signature(F.lit("fn  f(a: i32)\t-> u8 {\n  1 }"))) == "fn f(a: i32) -> u8"
+    assert one(X.without_fences(F.lit("```rust\nfn f() {}\n```"))) == "fn f() {}"
+    assert one(X.minified(F.lit("\n" + "é" * 1001))) is True and one(X.minified(F.lit(None).cast("string"))) is False
+    assert one(X.unquoted(F.lit("'a'"))) == "a" and one(X.unquoted(F.lit("'a"))) == "'a"
