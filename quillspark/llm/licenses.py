@@ -1,8 +1,7 @@
-"""License scans: winnowed fingerprints in an inverted index, then banded alignment."""
+"""License scans: winnowed fingerprints in an inverted index, then alignment in a band as wide as the scores permit."""
 
 from __future__ import annotations
 
-import bisect
 import re
 import zlib
 from collections import defaultdict
@@ -65,10 +64,8 @@ TEMPLATES = {
 
 #: Words a fingerprint covers and fingerprints a window covers: any shared run of K + WINDOW - 1 words meets in the index.
 K, WINDOW = 2, 2
-#: A template is a candidate where so few of its words per fingerprint met lie on neighbouring diagonals, at most.
-SEED_WORDS = 8
-#: Cells to each side of a seed's diagonal, and what a match, a mismatch and a gap score.
-BAND, MATCH, MISMATCH, GAP = 6, 2, -2, -2
+#: What a match, a mismatch and a gap score.
+MATCH, MISMATCH, GAP = 2, -2, -2
 #: Least share of a template's words that an alignment must match to be reported.
 COVERAGE = 0.75
 
@@ -121,31 +118,89 @@ def index(templates: Mapping[str, str]) -> tuple[dict[str, np.ndarray], dict[int
     return words, dict(posts)
 
 
-def align(template: np.ndarray, text: np.ndarray, shift: int, low: int, high: int) -> tuple[int, int, int, int]:
-    """Best local alignment within BAND cells of the diagonal text = template + shift, over text words low to high.
+class Template:
+    """A template's word hashes and what ``next_match`` needs of them.
 
-    Returns (score, matched words, first text word, last text word + 1); of equal scores the first.
+    A cell of the alignment is one integer: score, matched words, matched words
+    that ``named`` asks for, and the first text word, from the highest bits.
     """
-    best = (0, 0, low, low)
-    before: dict[int, tuple[int, int, int]] = {}
-    for i in range(len(template)):
-        now: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(low, i + shift - BAND), min(high, i + shift + BAND + 1)):
-            same = template[i] == text[j]
-            s, m, start = before.get(j - 1, (0, 0, j))
-            cell = (s + (MATCH if same else MISMATCH), m + bool(same), start)
-            for from_, gap in ((before.get(j), GAP), (now.get(j - 1), GAP)):
-                if from_ and from_[0] + gap > cell[0]:
-                    cell = (from_[0] + gap, from_[1], from_[2])
-            if cell[0] > 0:
-                now[j] = cell
-                if cell[0] > best[0]:
-                    best = (cell[0], cell[1], cell[2], j + 1)
-        before = now
-    return best
-
-
-def matches(text: str, words: Mapping[str, np.ndarray], posts: Mapping[int, list], sorted_posts: np.ndarray, memo: Hashes, coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
+
+    def __init__(self, words: np.ndarray, coverage: float, named: frozenset[int] = frozenset()):
+        n = len(words)
+        bits = n.bit_length() + 1
+        self.words, self.n, self.need = words, n, max(1, int(np.ceil(coverage * n - 1e-9)))
+        self.keys = sum(w in named for w in words.tolist())
+        key_bits = self.keys.bit_length()
+        self.score_at = 62 - bits - 1
+        self.matched_at = self.score_at - bits
+        self.keys_at = self.matched_at - key_bits
+        self.start_mask, self.keys_mask, self.matched_mask = (1 << self.keys_at) - 1, (1 << key_bits) - 1, (1 << bits) - 1
+        self.one, self.gap = 1 << self.score_at, -GAP << self.score_at
+        self.other = np.full(n, MISMATCH * self.one, np.int64)
+        self.steps = {}
+        for w in set(words.tolist()):
+            step = (MATCH << self.score_at) + (1 << self.matched_at) + ((w in named) << self.keys_at)
+            self.steps[w] = np.where(words == w, step, self.other)
+        self.slope = self.gap * np.arange(n, dtype=np.int64)
+        self.rest = MATCH * np.arange(n - 1, -1, -1, dtype=np.int64)
+
+
+def prepared(words: Mapping[str, np.ndarray], coverage: float = COVERAGE) -> dict[str, Template]:
+    return {name: Template(w, coverage) for name, w in words.items() if len(w)}
+
+
+def next_match(template: Template, text: list[int], low: int, high: int) -> tuple[int, int, int] | None:
+    """(matched words, first text word, last + 1) of the first match in text words low to high, or None.
+
+    Cells of all template words are kept for each text word, so that words may
+    be left out or put in anywhere as far as the score stays positive. A match
+    is a cell that matches ``need`` words and the named ones; the best score
+    counts among those that overlap, which ends where no alignment that began
+    before the match's end can exceed it.
+    """
+    t = template
+    cells, moved, best = np.zeros(t.n, np.int64), np.empty(t.n, np.int64), None
+    reached = 0
+    for j in range(low, high):
+        step = t.steps.get(text[j])
+        reached += step is not None
+        moved[0] = j - low
+        moved[1:] = np.where(cells[:-1] > 0, cells[:-1], j - low)
+        moved += t.other if step is None else step
+        np.maximum(moved, cells - t.gap, out=moved)
+        cells = np.maximum.accumulate(moved + t.slope) - t.slope
+        cells[cells < t.one] = 0
+        if reached < t.need:
+            continue
+        ok = (cells >> t.matched_at & t.matched_mask) >= t.need
+        if t.keys:
+            ok &= (cells >> t.keys_at & t.keys_mask) == t.keys
+        if ok.any():
+            cell = int(cells[ok].max())
+            if best is None or cell >> t.score_at > best[0]:
+                best = (cell >> t.score_at, cell >> t.matched_at & t.matched_mask, low + (cell & t.start_mask), j + 1)
+        if best is not None:
+            rival = (cells > 0) & ((cells & t.start_mask) < best[3] - low) & ((cells >> t.score_at) + t.rest > best[0])
+            if not rival.any():
+                break
+    return best and best[1:]
+
+
+def regions(own: np.ndarray, template: Template) -> list[tuple[int, int]]:
+    """Text words (first, last + 1) outside of which no match lies.
+
+    Each word of an alignment that the template has not costs what a shared one
+    gains, at least, and the score of every beginning is positive.
+    """
+    shared = np.isin(own, template.words)
+    total = np.concatenate([[0], np.cumsum(np.where(shared, 1, -1))])
+    inside = np.concatenate([[False], total[1:] > np.minimum.accumulate(total)[1:], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    count = np.concatenate([[0], np.cumsum(shared)])
+    return [(a, b) for a, b in edges.reshape(-1, 2).tolist() if count[b] - count[a] >= template.need]
+
+
+def matches(text: str, templates: Mapping[str, Template], posts: Mapping[int, list], sorted_posts: np.ndarray, memo: Hashes) -> list[tuple[str, float, int, int]]:
     """(template, coverage, first character, last + 1) of each match in a text, by place; matches of one template do not overlap."""
     found = WORD.findall(text)
     if not found:
@@ -155,33 +210,19 @@ def matches(text: str, words: Mapping[str, np.ndarray], posts: Mapping[int, list
     at = winnow(hashes)
     picked = hashes[at]
     places = at[sorted_posts[np.searchsorted(sorted_posts, picked).clip(max=len(sorted_posts) - 1)] == picked]
-    seeds: dict[str, list[int]] = defaultdict(list)
-    for j in places.tolist():
-        for name, i in posts[int(hashes[j])]:
-            seeds[name].append(j - i)
-    if not seeds:
+    if not len(places):
         return []
-    spans, out = None, []
-    for name, shifts in seeds.items():
-        template, last, taken = words[name], None, []
-        shifts.sort()
-        need = -(-len(template) // SEED_WORDS)
-        for n, shift in enumerate(shifts):
-            if last is not None and shift - last <= BAND:
-                continue  # the band of the last seed's diagonal covers this one
-            if n + need > len(shifts) or shifts[n + need - 1] - shift > BAND:
+    spans, out, words = None, [], None
+    for name in {name: None for j in places.tolist() for name, _ in posts[int(hashes[j])]}:
+        template = templates[name]
+        for low, high in regions(own, template):
+            if np.searchsorted(places, low) == np.searchsorted(places, high):
                 continue
-            near = shifts[n : bisect.bisect_right(shifts, shift + BAND)]
-            last = shift = max(sorted(set(near)), key=near.count)  # the band lies about the diagonal with most seeds
-            score, matched, a, b = align(template, own, shift, max(0, shift - BAND), min(len(own), shift + len(template) + BAND))
-            if score and matched >= coverage * len(template):
-                taken.append((score, matched, a, b))
-        end = -1
-        for score, matched, a, b in sorted(taken, key=lambda x: (x[2], -x[0])):
-            if a >= end:
+            words = words or own.tolist()
+            while got := next_match(template, words, low, high):
+                matched, a, low = got
                 spans = spans or [m.span() for m in WORD.finditer(text)]
-                out.append((name, matched / len(template), spans[a][0], spans[b - 1][1]))
-                end = b
+                out.append((name, matched / template.n, spans[a][0], spans[low - 1][1]))
     return sorted(out, key=lambda x: (x[2], x[3], x[0]))
 
 
@@ -194,14 +235,14 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, coverage:
     index holds the templates only, a bounded number of short texts.
     """
     words, posts = index(TEMPLATES if templates is None else templates)
-    shared = docs.sparkSession.sparkContext.broadcast((words, posts, np.array(sorted(posts), np.uint64)))
+    shared = docs.sparkSession.sparkContext.broadcast((prepared(words, coverage), posts, np.array(sorted(posts), np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, posts, known = shared.value
+        ready, posts, known = shared.value
         memo = Hashes()
         kind = pa.list_(pa.struct([("template", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            got = [matches(t, words, posts, known, memo, coverage) for t in b.column("text").to_pylist()]
+            got = [matches(t, ready, posts, known, memo) for t in b.column("text").to_pylist()]
             rows = pa.array([[dict(zip(("template", "coverage", "start", "end"), m, strict=True)) for m in g] for g in got], kind)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(g) for g in got], pa.int64()), rows], names=["doc_id", "n_matches", "matches"])
 

@@ -300,6 +300,64 @@ def test_licences(spark, docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def plain_matches(template, text, coverage=licenses.COVERAGE):
+    """Matches (matched words, first, last + 1) by alignment of all words with all, cell by cell."""
+    need, low, out = coverage * len(template), 0, []
+    while True:
+        cells, best = {}, None
+        for j in range(low, len(text)):
+            now = {}
+            for i, w in enumerate(template):
+                s, m, a = cells.get(i - 1, (0, 0, j))
+                ways = [(s + 2, m + 1, a) if w == text[j] else (s - 2, m, a)]
+                ways += [(c[0] - 2, *c[1:]) for c in (cells.get(i), now.get(i - 1)) if c]
+                if max(ways)[0] > 0:
+                    now[i] = max(ways)
+            cells = now
+            good = max((c for c in cells.values() if c[1] >= need), default=None)
+            if good and (best is None or good[0] > best[0]):
+                best = (*good, j + 1)
+            if best and not any(a < best[3] and s + 2 * (len(template) - 1 - i) > best[0] for i, (s, _, a) in cells.items()):
+                break
+        if best is None:
+            return out
+        out.append(best[1:])
+        low = best[3]
+
+
+def found_matches(templates, text, **named):
+    words, posts = licenses.index(templates)
+    got = licenses.matches(text, licenses.prepared(words, **named), posts, np.array(sorted(posts), np.uint64), licenses.Hashes())
+    return [(m[0], round(m[1] * len(words[m[0]])), m[2], m[3]) for m in got]
+
+
+def spelled_matches(templates, text):
+    at = [m.span() for m in licenses.WORD.finditer(text)]
+    low = [w.lower() for w in licenses.WORD.findall(text)]
+    want = [(k, m, at[a][0], at[b - 1][1]) for k, t in templates.items() for m, a, b in plain_matches([w.lower() for w in licenses.WORD.findall(t)], low)]
+    return sorted(want, key=lambda x: (x[2], x[3], x[0]))
+
+
+def test_licences_with_phrases_left_out_or_put_in():
+    gpl, mit, bsd = (licenses.TEMPLATES[k] for k in ("GPL-notice", "MIT", "BSD"))
+    short = gpl.replace("either version 3 of the License, or (at your option) any later version.", "version 3 of the License.")
+    (got,) = [m for m in found_matches(licenses.TEMPLATES, "x y " + short + " z") if m[0] == "GPL-notice"]
+    assert got[1] == 72
+    long = mit.replace("without restriction,", "without restriction of any kind that the holder of rights could name here,")
+    assert [m[1] for m in found_matches({"MIT": mit}, "a b " + long)] == [len(licenses.WORD.findall(mit))]
+    rng = random.Random(5)
+    for _ in range(30):
+        words = ["this", "text", "the", "of"] * rng.randrange(3)
+        for t in rng.choices([gpl, mit, bsd], k=2):
+            own = licenses.WORD.findall(t)
+            for _ in range(rng.randrange(4)):
+                at, n = rng.randrange(len(own)), rng.randrange(12)
+                own[at : at + n * rng.randrange(2)] = [rng.choice(["the", "of", "new", "and"]) for _ in range(n * rng.randrange(2))]
+            words += own
+        text, some = " ".join(words), {"GPL": gpl, "MIT": mit, "BSD": bsd}
+        assert found_matches(some, text) == spelled_matches(some, text)
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs, scratch = spark.read.parquet(f"{sf}/documents.parquet"), Scratch(spark, "test-pipeline")
