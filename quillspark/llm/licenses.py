@@ -62,6 +62,17 @@ TEMPLATES = {
     "CC-BY": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 
+#: Words of short templates that tell one licence from another: no match is one without them.
+NAMED = {
+    "Apache-2.0-line": "Apache 2 0",
+    "MIT-line": "MIT",
+    "GPL-3.0-line": "GNU General Public 3",
+    "CC-BY-NC-4.0-line": "CC BY NC 4 0",
+    "SPDX-MIT": "MIT",
+    "SPDX-Apache-2.0": "Apache 2 0",
+    "CC-BY": "Creative Commons Attribution 4 0",
+}
+
 #: Words a fingerprint covers and fingerprints a window covers: any shared run of K + WINDOW - 1 words meets in the index.
 K, WINDOW = 2, 2
 #: What a match, a mismatch and a gap score.
@@ -145,8 +156,9 @@ class Template:
         self.rest = MATCH * np.arange(n - 1, -1, -1, dtype=np.int64)
 
 
-def prepared(words: Mapping[str, np.ndarray], coverage: float = COVERAGE) -> dict[str, Template]:
-    return {name: Template(w, coverage) for name, w in words.items() if len(w)}
+def prepared(words: Mapping[str, np.ndarray], coverage: float = COVERAGE, named: Mapping[str, str] | None = None) -> dict[str, Template]:
+    memo, named = Hashes(), named or {}
+    return {name: Template(w, coverage, frozenset(memo[x] for x in WORD.findall(named.get(name, "")))) for name, w in words.items() if len(w)}
 
 
 def next_match(template: Template, text: list[int], low: int, high: int) -> tuple[int, int, int] | None:
@@ -229,13 +241,14 @@ def matches(text: str, templates: Mapping[str, Template], posts: Mapping[int, li
 def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, n_matches and matches (template, coverage, start, end in characters) of every whole text.
 
-    Words are compared in small letters, marks and white space do not count.
+    The repository's own short templates match only with the words that NAMED
+    asks for. Words are compared in small letters, marks and white space do not count.
     Null counts as the empty text, which has no matches; repeated rows get the
     same matches; other columns are not read; an empty table gives no rows. The
     index holds the templates only, a bounded number of short texts.
     """
     words, posts = index(TEMPLATES if templates is None else templates)
-    shared = docs.sparkSession.sparkContext.broadcast((prepared(words, coverage), posts, np.array(sorted(posts), np.uint64)))
+    shared = docs.sparkSession.sparkContext.broadcast((prepared(words, coverage, NAMED if templates is None else None), posts, np.array(sorted(posts), np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready, posts, known = shared.value

@@ -358,6 +358,29 @@ def test_licences_with_phrases_left_out_or_put_in():
         assert found_matches(some, text) == spelled_matches(some, text)
 
 
+def test_licence_lines_are_counted_each(spark):
+    names = ("Rights", "SPDX-MIT", "MIT-line", "SPDX-Apache-2.0")
+    for name in names:
+        for between in ("\n", " x ", " Copyright 2021 B. "):
+            for n in (1, 2, 5, 40):
+                text = between.join([licenses.TEMPLATES[name]] * n)
+                own = {name: licenses.TEMPLATES[name]}
+                got = found_matches(own, text, named=licenses.NAMED)
+                assert len(got) == n and [text[m[2] : m[3]] for m in got] == [licenses.TEMPLATES[name].rstrip(".")] * n
+    text = "Copyright 2020 A. All rights reserved. Copyright 2021 B. All rights reserved."
+    others = ["SPDX-License-Identifier: X", "SPDX-License-Identifier: GPL-2.0", "Released under the BSD License.", "Licensed under CC BY 4.0."]
+    rows = spark.createDataFrame(list(enumerate([text, *others])), "doc_id long, text string")
+    assert [r.n_matches for r in licenses.scan(rows).orderBy("doc_id").collect()] == [2, 0, 0, 0, 0]
+    short = {k: licenses.TEMPLATES[k] for k in names}
+    rng = random.Random(6)
+    for _ in range(60):
+        pool = [w for t in short.values() for w in [t] * 3 + licenses.WORD.findall(t)] + ["x"]
+        text = " ".join(rng.choices(pool, k=12))
+        want = [m for m in spelled_matches(short, text)]
+        seen = found_matches(short, text)
+        assert all(m in want for m in seen) and [m for m in want if m not in seen and m[1] > 3] == []
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs, scratch = spark.read.parquet(f"{sf}/documents.parquet"), Scratch(spark, "test-pipeline")
