@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup, mixing, near_dedup, packing, quality
 from quillspark.llm.common import Scratch
@@ -14,16 +15,26 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.grade(docs, model, keep_columns=True).filter("selected").select(*docs.columns)
 
 
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with __row, which tells rows apart whatever their ids; written, so that every reading has the same numbers."""
+    return Scratch(spark, "numbered").table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
+def kept_rows(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    kept = decided.filter("kept").select(F.col("row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").drop("__row")
+
+
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id."""
-    kept = exact_dedup.exact_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of equal texts the row with the smallest id, of several such one."""
+    rows = numbered(spark, docs)
+    return kept_rows(rows, exact_dedup.exact_duplicates(rows, row_col="__row"))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id."""
-    kept = near_dedup.near_duplicates(docs).filter("doc_id = class_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of each class of near duplicates the row with the smallest id, of several such one."""
+    rows = numbered(spark, docs)
+    return kept_rows(rows, near_dedup.near_rows(rows, row_col="__row"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ class DigestIndex:
         )
         self.spark.catalog.refreshTable(self.name)
 
-    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
         """One row per row of docs: row id, keep_id, group_size, kept, text_sha256 and the input row's place.
 
         Texts are equal when identical after each run of ASCII white space
@@ -48,7 +48,8 @@ class DigestIndex:
         repeated rows with that id one stays), unless an earlier batch had the
         text: then none stays and keep_id is the id kept then. group_size
         counts the rows of this batch. An empty batch gives no rows. Other
-        columns of docs are not read.
+        columns of docs are not read. The place is ``row_col``, a unique long,
+        where docs has one.
         """
         scratch = Scratch(self.spark, "exact-dedup")
         normal = F.regexp_replace(text_of(text_col), f"[{SPACE}]+", " ")
@@ -56,7 +57,7 @@ class DigestIndex:
             docs.select(
                 F.col(id_col).cast("long").alias("doc_id"),
                 F.unhex(F.sha2(normal, 256)).alias("digest"),
-                F.monotonically_increasing_id().alias("row"),
+                (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
             ),
             "rows",
         )
@@ -85,10 +86,10 @@ class DigestIndex:
         )
 
 
-def exact_duplicates(docs: DataFrame, buckets: int = 64) -> DataFrame:
+def exact_duplicates(docs: DataFrame, buckets: int = 64, row_col: str | None = None) -> DataFrame:
     """``DigestIndex.ingest`` of docs into a new index."""
     spark = docs.sparkSession
-    return DigestIndex(spark, Scratch(spark, "digest-index").path, buckets).ingest(docs)
+    return DigestIndex(spark, Scratch(spark, "digest-index").path, buckets).ingest(docs, row_col=row_col)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,7 +77,7 @@ def fewest_matches(looks: tuple[int, ...] = LOOKS, threshold: float = THRESHOLD,
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (16 bytes) of the text and sig (MinHash values as bytes; null where the text has no words)."""
+    """row, doc_id, text, digest (16 bytes) of the text and sig (MinHash values as bytes; null where the text has no words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -89,9 +89,9 @@ def sign(docs: DataFrame) -> DataFrame:
                 digests.append(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")))
                 found = shingles(t, memo)
                 sigs.append(signature(found).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=[*b.schema.names, "digest", "sig"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, digest binary, sig binary")
+    return docs.select("row", "doc_id", text_of().alias("text")).mapInArrow(run, "row long, doc_id long, text string, digest binary, sig binary")
 
 
 def survivors(cross: np.ndarray, side: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,20 +203,22 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(to.astype(np.int64)), pa.array(n[own])], names=["a", "b", "n"])
 
 
-def jaccard_join(docs: DataFrame, scratch: Scratch | None = None, whole: bool = True) -> tuple[DataFrame, DataFrame]:
+def jaccard_join(docs: DataFrame, scratch: Scratch | None = None, whole: bool = True, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(membership, links) of docs(doc_id, text); unless ``whole``, ``forest`` of the links instead, as many rows as linked texts and tiles.
 
-    Classes are equal texts (null: empty), their representative is the row with
-    the smallest id. membership: doc_id, rep for each row with an id, one per
-    id. links: a, b, jaccard for each pair a < b of representatives whose sets
-    of five-word shingles have a Jaccard similarity of 0.8 or more. A text of
-    fewer than five words is one shingle; a text without words links to none.
-    Rows without an id are left out, as nothing can name them; of rows with one
-    id and different texts the join sees them all, and each gets a membership.
-    Empty tables give no rows; other columns are not read.
+    Classes are equal texts (null: empty). Their node is the smallest place of
+    their rows, or ``row_col`` (a unique long) where docs has one, so that ids
+    need not be unique or known; their representative is the row with the
+    smallest id (null ids come last), of repeated rows the first. membership:
+    row, doc_id, node, rep, rep_row for each row. links: a, b, jaccard for each
+    pair of classes whose sets of five-word shingles have a Jaccard similarity
+    of 0.8 or more; a <= b are the ids of their representatives (equal where
+    texts share an id, null where they have none), while the forest names
+    nodes. A text of fewer than five words is one shingle; a text without
+    words links to none. Empty tables give no rows; other columns are not read.
 
     Representatives with a common band of MinHash values meet in a bucket. The
-    smallest id that a representative meets is its hub; the rows of a hub are
+    smallest node that a representative meets is its hub; the rows of a hub are
     cut by hash into cells of about BLOCK rows. Two cells with a bucket in
     common are a tile, in which one task compares the pairs that share a band:
     first by signatures, which tells the rows that survive with another, then
@@ -225,12 +227,15 @@ def jaccard_join(docs: DataFrame, scratch: Scratch | None = None, whole: bool =
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near-dedup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    signed = scratch.table(sign(docs), "signed")
-    reps = scratch.table(signed.groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
-    members = scratch.table(signed.select("doc_id", "digest").distinct().join(reps, "digest").select("doc_id", "rep", "digest"), "members")
-    unique = signed.join(reps, (signed.digest == reps.digest) & (signed.doc_id == reps.rep)).select(F.col("rep").alias("id"), "sig")
-    unique = scratch.table(unique.filter("sig IS NOT NULL").dropDuplicates(["id"]), "unique")
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    signed = scratch.table(sign(docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")), "signed")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    reps = signed.groupBy("digest").agg(F.min("row").alias("node"), first.alias("first"))
+    reps = scratch.table(reps.select("digest", "node", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("rep_row")), "reps")
+    members = scratch.table(signed.select("row", "doc_id", "digest").join(reps, "digest").drop("digest"), "members")
+    nodes = reps.select(F.col("node").alias("id"))
+    unique = signed.select(F.col("row").alias("id"), "sig").filter("sig IS NOT NULL").join(nodes, "id", "left_semi")
+    unique = scratch.table(unique, "unique")
     width = 2 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width)) for i in range(BANDS)])
     banded = unique.select("id", F.explode(keys).alias("key"))
@@ -247,27 +252,54 @@ def jaccard_join(docs: DataFrame, scratch: Scratch | None = None, whole: bool =
     scratch.drop("rows", "placed")
     together = lambda df: df.repartition(F.col("tile")).sortWithinPartitions("tile", "id")
     alive = scratch.table(together(dealt.join(unique, "id")).mapInArrow(compare, "tile long, id long"), "alive")
-    texts = docs.select(F.col("doc_id").alias("id"), text_of().alias("text"))
+    texts = signed.select(F.col("row").alias("id"), "text")
     signs = dealt.join(alive, ["tile", "id"]).join(unique, "id")
     rows = together(texts.hint("merge").join(signs, "id"))
     links = rows.mapInArrow(verify, "a long, b long, jaccard double") if whole else rows.mapInArrow(forest, "a long, b long, n long")
-    return members, scratch.table(links, "links")
+    links = scratch.table(links, "links")
+    scratch.drop("signed", "unique", "hubs", "dealt", "alive")
+    if not whole:
+        return members, links
+    x, y = (reps.select(F.col("node").alias(k), F.col("rep").alias(f"rep_{k}")) for k in "ab")
+    x, y = links.join(x, "a").join(y, "b"), (F.col("rep_a"), F.col("rep_b"))
+    ordered = (F.when(y[0].isNull() | y[1].isNull(), y[i]).otherwise(f(*y)).alias(k) for i, (f, k) in enumerate(((F.least, "a"), (F.greatest, "b"))))
+    return members, x.select(*ordered, "jaccard")
+
+
+def near_rows(docs: DataFrame, row_col: str | None = None) -> DataFrame:
+    """doc_id, class_id, rep_id, n_links, kept and row for every row.
+
+    rep_id is the smallest id with the same text (null where none has an id);
+    class_id the smallest id of all texts that links join to it, directly or by
+    way of others; n_links the number of different texts that its text links
+    to. Of each class one row is kept: the one with class_id, of several such
+    the first. row is ``row_col`` or the input row's place.
+    """
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    members, trees = jaccard_join(docs, scratch, whole=False, row_col=row_col)
+    counts = trees.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    roots = components(trees, scratch).join(counts, "node", "left")
+    reps = members.filter("row = rep_row").select("node", "rep", "rep_row")
+    linked_rows = scratch.table(roots.join(reps, "node"), "linked")
+    first = F.min(F.struct(F.col("rep").isNull(), "rep", "rep_row"))
+    firsts = linked_rows.groupBy("root").agg(first.alias("first"))
+    firsts = firsts.select("root", F.col("first.rep").alias("class_id"), F.col("first.rep_row").alias("class_row"))
+    known = scratch.table(linked_rows.select("node", "root", "n_links").join(firsts, "root").drop("root"), "known")
+    out = members.join(known, "node", "left")
+    alone = F.col("class_row").isNull()
+    return out.select(
+        "doc_id",
+        F.when(alone, F.col("rep")).otherwise(F.col("class_id")).alias("class_id"),
+        F.col("rep").alias("rep_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        (F.col("row") == F.coalesce("class_row", "rep_row")).alias("kept"),
+        "row",
+    )
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, rep_id, n_links for every row with an id.
-
-    rep_id is the smallest id with the same text; class_id the smallest id of
-    all texts that links join to it, directly or by way of others; n_links the
-    number of different texts that its text links to.
-    """
-    scratch = Scratch(docs.sparkSession, "near-dedup")
-    members, trees = jaccard_join(docs, scratch, whole=False)
-    counts = trees.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
-    roots = components(trees, scratch).toDF("rep", "class_id")
-    known = scratch.table(roots.join(counts, "rep", "left"), "known")
-    out = members.join(known, "rep", "left")
-    return out.select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("rep_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    """doc_id, class_id, rep_id, n_links of ``near_rows`` for every row with an id; rows without one take part in the classes."""
+    return near_rows(docs).filter("doc_id IS NOT NULL").drop("kept", "row")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

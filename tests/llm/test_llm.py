@@ -396,6 +396,28 @@ def test_pipeline_stages(spark):
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
 
 
+def test_dedup_stages_decide_by_row(spark):
+    near, far = " ".join(BASE), " ".join(reversed(BASE))
+    rows = [
+        (None, "only text without id"),
+        (1, "same"), (1, "same"), (None, "same"), (2, " same "), (2, "stays"),
+        (3, near), (3, near), (4, near + " end"), (4, far), (None, near + " last"), (None, far + " last"), (None, far + " last"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    exact = corpus_pipeline.drop_exact(spark, docs, "")
+    plain = lambda t: re.sub(r"[ \t-\r]+", " ", t)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    want = {plain(t): (i, t) for i, t in reversed(order)}
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, exact.collect()), key=key) == sorted(want.values(), key=key)
+    left = corpus_pipeline.drop_near(spark, docs, "").collect()
+    want = [(1, "same"), (2, " same "), (2, "stays"), (3, near), (4, far), (None, "only text without id")]
+    # white space is no part of a shingle: the two spellings of one word are near copies
+    want.remove((2, " same "))
+    assert sorted(map(tuple, left), key=key) == sorted(want, key=key)
+    assert near_dedup.near_rows(docs).count() == len(rows)
+
+
 def test_registry():
     names = registered.queries()
     assert {re.match(r"op(\d+)_", n)[1] for n in names} == {str(i) for i in range(1, 11)}
