@@ -156,6 +156,13 @@ def test_jaccard_join_equals_brute_force(spark):
     assert {(r.a, r.b) for r in links.collect()} == want and want
 
 
+def test_texts_of_one_id_keep_their_links(spark):
+    a, b = " ".join(BASE), " ".join(reversed(BASE))
+    rows = [(1, a), (1, b), (1, b), (2, a + " end"), (3, b + " end")]
+    _, links = near_dedup.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.a, r.b) for r in links.collect()) == [(1, 2), (1, 3)]
+
+
 def test_pruning_table():
     fewest = near_dedup.fewest_matches()
     assert all(0.5 * n < m < 0.8 * n for n, m in fewest.items())
