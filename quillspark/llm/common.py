@@ -24,6 +24,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not root:
             root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
             spark.conf.set("spark.checkpoint.dir", root)

@@ -77,6 +77,8 @@ NAMED = {
 K, WINDOW = 2, 2
 #: What a match, a mismatch and a gap score.
 MATCH, MISMATCH, GAP = 2, -2, -2
+#: Words of all templates at most: what is sent to every executor is bounded.
+MOST_WORDS = 5_000_000
 #: Least share of a template's words that an alignment must match to be reported.
 COVERAGE = 0.75
 
@@ -119,13 +121,15 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
 def index(templates: Mapping[str, str]) -> tuple[dict[str, np.ndarray], dict[int, list[tuple[str, int]]]]:
     """The templates' word hashes, and for each fingerprint the templates and places that have it.
 
-    All grams of a template are posted, as a short template has too few for both sides to be winnowed.
+    Templates are winnowed like texts: a run of K + WINDOW - 1 words that both
+    have is a window of both, of which both keep the same fingerprint.
     """
     memo, words, posts = Hashes(), {}, defaultdict(list)
     for name, text in templates.items():
         words[name] = np.array([memo[w] for w in WORD.findall(text)], np.int64)
-        for place, g in enumerate(grams(words[name]).tolist()):
-            posts[g].append((name, place))
+        hashes = grams(words[name]) if len(words[name]) else words[name]
+        for place in winnow(hashes).tolist():
+            posts[int(hashes[place])].append((name, place))
     return words, dict(posts)
 
 
@@ -245,9 +249,11 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, coverage:
     asks for. Words are compared in small letters, marks and white space do not count.
     Null counts as the empty text, which has no matches; repeated rows get the
     same matches; other columns are not read; an empty table gives no rows. The
-    index holds the templates only, a bounded number of short texts.
+    index holds the templates only, MOST_WORDS words at most (else ValueError).
     """
     words, posts = index(TEMPLATES if templates is None else templates)
+    if sum(map(len, words.values())) > MOST_WORDS:
+        raise ValueError(f"templates of more than {MOST_WORDS} words")
     shared = docs.sparkSession.sparkContext.broadcast((prepared(words, coverage, NAMED if templates is None else None), posts, np.array(sorted(posts), np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,6 +269,12 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, coverage:
     return rows.mapInArrow(run, "doc_id long, n_matches long, matches array<struct<template:string,coverage:double,start:long,end:long>>")
 
 
+def templates_from(spark: SparkSession, path: str) -> dict[str, str]:
+    """Whole licence texts of a folder, one file each, by file name: templates for ``scan``."""
+    rows = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value")
+    return {r.name: r.value for r in rows.collect()}
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     spelled = F.transform("matches", lambda m: F.concat_ws(":", m["template"], F.format_number(m["coverage"], 4), m["start"], m["end"]))
     return scan(documents(spark, sf_dir)).select("doc_id", "n_matches", F.array_join(spelled, ",").alias("spans"))

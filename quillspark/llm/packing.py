@@ -18,6 +18,8 @@ from .common import Scratch, documents, shuffle_partitions, text_of
 TOKENIZER = "word_bpe_49k.json"
 #: Buckets of the hashed document vector, dimensions and bits per dimension of the curve.
 BUCKETS, DIMS, BITS = 1024, 4, 6
+#: Tokens of a range, one task's work, and finer ranges counted for each.
+RANGE_TOKENS, FINE = 16_000_000, 4
 #: Bits of the row number's hash that split ties on the curve; with the curve's bits a double holds the key exactly.
 TIE_BITS = 28
 
@@ -182,8 +184,10 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, path: str | None
     table gives no rows. Other columns are not read. ``row`` tells repeated ids
     apart.
 
-    Ranges of keys of about equal numbers of rows are dealt to tasks. The token
-    counts of the ranges (one number per range) give each its first offset.
+    Ranges of keys of about equal numbers of tokens are dealt to tasks, so many
+    that each holds about RANGE_TOKENS, and as many as there are shuffle
+    partitions at least. The token counts of finer ranges (one number each) say
+    where ranges end and give each its first offset.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
@@ -197,21 +201,35 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, path: str | None
         for b in batches:
             z = np.column_stack([b.column(n).to_numpy() for n in names])
             cells = np.floor(1 / (1 + np.exp(-1.6 * (z - center) / scale)) * (1 << BITS)).clip(0, (1 << BITS) - 1)
-            key = pa.array(hilbert(cells, BITS) << TIE_BITS | b.column("tie").to_numpy())
+            key = hilbert(cells, BITS) << TIE_BITS | b.column("tie").to_numpy()
             kept = [n for n in b.schema.names if n not in ("tie", *names)]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), key], names=[*kept, "key"])
+            own = [pa.array(key), pa.array(np.searchsorted(cuts, key, "right").astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), *own], names=[*kept, "key", "part"])
 
     tie = F.shiftrightunsigned(F.xxhash64("row"), 64 - TIE_BITS).alias("tie")
     small = tokens.select((F.octet_length("ids") / 4).cast("long").alias("n"), tie, *names)
-    keys = scratch.table(small.mapInArrow(keyed, "n long, key long"), "keys")
-    parts = shuffle_partitions(spark)
-    cuts = keys.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    cuts = np.unique(np.array(cuts, np.int64)).tolist()
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<long>"), lambda c: c <= F.col("key")))
-    sums = {r[0]: r[1] for r in keys.groupBy(part.alias("part")).agg(F.sum("n")).collect()}
-    first, total = {}, 0
+    cuts = np.array([], np.int64)
+    keys = scratch.table(small.mapInArrow(keyed, "n long, key long, part long").drop("part"), "keys")
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    parts = max(shuffle_partitions(spark), -(-total // RANGE_TOKENS))
+    fine = [i / (FINE * parts) for i in range(1, FINE * parts)]
+    cuts = np.unique(np.array(keys.approxQuantile("key", fine, 0.2 / (FINE * parts)), np.int64))
+    at = spark.sparkContext.broadcast(cuts)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("n"), pa.array(np.searchsorted(at.value, b.column("key").to_numpy(), "right"))], names=["n", "part"])
+
+    sums = {r[0]: r[1] for r in keys.select("n", "key").mapInArrow(placed, "n long, part long").groupBy("part").agg(F.sum("n")).collect()}
+    # neighbouring fine ranges join until they hold a part's share of the tokens
+    first, upto, low, joined = {}, 0, 0, []
     for p in range(len(cuts) + 1):
-        first[p], total = total, total + sums.get(p, 0)
+        if p and upto - low >= total / parts:
+            joined.append(cuts[p - 1])
+            low = upto
+        first.setdefault(len(joined), upto)
+        upto += sums.get(p, 0)
+    cuts = np.array(joined, np.int64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, at = -1, 0
@@ -230,8 +248,8 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, path: str | None
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if n == "ids" else pa.int64()) for n, x in zip(out_names, columns, strict=True)], names=out_names)
 
     out_names = ["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-    rows = tokens.select("doc_id", "row", "ids", tie, *names).mapInArrow(keyed, "doc_id long, row long, ids binary, key long")
-    rows = rows.withColumn("part", part).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "key", "row")
+    rows = tokens.select("doc_id", "row", "ids", tie, *names).mapInArrow(keyed, "doc_id long, row long, ids binary, key long, part long")
+    rows = rows.repartitionById(len(cuts) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "key", "row")
     pieces = rows.select("doc_id", "row", "ids", "part").mapInArrow(cut, ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in out_names))
     return pieces if with_ids else pieces.drop("ids")
 

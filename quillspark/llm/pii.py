@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .common import documents, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Labels of a token: 0 is none, k + 1 is KINDS[k].
-LABELS = 1 + len(KINDS)
+#: Labels of a token: 0 is none, k + 1 is KINDS[k], the last is a secret; UNKNOWN where a pattern's match failed a check.
+SECRET, UNKNOWN = 1 + len(KINDS), -1
+LABELS = SECRET + 1
 #: Documents that the field is fitted on at most (those with the smallest hash of their id among documents with a digit or @).
 MOST_FITTED = 1500
 #: A token outside the base spans becomes a span where its marginal reaches this.
@@ -32,9 +33,12 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
-TOKEN = re.compile(r"\S*[0-9@]\S*")
+#: Words end at white space and at marks that no kind contains.
+WORD = re.compile(r"[^\s()\[\]{}<>\"'`,;|=!?*#$%&]+")
+EVIDENCE = re.compile(r"[0-9@]")
 NOT_DIGIT = re.compile(r"[^0-9]")
-EDGES = "()[]{}<>\"'`,;:!?"
+#: Forms of keys in wide use, from which the field learns what stands around secrets.
+KEYS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{40}|[0-9a-f]{64})(?![A-Za-z0-9])")
 
 
 def luhn(digits: str) -> bool:
@@ -76,7 +80,7 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 class Token:
     start: int
     end: int
-    label: int  # of the base span that it lies in, else 0
+    label: int  # of the base span or key that it lies in, else 0 or UNKNOWN
     features: list[int]
     key: str
 
@@ -85,34 +89,53 @@ def hashed(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % HASHED
 
 
+def failed_spans(text: str) -> list[tuple[int, int]]:
+    """Matches of the ip and phone patterns that fail their checks: numbers that run into others, which may hold one of the kind."""
+    if not EVIDENCE.search(text):
+        return []
+    ips = [m.span() for m in IP.finditer(text) if any(len(p.lstrip("0")) > 3 or int(p) > 255 for p in m[0].split("."))]
+    phones = [m.span() for m in PHONE.finditer(text) if not 8 <= len(NOT_DIGIT.sub("", m[0])) <= 15] if "+" in text else []
+    return ips + phones
+
+
 def tokens(text: str, base: list[list[tuple[int, int]]]) -> list[Token]:
-    """The nodes of a text: blank-separated words with a digit or @, without marks at their edges.
+    """The nodes of a text: words with a digit or @, of any length.
 
-    Words in between carry no evidence for any kind and are fixed to none, which cuts the chain there.
-    Words over 80 characters are no nodes: no kind is that long.
+    Words in between carry no evidence for any kind and are fixed to none, which
+    cuts the chain there. A node's label is that of the base span or key that it
+    lies in; UNKNOWN within a failed match, so that the field is not taught that
+    numbers which run together are none of the kind.
     """
-    spans = sorted((s, e, k + 1) for k, kind in enumerate(base) for s, e in kind)
-    out, i = [], 0
-    for m in TOKEN.finditer(text):
-        word = m[0].strip(EDGES).rstrip(".")
-        if not word or len(word) > 80:
+    if not EVIDENCE.search(text):
+        return []
+    spans = sorted([(s, e, k + 1) for k, kind in enumerate(base) for s, e in kind] + [(*m.span(), SECRET) for m in KEYS.finditer(text)])
+    failed, out, i, j, before = sorted(failed_spans(text)), [], 0, 0, ""
+    for m in WORD.finditer(text):
+        word = m[0].rstrip(".:")
+        last, before = before, word
+        if not EVIDENCE.search(word):
             continue
-        start = m.start() + m[0].index(word)
+        start = m.start()
         while i < len(spans) and spans[i][1] <= start:
             i += 1
-        label = spans[i][2] if i < len(spans) and spans[i][0] < start + len(word) else 0
+        while j < len(failed) and failed[j][1] <= start:
+            j += 1
+        label = UNKNOWN if j < len(failed) and failed[j][0] < start + len(word) else 0
+        if i < len(spans) and spans[i][0] < start + len(word):
+            label = spans[i][2]
         digits = NOT_DIGIT.sub("", word)
-        form = re.sub("[^\\W\\d_]+", "a", re.sub("[0-9]+", "9", word))[:16]
-        before = text[max(0, m.start() - 24) : m.start()].rsplit(None, 1)
+        letters = sum(map(str.isalpha, word))
         names = [
             "bias",
-            f"form={form}",
+            "form=" + re.sub("[^\\W\\d_]+", "a", re.sub("[0-9]+", "9", word)) if letters < 12 else "form=long",
             f"digits={min(len(digits), 20)}",
+            f"letters={min(letters, 20)}",
             f"dots={min(word.count('.'), 5)}",
             f"at={'@' in word}",
-            f"plus={text[max(0, start - 1) : start + 1].count('+')}",
-            f"luhn={len(digits) > 11 and luhn(digits[:40])}",
-            f"before={before[-1].strip(EDGES).lower() if before else ''}",
+            f"plus={word.startswith('+')}",
+            f"bracket={text[max(0, start - 1) : start] == '('}",
+            f"luhn={11 < len(digits) < 20 and luhn(digits)}",
+            f"before={last.lower()}",
         ]
         # similar words: the same letters and digits whatever the marks between
         key = re.sub(r"[\W_]+", "", word).lower()
@@ -150,10 +173,13 @@ def fit(docs: list[list[Token]], steps: int = 150, l2: float = 0.5) -> Field:
 
     The label pairs are the pointwise mutual information of smoothed counts.
     Pairs on skip edges start with a count of agreement, as repeats of one word
-    nearly always mean one thing. Without nodes all potentials are 0.
+    nearly always mean one thing. Nodes of unknown label teach nothing, neither
+    by themselves nor in pairs. Without nodes all potentials are 0.
     """
-    nodes = [t for d in docs for t in d]
-    y = np.array([t.label for t in nodes], np.int64)
+    every = [t for d in docs for t in d]
+    label = np.array([t.label for t in every], np.int64)
+    nodes = [t for t in every if t.label != UNKNOWN]
+    y = label[label != UNKNOWN]
     unary = np.zeros((HASHED, LABELS))
     if nodes:
         x = np.array([t.features for t in nodes])
@@ -169,8 +195,9 @@ def fit(docs: list[list[Token]], steps: int = 150, l2: float = 0.5) -> Field:
 
     def pairs(edges: np.ndarray, start: np.ndarray) -> np.ndarray:
         counts = start.copy()
-        if len(edges):
-            np.add.at(counts, (y[edges[:, 0]], y[edges[:, 1]]), 1)
+        known = edges[(label[edges] != UNKNOWN).all(1)] if len(edges) else edges
+        if len(known):
+            np.add.at(counts, (label[known[:, 0]], label[known[:, 1]]), 1)
         joint = counts / counts.sum()
         return np.log(joint / joint.sum(1, keepdims=True) / joint.sum(0, keepdims=True))
 
@@ -215,14 +242,14 @@ def marginals(docs: list[list[Token]], model: Field) -> np.ndarray:
 
 
 def added(docs: list[list[Token]], model: Field) -> list[list[list[tuple[int, int]]]]:
-    """For each text and kind the further spans: free nodes whose marginal for the kind is SURE; neighbours in the chain join to one span."""
+    """For each text and kind (secrets last) the further spans: free nodes whose marginal for the kind is SURE; neighbours in the chain join to one span."""
     p = marginals(docs, model)
     best, sure, n, out = p.argmax(1) if len(p) else [], p.max(1) if len(p) else [], 0, []
     for nodes in docs:
-        found: list[list[tuple[int, int]]] = [[] for _ in KINDS]
+        found: list[list[tuple[int, int]]] = [[] for _ in range(SECRET)]
         last = None
         for i, t in enumerate(nodes):
-            label = int(best[n + i]) if t.label == 0 and sure[n + i] >= SURE else 0
+            label = int(best[n + i]) if t.label <= 0 and sure[n + i] >= SURE else 0
             if label:
                 if last and last[0] == label and last[1] == i - 1 and t.start - nodes[i - 1].end <= 2:
                     found[label - 1][-1] = (found[label - 1][-1][0], t.end)
@@ -235,8 +262,14 @@ def added(docs: list[list[Token]], model: Field) -> list[list[list[tuple[int, in
 
 
 def train(docs: DataFrame, most: int = MOST_FITTED) -> Field:
-    """Fits on the texts of at most ``most`` documents with a digit or @, chosen by hash of the id."""
-    chosen = docs.select("doc_id", text_of().alias("text")).filter(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    """Fits on the texts of at most ``most`` documents with a digit or @, chosen by hash of the id.
+
+    Ids are chosen first, so that only those meet in one task. Of rows that
+    share an id the smallest text counts; rows without an id are not fitted on.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter("doc_id IS NOT NULL").filter(F.col("text").rlike("[0-9@]"))
+    chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # chosen has ``most`` numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -244,9 +277,21 @@ def train(docs: DataFrame, most: int = MOST_FITTED) -> Field:
             cols = [pa.array([[t[i] for t in r] for r in rows], pa.list_(k)) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "s", "e", "y", "x", "k"])
 
-    rows = chosen.mapInArrow(run, "doc_id long, s array<long>, e array<long>, y array<long>, x array<array<long>>, k array<string>").collect()
-    rows.sort(key=lambda r: (r.doc_id is None, r.doc_id, r.s))
-    return fit([[Token(*t) for t in zip(r.s, r.e, r.y, r.x, r.k, strict=True)] for r in rows])
+    got = texts.mapInArrow(run, "doc_id long, s array<long>, e array<long>, y array<long>, x array<array<long>>, k array<string>").collect()
+    return fit([[Token(*t) for t in zip(r.s, r.e, r.y, r.x, r.k, strict=True)] for r in sorted(got, key=lambda r: r.doc_id)])
+
+
+def disjoint(base: list[tuple[int, int]], more: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Base spans and those further ones that touch none of them."""
+    return base + [x for x in more if not any(x[0] < e and s < x[1] for s, e in base)]
+
+
+def all_spans(texts: list[str], model: Field) -> tuple[list[list[list[tuple[int, int]]]], list[list[list[tuple[int, int]]]]]:
+    """Of each text the base spans by kind, and all spans by kind with the secrets (keys and what the field adds) last."""
+    base = [base_spans(t) for t in texts]
+    more = added([tokens(t, s) for t, s in zip(texts, base, strict=True)], model)
+    keys = [[m.span() for m in KEYS.finditer(t)] for t in texts]
+    return base, [[disjoint(x, y) for x, y in zip([*s, k], m, strict=True)] for s, k, m in zip(base, keys, more, strict=True)]
 
 
 def joined(spans: list[list[tuple[int, int]]]) -> str:
@@ -255,40 +300,37 @@ def joined(spans: list[list[tuple[int, int]]]) -> str:
 
 
 def find(docs: DataFrame, model: Field) -> DataFrame:
-    """doc_id, base (spans of the patterns) and spans (base and added) of every whole text, each kind:start:end joined.
+    """doc_id, n_email, ..., base (spans of the patterns), spans (base and added), n_added, n_secret and n_found of every whole text.
 
+    base and spans have kind:start:end joined. n_found counts spans and secrets.
     Null counts as the empty text, which has no spans. Repeated rows get the
     same spans; other columns are not read; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for b in batches:
-            texts = b.column("text").to_pylist()
-            base = [base_spans(t) for t in texts]
-            nodes = [tokens(t, s) for t, s in zip(texts, base, strict=True)]
-            more = added(nodes, model)
-            every = [[x + y for x, y in zip(s, m, strict=True)] for s, m in zip(base, more, strict=True)]
+            base, every = all_spans(b.column("text").to_pylist(), shared.value)
             counts = [pa.array([len(s[k]) for s in base], pa.int64()) for k in range(len(KINDS))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, pa.array([joined(s) for s in base]), pa.array([joined(s) for s in every])], names=["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans"])
+            n = [(sum(map(len, x)), len(x[-1]), sum(map(len, s))) for s, x in zip(base, every, strict=True)]
+            more = [pa.array([f(*x) for x in n], pa.int64()) for f in (lambda a, k, s: a - k - s, lambda a, k, s: k, lambda a, k, s: a)]
+            spelled = [pa.array([joined(s) for s in base], pa.string()), pa.array([joined(s[:-1]) for s in every], pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, *spelled, *more], names=["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans", "n_added", "n_secret", "n_found"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
+    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, n_added long, n_secret long, n_found long")
 
 
 def redact(docs: DataFrame, model: Field) -> DataFrame:
-    """docs with each span of ``text`` replaced by its kind in brackets; of overlapping spans the first stays."""
+    """docs with each span and secret of ``text`` replaced by its kind in brackets; of overlapping spans the first stays."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, out = b.column("text").to_pylist(), []
-            base = [base_spans(t or "") for t in texts]
-            more = added([tokens(t or "", s) for t, s in zip(texts, base, strict=True)], shared.value)
-            for t, found in zip(texts, ([x + y for x, y in zip(s, m, strict=True)] for s, m in zip(base, more, strict=True)), strict=True):
+            for t, found in zip(texts, all_spans([t or "" for t in texts], shared.value)[1], strict=True):
                 parts, at = [], 0
-                for s, e, k in sorted((s, e, k) for k, kind in zip(KINDS, found, strict=True) for s, e in kind):
+                for s, e, k in sorted((s, e, k) for k, kind in zip([*KINDS, "secret"], found, strict=True) for s, e in kind):
                     if s >= at:
                         parts += [t[at:s], f"[{k}]"]
                         at = e
@@ -302,4 +344,4 @@ def redact(docs: DataFrame, model: Field) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = find(docs, train(docs))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added", "n_secret", "n_found")

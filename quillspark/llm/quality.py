@@ -145,8 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Cumu
             x = pa.array([features(t, memo) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), x], names=["doc_id", "grade", "x"])
 
-    # chosen has at most ``most`` rows of two numbers: a proven bound
-    rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, grade int, x array<int>").collect()
+    # chosen has at most ``most`` rows of two numbers: a proven bound; of rows that share an id the smallest text counts
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    rows = found.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, x array<int>").collect()
     return fit([(r.x, r.grade) for r in sorted(rows, key=lambda r: (r.doc_id, r.grade, len(r.x)))])
 
 
@@ -180,6 +181,13 @@ def grade(docs: DataFrame, model: CumulativeLink, keep_columns: bool = False) ->
     return rows.mapInArrow(run, ", ".join([*kept, "expected_grade double", *(f"{t} double" for t in tails), "selected boolean"]))
 
 
+def selected(docs: DataFrame, model: CumulativeLink) -> DataFrame:
+    """The rows of docs that ``grade`` selects, with docs' columns as they are, whatever their names."""
+    columns = docs.columns
+    own = docs.toDF(*[f"c{i}" for i in range(len(columns))]).withColumn("text", F.col(f"c{columns.index('text')}"))
+    return grade(own, model, keep_columns=True).filter("selected").select(*[f"c{i}" for i in range(len(columns))]).toDF(*columns)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return grade(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
