@@ -12,29 +12,32 @@ from quillspark.llm.common import Scratch
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier, fitted on the labelled documents, selects."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.grade(docs, model, keep_columns=True).filter("selected").select(*docs.columns)
+    return quality.selected(docs, model)
 
 
-def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with __row, which tells rows apart whatever their ids; written, so that every reading has the same numbers."""
-    return Scratch(spark, "numbered").table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+def numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that tells rows apart whatever their ids, and its name, which no column of docs has; written, so that every reading has the same numbers."""
+    row = "_row"
+    while row in docs.columns:
+        row = f"_{row}"
+    return Scratch(spark, "numbered").table(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
-def kept_rows(rows: DataFrame, decided: DataFrame) -> DataFrame:
-    kept = decided.filter("kept").select(F.col("row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").drop("__row")
+def kept_rows(rows: DataFrame, row: str, decided: DataFrame) -> DataFrame:
+    kept = decided.filter("kept").select(F.col("row").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest id, of several such one."""
-    rows = numbered(spark, docs)
-    return kept_rows(rows, exact_dedup.exact_duplicates(rows, row_col="__row"))
+    rows, row = numbered(spark, docs)
+    return kept_rows(rows, row, exact_dedup.exact_duplicates(rows, row_col=row))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the row with the smallest id, of several such one."""
-    rows = numbered(spark, docs)
-    return kept_rows(rows, near_dedup.near_rows(rows, row_col="__row"))
+    rows, row = numbered(spark, docs)
+    return kept_rows(rows, row, near_dedup.near_rows(rows, row_col=row))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
