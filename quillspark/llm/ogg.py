@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents
 
@@ -89,15 +90,16 @@ class Writer:
 
 
 def store(payload: bytes, streams: int = STREAMS, rate: int = RATE, packet: int = PACKET) -> bytes:
-    """The payload as an Ogg stream. Packet i goes to logical stream i mod streams; granule positions count samples up to its end."""
-    writers, out = [Writer(i + 1) for i in range(streams)], []
+    """The payload as an Ogg stream. Packet i goes to logical stream i mod streams; granule positions count the stream's own samples."""
+    writers, out, samples = [Writer(i + 1) for i in range(streams)], [], [0] * streams
     for i, w in enumerate(writers):
         out += w.packet(OPENING.pack(MARK, 1, streams, i, rate), 0)
         out.append(w.flush(FIRST))
     for i, at in enumerate(range(0, len(payload), packet)):
         w = writers[i % streams]
         data = payload[at : at + packet]
-        out += w.packet(data, at + len(data))
+        samples[i % streams] += len(data)
+        out += w.packet(data, samples[i % streams])
         if len(w.segments) > 200:
             out.append(w.flush())
     out += [w.flush(LAST) for w in writers]
@@ -160,30 +162,110 @@ def demultiplex(media: bytes) -> dict[int, Logical]:
     return found
 
 
+def codec(opening: bytes) -> tuple[str, int]:
+    """Name and granules a second that a stream's first packet tells; ("", 0) where it is of no known kind."""
+    if opening.startswith(MARK) and len(opening) == OPENING.size:
+        return "pcm8", OPENING.unpack(opening)[4]
+    if opening.startswith(b"\x01vorbis") and len(opening) >= 16:
+        return "vorbis", struct.unpack_from("<I", opening, 12)[0]
+    if opening.startswith(b"OpusHead"):
+        return "opus", 48_000
+    if opening.startswith(b"Speex   ") and len(opening) >= 40:
+        return "speex", struct.unpack_from("<I", opening, 36)[0]
+    return "", 0
+
+
+def packet_times(s: Logical) -> list[tuple[float | None, float | None]]:
+    """Start and end second of each packet of a stream, from the granule positions of its pages and its rate.
+
+    A granule position is the time at the end of the last packet that ends in
+    its page. A packet of 8-bit samples has as many granules as bytes, so that
+    times go backward from there, packet by packet, to the page before; a
+    stream may begin at any time. Of other codecs only ends that pages tell are
+    known. Headers (granule position 0 and no samples) have no times.
+    """
+    name, rate = codec(s.packets[0][0]) if s.packets else ("", 0)
+    times: list[tuple[float | None, float | None]] = [(None, None)] * len(s.packets)
+    if not rate:
+        return times
+    end = None
+    for i in range(len(s.packets) - 1, 0, -1):
+        data, granule = s.packets[i]
+        if granule != NO_GRANULE:
+            if name == "pcm8" and end is not None and end != granule:
+                raise OggError("granule positions disagree")
+            end = granule
+        if end is None:
+            continue
+        start = end - len(data) if name == "pcm8" else None
+        times[i] = (None if start is None else start / rate, end / rate)
+        end = start
+    return times
+
+
 def timed(media: bytes) -> tuple[bytes, list[tuple[int, int, float, float]], dict[int, Logical]]:
-    """The payload, (serial, packet, start and end second) of each packet in order of time, and the logical streams.
+    """The payload that ``store`` kept, (serial, packet, start and end second) of each packet, and the logical streams.
 
-    A packet without a granule position gets it by counting samples on from the
-    packets before: the streams take turns, so that the opening packets' places
-    and the packets' sizes give every time; the granule positions of the pages
-    must agree with them.
+    The opening packets say in which turn the streams' packets stand; times come from each stream's granule positions.
     """
     streams = demultiplex(media)
-    opened = sorted((OPENING.unpack(s.packets[0][0]) + (serial,) for serial, s in streams.items()), key=lambda x: x[3])
-    if [x[3] for x in opened] != list(range(len(opened))) or any(x[0] != MARK or x[2] != len(opened) for x in opened):
+    opened = [(OPENING.unpack(s.packets[0][0]), serial) for serial, s in streams.items() if s.packets and codec(s.packets[0][0])[0] == "pcm8"]
+    opened.sort(key=lambda x: x[0][3])
+    if not opened or [x[0][3] for x in opened] != list(range(len(streams))) or any(x[0][2] != len(streams) for x in opened):
         raise OggError("bad opening packets")
-    rate, turns = opened[0][4], [streams[x[5]].packets[1:] for x in opened]
-    payload, times, now = [], [], 0
+    turns = [list(zip(streams[serial].packets[1:], packet_times(streams[serial])[1:], strict=True)) for _, serial in opened]
+    payload, times = [], []
     for i in range(sum(map(len, turns))):
-        data, granule = turns[i % len(turns)][i // len(turns)]
-        if granule not in (NO_GRANULE, now + len(data)):
-            raise OggError("granule positions disagree")
-        times.append((opened[i % len(turns)][5], i // len(turns), now / rate, (now + len(data)) / rate))
+        own = turns[i % len(turns)]
+        if i // len(turns) >= len(own):
+            raise OggError("a packet is missing")
+        (data, _), (start, end) = own[i // len(turns)]
+        if end is None:
+            raise OggError("a packet has no time")
+        times.append((opened[i % len(turns)][1], i // len(turns), start, end))
         payload.append(data)
-        now += len(data)
     return b"".join(payload), times, streams
 
 
+PACKETS = "array<struct<serial: bigint, packet: bigint, codec: string, bytes: bigint, start: double, end: double, data: binary>>"
+
+
+def read_media(rows: DataFrame, media_col: str = "media", with_data: bool = True) -> DataFrame:
+    """rows with ``packets`` (serial, packet, codec, bytes, start and end second, data) and ``error`` of a binary column of Ogg.
+
+    Any Ogg is read: pages are verified, packets put together and streams told
+    apart; ``packet_times`` says which times are known. A row whose bytes are no
+    whole, intact Ogg gets the reason in ``error`` and null packets; null bytes
+    give null in both. Columns of rows named packets or error are not allowed.
+    """
+    if {"packets", "error"} & set(rows.columns):
+        raise ValueError("rows has a column named packets or error")
+    kind = pa.list_(pa.struct([("serial", pa.int64()), ("packet", pa.int64()), ("codec", pa.string()), ("bytes", pa.int64()), ("start", pa.float64()), ("end", pa.float64()), ("data", pa.binary())]))
+
+    def one(media: bytes | None) -> tuple[list | None, str | None]:
+        if media is None:
+            return None, None
+        try:
+            streams = demultiplex(media)
+            return [
+                {"serial": serial, "packet": i, "codec": codec(s.packets[0][0])[0], "bytes": len(data), "start": start, "end": end, "data": data if with_data else None}
+                for serial, s in streams.items()
+                for i, ((data, _), (start, end)) in enumerate(zip(s.packets, packet_times(s), strict=True))
+            ], None
+        except OggError as e:
+            return None, str(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100)
+                got = [one(x.as_py()) for x in part.column(media_col)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in got], kind), pa.array([x[1] for x in got], pa.string())], names=[*part.schema.names, "packets", "error"])
+
+    own = T.StructType([*rows.schema.fields, *T._parse_datatype_string(f"packets {PACKETS}, error string").fields])
+    return rows.mapInArrow(run, own)
+
+
 def padded(data: bytes) -> bytes:
     """data and bytes 0 up to a positive multiple of 64."""
     return data + bytes(-len(data) % ALIGN or (0 if data else ALIGN))
@@ -195,7 +277,7 @@ def features(payload: bytes, times: list, streams: dict[int, Logical]) -> str:
     crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
     pages = sum(s.pages for s in streams.values())
     return (
-        f"streams={len(streams)};pages={pages};packets={len(times)};seconds={times[-1][3]:.6f};last_start={times[-1][2]:.6f};"
+        f"streams={len(streams)};pages={pages};packets={len(times)};seconds={max(t[3] for t in times):.6f};last_start={max(t[2] for t in times):.6f};"
         f"mean={x.mean():.6f};rms={np.sqrt(np.square(x).mean()):.6f};crossings={crossings}"
     )
 

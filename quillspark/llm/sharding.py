@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,18 +13,31 @@ from pyspark.sql import types as T
 from .common import Scratch, documents, shuffle_partitions, text_of
 
 
-def matrix(counts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
-    """How many rows each partition sends to each bin: row by row, a multivariate hypergeometric draw from the room left.
+class Rows:
+    """Rows of the communication matrix: how many rows each unit of the input sends to each bin.
 
-    Rows sum to counts and columns to sizes, distributed as under a uniform
-    permutation of all rows.
+    The whole matrix is a multivariate hypergeometric draw (rows sum to the
+    units' counts, columns to the bins' sizes, as under a uniform permutation of
+    all rows). It is never made: the units are halved down a tree, and at each
+    node what the left half takes of the node's room is drawn by a generator
+    seeded with the node's place. Whoever asks for a unit walks down to it, by
+    as many draws as the tree is deep, and sees the same numbers.
     """
-    rng = np.random.default_rng(seed)
-    room, out = sizes.astype(np.int64).copy(), np.zeros((len(counts), len(sizes)), np.int64)
-    for i, n in enumerate(counts):
-        out[i] = rng.multivariate_hypergeometric(room, int(n), method="marginals")
-        room -= out[i]
-    return out
+
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray, seed: int):
+        self.before = np.concatenate([[0], np.cumsum(counts)])
+        self.seed, self.path = seed, [(0, len(counts), np.asarray(sizes, np.int64))]
+
+    def row(self, unit: int) -> np.ndarray:
+        while not self.path[-1][0] <= unit < self.path[-1][1]:
+            self.path.pop()
+        while self.path[-1][1] - self.path[-1][0] > 1:
+            low, high, room = self.path[-1]
+            mid = (low + high) // 2
+            rng = np.random.default_rng([self.seed, low, high])
+            left = rng.multivariate_hypergeometric(room, int(self.before[mid] - self.before[low]), method="marginals")
+            self.path.append((low, mid, left) if unit < mid else (mid, high, room - left))
+        return self.path[-1][2]
 
 
 def even(n: int, parts: int) -> np.ndarray:
@@ -33,51 +45,68 @@ def even(n: int, parts: int) -> np.ndarray:
     return n // parts + (np.arange(parts) < n % parts)
 
 
-def shuffle_into_shards(rows: DataFrame, shards: int = 8, seed: int = 29, rows_per_bin: int = 100_000, max_bins: int = 4096, staged: bool = False) -> DataFrame:
+#: Rows that the draws of the matrix can hold (a bound of numpy's), rows of a unit of the input, and rows of a bin.
+MOST_ROWS, PER_UNIT, PER_BIN = 999_999_999, 1 << 20, 100_000
+
+
+def shuffle_into_shards(rows: DataFrame, shards: int = 8, seed: int = 29, rows_per_bin: int = PER_BIN, staged: bool = False, per_unit: int = PER_UNIT) -> DataFrame:
     """rows with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard), uniformly at random.
 
     Shard sizes differ by one row at most. A shard consists of bins of even
     size, each one task's work: of rows_per_bin rows, and as many as there are
-    shuffle partitions at least; beyond max_bins (bound of the matrix, partitions
-    times bins, on the driver) bins grow and Spark's sort spills. Each input
-    partition deals its rows, permuted, to the bins by its row of the matrix;
-    after the one exchange each bin is permuted again. Input columns named
-    shard or slot are replaced. An empty table gives no rows; fewer rows than
-    shards leave the last shards empty; nulls and repeated rows are rows like
-    others. The partitions must not change between the count and the deal:
-    rows are written first unless ``staged`` says that they are a plain scan
-    of files; a changed count fails the job, it is never dealt wrongly.
+    shuffle partitions at least. A unit is up to per_unit rows of one input
+    file, in the file's order. Each unit deals its rows, permuted, to the bins
+    by its row of the communication matrix (``Rows``); after the one exchange
+    each bin is permuted again. A row's unit and place are its file and its
+    number there, so that nothing depends on how Spark cuts files into tasks,
+    or on which executors run them. Only the units' counts (one number each)
+    reach the driver and the tasks.
+
+    Input columns named shard or slot are replaced; internal names are chosen
+    so that none clashes. An empty table gives no rows; fewer rows than shards
+    leave the last shards empty; nulls and repeated rows are rows like others.
+    rows are written first unless ``staged`` says that they are a plain scan of
+    Parquet files. More than MOST_ROWS rows raise ValueError.
     """
     spark = rows.sparkSession
     if not staged:
         rows = Scratch(spark, "shards").table(rows, "rows")
-    seen = {r[0]: r[1] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()}
-    counts = np.array([seen.get(i, 0) for i in range(max(seen, default=-1) + 1)], np.int64)
+    rows = rows.drop("shard", "slot")
+    mark = "_"
+    while any(c.startswith(mark) for c in rows.columns):
+        mark += "_"
+    file, at, bin_, order = (f"{mark}{x}" for x in ("file", "at", "bin", "order"))
+    placed = rows.withColumns({file: F.col("_metadata.file_path"), at: F.col("_metadata.row_index")})
+    seen = placed.groupBy(file, F.floor(F.col(at) / per_unit).alias("block")).count().collect()
+    seen.sort(key=lambda r: (r[0], r[1]))
+    counts = np.array([r[2] for r in seen], np.int64)
     total = int(counts.sum())
-    per_shard = max(1, min(max_bins // shards, max(-(-total // (rows_per_bin * shards)), -(-shuffle_partitions(spark) // shards))))
+    if total > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows")
+    per_shard = max(1, -(-total // (rows_per_bin * shards)), -(-shuffle_partitions(spark) // shards))
     sizes = np.concatenate([even(int(n), per_shard) for n in even(total, shards)])
     first = np.concatenate([np.cumsum(x) - x for x in sizes.reshape(shards, per_shard)])
-    sends = matrix(counts, sizes, seed)
-    share = [spark.sparkContext.broadcast(sends)]
+    shared = spark.sparkContext.broadcast(({(r[0], r[1]): i for i, r in enumerate(seen)}, counts))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        row = share[0].value[part] if part < len(share[0].value) else np.zeros(len(sizes), np.int64)
-        rng = np.random.default_rng([seed, part])
-        to, at = rng.permutation(np.repeat(np.arange(len(row), dtype=np.int32), row)), 0
+        units, counts = shared.value
+        matrix, last, to = Rows(counts, sizes, seed), None, np.array([], np.int32)
         for b in batches:
-            if at + b.num_rows > len(to):
-                raise RuntimeError("the partitions changed between count and deal")
-            own = [pa.array(to[at : at + b.num_rows]), pa.array(rng.integers(0, 2**63, b.num_rows, dtype=np.int64))]
-            at += b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, *own], names=[*b.schema.names, "__bin", "__order"])
-        if at != len(to):
-            raise RuntimeError("the partitions changed between count and deal")
+            place = b.column(at).to_numpy()
+            bins = np.empty(len(place), np.int32)
+            names = b.column(file).to_pylist()
+            for i, (name, block) in enumerate(zip(names, (place // per_unit).tolist(), strict=True)):
+                if (name, block) != last:
+                    last, unit = (name, block), units[(name, block)]
+                    to = np.random.default_rng([seed, unit]).permutation(np.repeat(np.arange(len(sizes), dtype=np.int32), matrix.row(unit)))
+                bins[i] = to[place[i] % per_unit]
+            kept = [n for n in b.schema.names if n not in (file, at, order)]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(bins), b.column(order)], names=[*kept, bin_, order])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, done = -1, 0
         for b in batches:
-            bins = b.column("__bin").to_numpy()
+            bins = b.column(bin_).to_numpy()
             start = np.flatnonzero(np.diff(bins, prepend=bins[0] - 1)) if len(bins) else np.array([], int)
             rank = np.arange(len(bins)) - np.repeat(start, np.diff(start, append=len(bins)))
             if len(bins) and bins[0] == last:
@@ -88,10 +117,11 @@ def shuffle_into_shards(rows: DataFrame, shards: int = 8, seed: int = 29, rows_p
             own = [pa.array((bins // per_shard).astype(np.int32)), pa.array(first[bins] + rank)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], *own], names=[*b.schema.names[:-2], "shard", "slot"])
 
-    rows = rows.drop("shard", "slot")
-    dealt = rows.mapInArrow(deal, T.StructType([*rows.schema.fields, T.StructField("__bin", T.IntegerType()), T.StructField("__order", T.LongType())]))
-    dealt = dealt.repartitionById(len(sizes), F.col("__bin")).sortWithinPartitions("__bin", "__order")
-    return dealt.mapInArrow(place, T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
+    fields = list(rows.schema.fields)
+    placed = placed.withColumn(order, F.xxhash64(F.lit(seed), file, at))
+    dealt = placed.mapInArrow(deal, T.StructType([*fields, T.StructField(bin_, T.IntegerType()), T.StructField(order, T.LongType())]))
+    dealt = dealt.repartitionById(len(sizes), F.col(bin_)).sortWithinPartitions(bin_, order)
+    return dealt.mapInArrow(place, T.StructType([*fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
 
 
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

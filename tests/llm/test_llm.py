@@ -98,13 +98,41 @@ def test_sharding(spark, docs, none):
     assert sorted(len(s) for s in slots.values()) == [2, 2, 3, 3]
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.shuffle_into_shards(none).count() == 0
-    m = sharding.matrix(np.array([5, 0, 9]), np.array([7, 7]), 3)
-    assert m.sum(1).tolist() == [5, 0, 9] and m.sum(0).tolist() == [7, 7]
+    counts, sizes = np.array([5, 0, 9, 4]), np.array([7, 7, 4])
+    rows = sharding.Rows(counts, sizes, 3)
+    m = np.array([rows.row(i) for i in range(4)])
+    assert m.sum(1).tolist() == counts.tolist() and m.sum(0).tolist() == sizes.tolist()
+    assert all((sharding.Rows(counts, sizes, 3).row(i) == m[i]).all() for i in (2, 0, 3, 1))
+
+
+def test_sharding_draws_are_hypergeometric():
+    """The share of a unit's rows in a bin, over many seeds, against the exact probabilities by chi-square."""
+    from math import comb
+
+    seen = np.zeros(6)
+    for seed in range(4000):
+        seen[min(5, sharding.Rows(np.array([5, 7, 8]), np.array([8, 12]), seed).row(1)[0])] += 1
+    want = np.array([comb(7, k) * comb(13, 8 - k) for k in range(8)]) / comb(20, 8)
+    want = np.concatenate([want[:5], [want[5:].sum()]])
+    assert (np.square(seen - 4000 * want) / (4000 * want)).sum() < 20.5
+
+
+def test_sharding_does_not_depend_on_splits(spark, docs):
+    """Other splits of the files deal every row alike; small units, and columns with internal-looking names."""
+    staged = Scratch(spark, "split").table(docs.withColumn("_bin", F.lit(1)).withColumn("__at", F.lit("x")).repartition(3), "rows")
+    key = lambda df: sorted(str(r) for r in df.collect())
+    first = key(sharding.shuffle_into_shards(staged, shards=3, rows_per_bin=2, staged=True, per_unit=2))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert key(sharding.shuffle_into_shards(staged, shards=3, rows_per_bin=2, staged=True, per_unit=2)) == first and len(first) == len(ROWS)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_sharding_is_uniform(spark):
     rows = spark.range(4000, numPartitions=4)
-    got = sharding.shuffle_into_shards(rows, shards=8, staged=True).groupBy("shard").agg(F.avg("id").alias("m"), F.count("*").alias("n")).collect()
+    got = sharding.shuffle_into_shards(rows, shards=8).groupBy("shard").agg(F.avg("id").alias("m"), F.count("*").alias("n")).collect()
     assert all(r.n == 500 and abs(r.m - 2000) < 250 for r in got)
 
 
@@ -374,7 +402,41 @@ def test_ogg_round_trip(n):
     payload = ogg.padded(data)
     media = ogg.store(payload)
     back, times, streams = ogg.timed(media)
-    assert back == payload and len(streams) == 2 and times[-1][3] == len(payload) / ogg.RATE
+    assert back == payload and len(streams) == 2 and sum(t[3] - t[2] for t in times) == pytest.approx(len(payload) / ogg.RATE)
+    for serial in (1, 2):
+        own = [t[2:] for t in times if t[0] == serial]
+        assert all(a[1] == b[0] for a, b in zip(own, own[1:])) and (not own or own[0][0] == 0)
+
+
+def test_page_checksum_is_the_formats():
+    """Bit by bit: polynomial 0x04C11DB7, most significant bit first, from 0."""
+    data, crc = bytes(range(256)) * 3, 0
+    for byte in data:
+        crc ^= byte << 24
+        for _ in range(8):
+            crc = (crc << 1 ^ (0x04C11DB7 if crc >> 31 else 0)) & 0xFFFFFFFF
+    assert ogg.page_checksum(data) == crc
+
+
+def test_any_ogg_column(spark):
+    """A stream of another codec, a stream that begins later, spoilt bytes and null: times from granules, errors by row."""
+    w, parts = ogg.Writer(77), []
+    parts += w.packet(b"\x01vorbis" + bytes(5) + (44_100).to_bytes(4, "little") + bytes(14), 0)
+    parts.append(w.flush(ogg.FIRST))
+    parts += [*w.packet(b"a" * 300, 44_100), *w.packet(b"b" * 20, 88_200)]
+    parts.append(w.flush(ogg.LAST))
+    vorbis = b"".join(parts)
+    w, parts = ogg.Writer(5), []
+    parts += w.packet(ogg.OPENING.pack(ogg.MARK, 1, 1, 0, 100), 0)
+    parts.append(w.flush(ogg.FIRST))
+    parts += [*w.packet(b"x" * 50, 0), *w.packet(b"y" * 100, 1150)]
+    parts.append(w.flush(ogg.LAST))
+    late = b"".join(parts)
+    rows = spark.createDataFrame([(1, vorbis), (2, late), (3, vorbis[:-1]), (4, None), (5, b"")], "id long, media binary")
+    got = {r.id: r for r in ogg.read_media(rows).collect()}
+    assert [(p.codec, p.bytes, p.start, p.end) for p in got[1].packets] == [("vorbis", 30, None, None), ("vorbis", 300, None, None), ("vorbis", 20, None, 2.0)]
+    assert [(p.start, p.end) for p in got[2].packets] == [(None, None), (10.0, 10.5), (10.5, 11.5)]
+    assert got[3].error and got[3].packets is None and got[4].error is None and got[4].packets is None and got[5].packets == []
 
 
 def test_ogg_spoilt_bytes_are_found():
