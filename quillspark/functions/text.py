@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,6 +52,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
 
 
+def cosine_to(a: Column, vector: Sequence[float]) -> Column:
+    """``cosine`` with a vector that is known: its norm is taken once, and the sums are plain expressions."""
+    v = [float(x) for x in vector]
+    norm = math.sqrt(sum(x * x for x in v))
+    if not v or not norm:
+        return F.lit(0.0)
+    cells = [F.get(a, F.lit(i)).cast("double") for i in range(len(v))]
+    dot, own = reduce(add, [c * x for c, x in zip(cells, v, strict=True)]), F.sqrt(reduce(add, [c * c for c in cells]))
+    return F.when((F.size(a) == len(v)) & (own > 0), dot / (own * norm)).otherwise(0.0)
+
+
 def crunch(text: Column) -> Column:
     """Each line without blanks at its end, runs of line ends as one, nothing blank at the end."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[ \t\r]+(?=\n)", ""), r"\n+", "\n"), r"[ \t\r\n]+$", "")
@@ -63,26 +75,31 @@ def path_score(path: Column, terms: Sequence[str]) -> Column:
     return reduce(lambda a, b: a + b, each, F.lit(0))
 
 
-#: What a path's parts add to its importance.
+#: What a path's parts add to its importance, and the files that open a program, serve requests or describe a package.
 IMPORTANCE = {"entry": 120, "service": 90, "src": 30, "core": 25, "manifest": 60, "markdown": 10, "config": 5, "test": -1000, "generated": -30, "depth": -5}
+ENTRY_FILES = "__init__.py app.ts app.tsx build.rs cli.js cli.ts index.ts index.tsx lib.rs main.go main.py main.rs main.ts main.tsx mod.rs".split()
+SERVICE_FILES = (
+    "api.rs api.ts app.py app.rs controller.rs controller.ts handler.rs handler.ts handlers.rs router.rs router.ts routes.rs routes.ts server.py server.rs server.ts service.rs service.ts".split()
+)
+MANIFEST_FILES = ["cargo.toml", "package.json", "pyproject.toml", "go.mod", "pubspec.yaml"]
 
 
 def importance(path: Column) -> Column:
-    """Sum of IMPORTANCE over what the path shows: kind of file, folders on the way, depth beyond six."""
+    """Sum of IMPORTANCE over what the path shows: kind of file, folders on the way (between slashes), depth beyond six."""
     low = F.lower(path)
     name = F.element_at(F.split(low, "/"), -1)
-    add = lambda cond, kind: F.when(cond, IMPORTANCE[kind]).otherwise(0)
-    depth = F.size(F.split(low, "/")) - 1
+    points = lambda cond, kind: F.when(cond, IMPORTANCE[kind]).otherwise(0)
+    depth = F.length(low) - F.length(F.replace(low, F.lit("/"), F.lit("")))
     return (
-        add(low.rlike(r"/tests?/|/__tests__/") | name.rlike(r"(^test_|_test\.|\.test\.|\.spec\.)"), "test")
-        + add(name.rlike(r"^(main|index|app|lib|mod)\.[a-z]+$"), "entry")
-        + add(name.rlike(r"(service|controller|handler|router|server)"), "service")
+        points(low.rlike(r"/tests?/|/test_") | name.rlike(r"\.spec\.|[._]test\.|^test_"), "test")
+        + points(name.isin(ENTRY_FILES), "entry")
+        + points(name.isin(SERVICE_FILES), "service")
         + F.regexp_count(low, F.lit("/src/")) * IMPORTANCE["src"]
-        + add(low.rlike(r"/(core|lib|common|shared)/"), "core")
-        + add(name.isin("cargo.toml", "package.json", "pyproject.toml", "go.mod", "pubspec.yaml"), "manifest")
-        + add(name.endswith(".md"), "markdown")
-        + add(name.rlike(r"\.(json|ya?ml|toml)$"), "config")
-        + add(low.rlike(r"/(dist|target|generated|migrations)/"), "generated")
+        + points(low.rlike(r"/(core|lib|common|shared)/"), "core")
+        + points(name.isin(MANIFEST_FILES), "manifest")
+        + points(name.endswith(".md"), "markdown")
+        + points(name.rlike(r"\.(json|ya?ml|toml)$"), "config")
+        + points(low.rlike(r"/(dist|target|generated|migrations)/"), "generated")
         + F.greatest(depth - 6, F.lit(0)) * IMPORTANCE["depth"]
     ).cast("long")
 
@@ -107,9 +124,93 @@ def short_cell(cell: Column, most: int = 40) -> Column:
 
 
 def signature(text: Column, most: int = 240) -> Column:
-    """A definition up to its body or line end, blanks as single spaces, ``most`` characters at most."""
+    """A definition up to its body or line end, blanks as single spaces, ``most`` bytes at most."""
     head = F.regexp_extract(text, r"^[^{\n]*", 0)
-    return F.left(F.trim(F.regexp_replace(head, r"\s+", " ")), F.lit(most))
+    return cut_bytes(F.trim(F.regexp_replace(head, r"\s+", " ")), most)
+
+
+def cut_bytes(text: Column, most: int, mark: str = "") -> Column:
+    """The text's first ``most`` bytes, less those of a character that would be cut, and ``mark`` where something is left out."""
+    raw = text.cast("binary")
+    starts = [F.substring(raw, 1, most - i).cast("string") for i in range(4)]
+    cut = F.coalesce(*[F.when(F.is_valid_utf8(x), x) for x in starts[: most + 1]], F.lit(""))
+    return F.when(F.octet_length(text) > most, F.concat(cut, F.lit(mark))).otherwise(text)
+
+
+def head_lines(text: Column, n: int) -> Column:
+    return F.array_join(F.slice(F.split(text, "\n", -1), 1, n), "\n")
+
+
+#: Comment mark of the line that heads a cut text, by ending.
+HEADERS = {"py": "#", "sh": "#", "yaml": "#", "yml": "#", "toml": "#", "sql": "--", "html": "<!--", "md": "<!--"}
+
+
+def cut_unknown(path: Column, text: Column, most_bytes: int = 2048, most_lines: int = 50) -> Column:
+    """A text of no known language: its first lines, under a comment that says so where something is left out."""
+    ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    marks = F.create_map(*[F.lit(x) for pair in HEADERS.items() for x in pair])
+    cut = head_lines(cut_bytes(text, most_bytes), most_lines)
+    return F.when(cut == text, text).otherwise(F.concat(F.coalesce(F.element_at(marks, ext), F.lit("//")), F.lit(" TRUNCATED\n"), cut))
+
+
+def journal_words(text: str) -> list[str]:
+    """Words between blanks of two bytes or more, then in small letters; repeated ones stay."""
+    return [w.lower() for w in text.split() if len(w.encode()) >= 2]
+
+
+def path_terms(text: str) -> list[str]:
+    """Words between blanks in small ASCII letters, of two bytes or more."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return [w.translate(low) for w in text.split() if len(w.encode()) >= 2]
+
+
+def bare_name(symbol: Column) -> Column:
+    """The last word of a kind and a name, in small letters."""
+    return F.lower(F.element_at(F.split(F.trim(symbol), r"\s+"), -1))
+
+
+def utc_time(seconds: Column) -> Column:
+    """Seconds since 1970 as YYYY-MM-DD HH:MM:SS UTC, whatever the session's time zone."""
+    return F.concat(F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
+
+
+def value_kind(json: Column) -> Column:
+    """What a JSON text holds: {object}, [array], string, number, bool, null, or value where it is no JSON."""
+    t = F.btrim(json, F.lit(" \t\r\n"))
+    valid = F.try_parse_json(json).isNotNull()
+    kind = F.when(t.startswith("{"), "{object}").when(t.startswith("["), "[array]").when(t.startswith('"'), "string").when(t.isin("true", "false"), "bool").when(t == "null", "null").otherwise("number")
+    return F.when(valid, kind).otherwise("value")
+
+
+def todo(line: Column) -> Column:
+    return line.rlike("(?i)todo|fixme")
+
+
+def has_tag(tags: Column, wanted: Sequence[str]) -> Column:
+    """Some wanted tag is among the tags, in whatever case; all rows where none is wanted."""
+    if not wanted:
+        return F.lit(True)
+    return F.coalesce(F.arrays_overlap(F.transform(tags, F.lower), F.array(*[F.lit(w.lower()) for w in wanted])), F.lit(False))
+
+
+def in_scope(path: Column, scope: str) -> Column:
+    """The path is the scope or lies below it; all do below ``.``."""
+    scope = scope.strip("/").removeprefix("./")
+    return F.lit(True) if scope in ("", ".") else (path == scope) | path.startswith(f"{scope}/")
+
+
+def element_overhead(path: Column) -> Column:
+    """Bytes that a file's element adds to its content."""
+    return F.octet_length(path) + 33
+
+
+def query_limit(budget: int, limit: int = 30) -> int:
+    """Files that a query within a token budget asks for, of ``limit`` at most."""
+    return max(1, min(max(8, min(budget // 1500, 60)), limit))
+
+
+def candidate_limit(limit: int) -> int:
+    return max(80, min(limit * 12, 400))
 
 
 def unquoted(text: Column) -> Column:

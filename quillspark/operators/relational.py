@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,11 +36,20 @@ def longest_prefix(paths: DataFrame, owners: DataFrame, path: str, owner: str) -
     return paths.join(best, path, "left")
 
 
-def tightest_interval(points: DataFrame, spans: DataFrame, group: str, at: str, low: str, high: str, name: str) -> DataFrame:
-    """points with the name of the span of its group that holds it and begins last (of ties the smallest name); null without one."""
-    held = points.join(spans.select(group, low, high, name), group).filter((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high)))
-    best = held.groupBy(*points.columns).agg(F.min(F.struct((F.lit(0) - F.col(low)).alias("late"), name)).alias("best"))
-    return points.join(best.select(*points.columns, F.col(f"best.{name}").alias(name)), points.columns, "left")
+def tightest_interval(points: DataFrame, spans: DataFrame, group: str, at: str, low: str, high: str, name: str, width: int = 1000) -> DataFrame:
+    """points with the name of the span of its group that holds it and begins last (of ties the smallest name); null without one.
+
+    Spans are exploded to the bins of ``width`` that they touch, and met by an
+    equi-join on group and bin: a point meets the spans near it, not all of its
+    group, and a hot group is dealt out by bins. Choose the width near the
+    spans' usual length.
+    """
+    bins = F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))).alias("__bin")
+    near = spans.filter(F.col(low) <= F.col(high)).select(group, low, high, name, bins)
+    keys = points.select(group, at).distinct()
+    held = keys.withColumn("__bin", F.floor(F.col(at) / width)).join(near, [group, "__bin"]).filter((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high)))
+    best = held.groupBy(group, at).agg(F.min(F.struct((F.lit(0) - F.col(low)).alias("late"), name)).alias("best"))
+    return points.join(best.select(group, at, F.col(f"best.{name}").alias(name)), [group, at], "left").select(*points.columns, name)
 
 
 def territory(symbols: DataFrame, group: str, line: str, last: Column) -> DataFrame:
@@ -57,23 +69,36 @@ def within_cap(rows: DataFrame, group: str, order: list[Column], size: Column, c
     return rows.withColumn("__before", F.coalesce(before, F.lit(0))).filter(F.col("__before") < cap).drop("__before")
 
 
-def pack_greedy(rows: DataFrame, group: str, order: list[str], size: str, key: str, budget: int) -> DataFrame:
-    """group, key of the rows taken in order while they fit the budget; a row too large is skipped and later ones may still fit.
+def in_order(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """rows dealt by group and sorted in each task, for a fold that keeps only its state between batches."""
+    return rows.repartition(F.col(group)).sortWithinPartitions(group, *order)
 
-    A fold over each group's sorted candidates (those that fit on their own): what it has taken decides
-    what fits next, which no window frame can say.
-    """
-    items = F.sort_array(F.collect_list(F.when(F.col(size) <= budget, F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("key"), F.col(size).alias("size")))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("taken"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["size"] <= budget
-        return F.struct(
-            F.when(fits, acc["used"] + x["size"]).otherwise(acc["used"]).cast("long").alias("used"),
-            F.when(fits, F.concat(acc["taken"], F.array(x["key"].cast("long")))).otherwise(acc["taken"]).alias("taken"),
-        )
+def pack_greedy(rows: DataFrame, group: str, order: list[str], size: str, key: str, budget: int, fixed: int = 0) -> DataFrame:
+    """group, used (all that is taken), n_taken and key of the rows taken in order while they fit the budget; a row too large is skipped and later ones may still fit.
 
-    return rows.groupBy(group).agg(F.aggregate(items, start, step).alias("got")).select(group, "got.used", F.size("got.taken").alias("n_taken"), F.explode("got.taken").alias(key))
+    What has been taken decides what fits next, which no window frame can say:
+    each group's rows that fit on their own pass one task in order, which keeps
+    a sum. Ties are broken by the key; ``fixed`` is taken before the first row.
+    """
+    own = rows.filter((F.col(size) <= budget) & F.col(group).isNotNull()).select(F.col(group).alias("g"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("k"), F.col(size).cast("long").alias("s"))
+    dealt = in_order(own, "g", [*[f"o{i}" for i in range(len(order))], "k"]).select("g", "k", "s")
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used = None, fixed
+        for b in batches:
+            kept = []
+            for i, (g, s) in enumerate(zip(b.column("g").to_pylist(), b.column("s").to_pylist(), strict=True)):
+                if g != last:
+                    last, used = g, fixed
+                if used + s <= budget:
+                    used += s
+                    kept.append(i)
+            yield b.take(pa.array(kept, pa.int64()))
+
+    taken = dealt.mapInArrow(take, dealt.schema)
+    sums = taken.groupBy("g").agg((F.sum("s") + fixed).cast("long").alias("used"), F.count(F.lit(1)).cast("int").alias("n_taken"))
+    return taken.join(sums, "g").select(F.col("g").alias(group), "used", "n_taken", F.col("k").alias(key))
 
 
 def first_per(rows: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from .relational import in_order
+
 LEVELS = 6
 
 
@@ -25,7 +32,7 @@ def section_ends(heads: DataFrame, key: str, at: str, level: str, last: Column)
     of that level or above; a heading takes the one of its own level. Headings
     at the same place do not end each other.
     """
-    after = Window.partitionBy(key).orderBy(at).rangeBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(key).orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, -1)  # from the end, so that each row adds to one sum
     nexts = [F.min(F.when(F.col(level) <= n, F.col(at))).over(after) for n in range(1, LEVELS + 1)]
     return heads.withColumn("__next", F.element_at(F.array(*nexts), F.col(level).cast("int"))).withColumn("end", F.coalesce(F.col("__next") - 1, last)).drop("__next")
 
@@ -35,21 +42,31 @@ def line_groups(spans: DataFrame, key: str, low: str, high: str, most: int) -> D
 
     A span that would make its run too long starts the next run, alone if it is
     too long itself. Which run a span is in depends on where the run began,
-    which no window frame can say: a fold over each key's sorted spans. A key is
-    a file here, whose symbols are bounded by its text.
+    which no window frame can say: each key's spans pass one task in order,
+    which keeps the open run.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(low).cast("long").alias("low"), F.col(high).cast("long").alias("high"))))
-    kind = "array<struct<first: bigint, last: bigint, n: bigint>>"
-
-    def step(runs: Column, x: Column) -> Column:
-        open_ = F.element_at(runs, -1)
-        fits = (F.size(runs) > 0) & (F.greatest(open_["last"], x["high"]) - open_["first"] < most)
-        grown = F.struct(open_["first"].alias("first"), F.greatest(open_["last"], x["high"]).alias("last"), (open_["n"] + 1).alias("n"))
-        own = F.struct(x["low"].alias("first"), x["high"].alias("last"), F.lit(1).cast("long").alias("n"))
-        return F.when(fits, F.concat(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(runs, F.array(own))).cast(kind)
-
-    folded = spans.filter(F.col(low).isNotNull() & F.col(high).isNotNull()).groupBy(key).agg(F.aggregate(items, F.array().cast(kind), step).alias("runs"))
-    return folded.select(key, F.inline("runs"))
+    own = spans.filter(F.col(key).isNotNull() & F.col(low).isNotNull() & F.col(high).isNotNull()).select(F.col(key).alias("k"), F.col(low).cast("long").alias("low"), F.col(high).cast("long").alias("high"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list = []
+        for b in batches:
+            done = []
+            for k, low_, high_ in zip(*(b.column(c).to_pylist() for c in ("k", "low", "high")), strict=True):
+                if open_ and open_[0] == k and max(open_[2], high_) - open_[1] < most:
+                    open_[2], open_[3] = max(open_[2], high_), open_[3] + 1
+                else:
+                    done += [open_] if open_ else []
+                    open_ = [k, low_, high_, 1]
+            yield made(done)
+        yield made([open_] if open_ else [])
+
+    def made(runs: list) -> pa.RecordBatch:
+        columns = list(zip(*runs, strict=True)) if runs else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["k", "first", "last", "n"])
+
+    kinds = [to_arrow_type(own.schema["k"].dataType), pa.int64(), pa.int64(), pa.int64()]
+    out = T.StructType([own.schema["k"], *[T.StructField(c, T.LongType()) for c in ("first", "last", "n")]])
+    return in_order(own, "k", ["low", "high"]).mapInArrow(run, out).withColumnRenamed("k", key)
 
 
 def within_budget(rows: DataFrame, group: str, order: list[Column], size: Column, budget: int) -> DataFrame:

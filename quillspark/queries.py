@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import edits as E
 from .functions import paths as P
@@ -37,10 +38,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @query("""SELECT * FROM customer WHERE contains(lower(c_custkey::VARCHAR), 'build') OR contains(lower(c_name), 'build')
-OR contains(lower(c_nationkey::VARCHAR), 'build') OR contains(lower(c_mktsegment), 'build')""")
+OR contains(lower(c_nationkey::VARCHAR), 'build') OR contains(lower(c_acctbal::VARCHAR), 'build') OR contains(lower(c_mktsegment), 'build')""")
 def cell_search(spark, sf_dir):
     rows = table(spark, sf_dir, "customer")
-    return rows.filter(X.any_cell_contains([F.col(c) for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")], "BUILD"))
+    return rows.filter(X.any_cell_contains([F.col(c) for c in rows.columns], "BUILD"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
@@ -121,7 +122,7 @@ def enclosing_span(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("sec", F.unix_seconds(F.col("ts").cast("timestamp")))
     kind = events.agg(F.min("event_type").alias("kind"))
     spans = events.join(F.broadcast(kind), F.col("event_type") == F.col("kind")).select("user_id", F.col("event_id").alias("span"), F.col("sec").alias("low"), (F.col("sec") + 86400).alias("high"))
-    return R.tightest_interval(events.select("event_id", "user_id", "sec"), spans, "user_id", "sec", "low", "high", "span").withColumn("span", F.coalesce("span", F.lit(-1)))
+    return R.tightest_interval(events.select("event_id", "user_id", "sec"), spans, "user_id", "sec", "low", "high", "span", width=86_400).withColumn("span", F.coalesce("span", F.lit(-1)))
 
 
 @query("""SELECT o_custkey, o_orderkey, coalesce(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1, 999999999)::BIGINT AS "end" FROM orders""")
@@ -162,9 +163,11 @@ def scan_funnel(spark, sf_dir):
     return counts.join(first, "lang", "left")
 
 
-@query("""SELECT max(least(octet_length(encode(p_name)), 40))::INT AS p_name, max(least(octet_length(encode(p_brand)), 40))::INT AS p_brand, max(least(octet_length(encode(p_type)), 40))::INT AS p_type FROM part""")
+@query("""SELECT max(least(octet_length(encode(p_name)), 40))::INT AS p_name, max(least(octet_length(encode(p_brand)), 40))::INT AS p_brand, max(least(octet_length(encode(p_type)), 40))::INT AS p_type,
+max(least(octet_length(encode(p_partkey::VARCHAR)), 40))::INT AS p_partkey, max(least(octet_length(encode(p_size::VARCHAR)), 40))::INT AS p_size, max(least(octet_length(encode(p_retailprice::VARCHAR)), 40))::INT AS p_retailprice FROM part""")
 def column_widths(spark, sf_dir):
-    return table(spark, sf_dir, "part").agg(*[F.max(F.least(F.octet_length(c), F.lit(40))).alias(c) for c in ("p_name", "p_brand", "p_type")])
+    rows = table(spark, sf_dir, "part")
+    return rows.agg(*[F.max(F.least(F.octet_length(F.col(c).cast("string")), F.lit(40))).alias(c) for c in rows.columns])
 
 
 @query("""SELECT a.conv_id, trim(a.text, ' ') = trim(b.text, ' ') AS same FROM conversations a JOIN conversations b USING (conv_id) WHERE a.turn = 0 AND b.turn = 1""")
@@ -202,7 +205,8 @@ def line_chunks(spark, sf_dir):
 SELECT doc_id, count(*) AS lines, sum(len(regexp_extract_all(line, '\bthe\b')))::BIGINT AS uses, array_to_string(list_sort(list(n))[1:5], ',') AS first_lines FROM w WHERE contains(line, 'the') AND regexp_matches(line, '\bthe\b') GROUP BY doc_id""")
 def usages(spark, sf_dir):
     rows = files.lines(table(spark, sf_dir, "documents").filter(F.contains("text", F.lit("the"))), key="doc_id").filter(F.col("line").rlike(r"\bthe\b"))
-    first = F.array_join(F.slice(F.sort_array(F.collect_list("line_no")), 1, 5).cast("array<string>"), ",")
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")))
+    first = F.array_join(F.sort_array(F.collect_list(F.when(F.col("rank") <= 5, F.col("line_no")))).cast("array<string>"), ",")
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.regexp_count("line", F.lit(r"\bthe\b"))).alias("uses"), first.alias("first_lines"))
 
 
@@ -222,7 +226,10 @@ def tag_listing(spark, sf_dir):
     return R.first_per(table(spark, sf_dir, "events").select("event_type", "event_id", "ts"), ["event_type"], [F.desc("ts"), F.col("event_id")], 50).select("event_type", "event_id")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_totalprice::BIGINT AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM (SELECT o_custkey, o_orderkey, o_orderdate, trunc(o_totalprice) AS o_totalprice FROM orders) WHERE o_totalprice::BIGINT <= 500000),
+p AS (SELECT o_custkey, o_orderkey, r, size AS used, true AS kept FROM o WHERE r = 1 UNION ALL
+SELECT o.o_custkey, o.o_orderkey, o.r, CASE WHEN p.used + o.size <= 500000 THEN p.used + o.size ELSE p.used END, p.used + o.size <= 500000 FROM p JOIN o ON o.o_custkey = p.o_custkey AND o.r = p.r + 1)
+SELECT o_custkey, (max(used) OVER (PARTITION BY o_custkey))::BIGINT AS used, (count(*) OVER (PARTITION BY o_custkey))::INT AS n_taken, o_orderkey FROM p WHERE kept""")
 def budget_packing(spark, sf_dir):
     return R.pack_greedy(table(spark, sf_dir, "orders").withColumn("size", F.col("o_totalprice").cast("long")), "o_custkey", ["o_orderdate"], "size", "o_orderkey", 500_000)
 
@@ -273,7 +280,11 @@ def minified_guard(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.minified(F.col("text")).alias("minified"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT user_id, event_id % 5000 AS low, event_id % 5000 + 30 AS high, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 5000, event_id) AS r FROM events),
+g AS (SELECT user_id, r, low AS first, high AS last, 1::BIGINT AS run FROM s WHERE r = 1 UNION ALL
+SELECT s.user_id, s.r, CASE WHEN greatest(g.last, s.high) - g.first < 80 THEN g.first ELSE s.low END, CASE WHEN greatest(g.last, s.high) - g.first < 80 THEN greatest(g.last, s.high) ELSE s.high END,
+CASE WHEN greatest(g.last, s.high) - g.first < 80 THEN g.run ELSE g.run + 1 END FROM g JOIN s ON s.user_id = g.user_id AND s.r = g.r + 1)
+SELECT user_id, min(first)::BIGINT AS first, max(last)::BIGINT AS last, count(*) AS n FROM g GROUP BY user_id, run""")
 def line_grouping(spark, sf_dir):
     spans = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 5000).alias("low"), (F.col("event_id") % 5000 + 30).alias("high"))
     return C.line_groups(spans, "user_id", "low", "high", 80)
