@@ -1,15 +1,25 @@
 """Definitions, imports, implementations and calls in source lines, found by patterns (DataFrame operations only).
 
-Input is lines(rel_path, ext, line_no, line); nothing is parsed, so that a
-definition must start on a line of its own. Null lines hold nothing.
+Input is lines(rel_path, ext, line_no, line), or texts(rel_path, ext, text)
+where comments and strings must not count; nothing is parsed, so that a
+definition must start on a line of its own. Null texts and lines hold nothing.
+A file is bounded (sources.files leaves large ones out), so that what belongs to
+one file may meet in one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import code as K
+from ..functions import text as X
+from ..functions.names import casing_variants
 from . import relational as R
 
 NAME = r"([\p{L}_$][\p{L}\p{N}_$]*)"
@@ -26,10 +36,30 @@ DEFINITIONS = {
         "interface": rf"^\s*(?:export\s+)?interface\s+{NAME}",
     },
     "go": {"function": rf"^func\s+(?:\([^)]*\)\s*)?{NAME}", "type": rf"^type\s+{NAME}"},
+    "java": {
+        "class": rf"^\s*(?:(?:public|private|protected|abstract|final|static|sealed)\s+)*(?:class|interface|enum|record)\s+{NAME}",
+        "method": rf"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized|override|virtual|async)\s+)+[\w<>\[\],.?\s]*?\b{NAME}\s*\(",
+    },
+    "c": {"struct": rf"^\s*(?:typedef\s+)?(?:struct|enum|union|class)\s+{NAME}\s*\{{", "function": rf"^[A-Za-z_][\w\s*&:<>,]*?[\s*&]{NAME}\s*\([^;]*$"},
+    "php": {"function": rf"^\s*(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+&?{NAME}", "class": rf"^\s*(?:(?:abstract|final)\s+)?(?:class|interface|trait)\s+{NAME}"},
+    "rb": {"function": r"^\s*def\s+(?:self\.)?([\p{L}_][\p{L}\p{N}_]*[?!=]?)", "class": rf"^\s*(?:class|module)\s+{NAME}"},
+    "proto": {"message": rf"^\s*(?:message|enum|service)\s+{NAME}", "rpc": rf"^\s*rpc\s+{NAME}"},
+}
+DEFINITIONS["ts"] |= {
+    "arrow": rf"^\s*(?:export\s+)?(?:const|let|var)\s+{NAME}\s*(?::[^=]+)?=\s*(?:async\s+)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>",
+    "method": rf"^\s+(?:(?:public|private|protected|static|async|get|set|override|readonly)\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b|new\b|else\b){NAME}\s*\([^;]*\)\s*(?::[^{{;]+)?\{{\s*$",
 }
-IMPORTS = {"rs": r"^\s*(?:pub\s+)?use\s+([^;]+);", "ts": r"^\s*(?:import|export)\b.*?['\"]([^'\"]+)['\"]"}
+DEFINITIONS["dart"] = {"class": rf"^\s*(?:abstract\s+)?class\s+{NAME}", "function": rf"^\s*[\w<>?]+\s+{NAME}\s*\([^;]*\)\s*(?:async\s*)?\{{"}
+#: Kinds that hold calls.
+CALLABLE = ["function", "method", "arrow", "rpc"]
+#: What makes a symbol visible to other files, by ending.
+EXPORTS = {"rs": r"^\s*pub\s+(?:async\s+|const\s+|unsafe\s+)*(?:fn|struct|enum|trait)\s+(\w+)", "ts": rf"^\s*export\s+(?:default\s+)?(?:abstract\s+|async\s+)*(?:function\s*\*?|class|const|let|var|interface|type|enum)\s+{NAME}"}
+#: Words that stand before brackets but call nothing, and calls so common that they tell nothing.
+NO_CALLS = "if for while switch match return catch function fn def class new await typeof sizeof in is not and or else elif loop yield assert print println format vec panic".split()
+COMMON_CALLS = "clone to_string to_owned into from default trim len push pop clear iter collect map filter fold any all find next unwrap expect ok err contains split replace get set insert remove join extend append keys values items log str int list dict range".split()
+IMPORTS = {"py": r"^\s*(?:from\s+(\S+)\s+import\b|import\s+\S)", "java": r"^\s*(?:import|using)\s+([\w.*\s]+);", "c": r"^\s*#\s*include\s+[<\"]([^>\"]+)", "rs": r"^\s*(?:pub\s+)?use\s+([^;]+);", "ts": r"^\s*(?:import|export)\b.*?['\"]([^'\"]+)['\"]"}
 IMPLEMENTS = {"rs": r"^\s*(?:unsafe\s+)?impl(?:<[^{]*?>)?\s+(?:[\w:]+::)?(\w+)(?:<.*?>)?\s+for\s+([\w:]+)", "ts": rf"\bclass\s+()?{NAME}[^{{]*?\bimplements\s+([\w\s,.]+)"}
-ALIASES = {"tsx": "ts", "js": "ts", "jsx": "ts", "mjs": "ts"}
+ALIASES = {"tsx": "ts", "js": "ts", "jsx": "ts", "mjs": "ts", "cjs": "ts", "cs": "java", "h": "c", "cpp": "c", "cc": "c", "hpp": "c"}
 
 
 def _language():
@@ -69,6 +99,177 @@ def skeleton(lines: DataFrame) -> DataFrame:
     return lines.join(kept, ["rel_path", "line_no"]).select("rel_path", "line_no", "line", (F.col("line_no") - before - 1).alias("gap"))
 
 
+def code_lines(texts: DataFrame) -> DataFrame:
+    """rel_path, ext, line_no, raw (the line) and line (without comments and strings) of texts(rel_path, ext, text)."""
+    both = texts.select("rel_path", "ext", "text", K.code_only(F.col("text"), F.col("ext")).alias("__code"))
+    split = lambda c: F.split(F.coalesce(c, F.lit("")), "\n", -1)
+    pairs = F.arrays_zip(split(F.col("text")).alias("raw"), split(F.col("__code")).alias("line"))
+    return both.select("rel_path", "ext", F.posexplode(pairs).alias("line_no", "p")).select("rel_path", "ext", (F.col("line_no") + 1).alias("line_no"), "p.raw", "p.line")
+
+
+def extents(lines: DataFrame) -> DataFrame:
+    """rel_path, ext, name, kind, line_no, line_end and signature of each definition in ``code_lines``.
+
+    Where braces bound blocks, a definition ends with the line that closes what
+    it opened, or with a semicolon before anything is opened. In Python and Ruby
+    it ends before the next line that is indented no deeper (Ruby: with it).
+    """
+    count = lambda c: F.length("line") - F.length(F.replace("line", F.lit(c), F.lit("")))
+    at = Window.partitionBy("rel_path").orderBy("line_no")
+    indent = F.when(F.trim("line") != "", F.length(F.regexp_extract("line", r"^[ \t]*", 0)))
+    each = lines.withColumns({"opens": F.sum(count("{")).over(at), "closes": F.sum(count("}")).over(at), "indent": indent, "ends": F.rtrim("line").endswith(";")})
+    row = F.struct("line_no", "opens", (F.col("opens") - F.col("closes")).alias("depth"), "indent", "ends")
+    files = each.groupBy("rel_path").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    found = symbols(lines).join(lines.select("rel_path", "ext", "line_no", "raw"), ["rel_path", "line_no"]).join(files, "rel_path")
+    own, before = F.get("rows", F.col("line_no") - 1), F.get("rows", F.col("line_no") - 2)
+    found = found.withColumns({"own": own, "depth0": F.coalesce(before["depth"], F.lit(0)), "opens0": F.coalesce(before["opens"], F.lit(0))})
+    later = lambda cond: F.array_min(F.transform(F.filter("rows", lambda x: (x["line_no"] >= F.col("line_no")) & cond(x)), lambda x: x["line_no"]))
+    braces = later(lambda x: ((x["opens"] > F.col("opens0")) & (x["depth"] <= F.col("depth0"))) | ((x["opens"] == F.col("opens0")) & x["ends"]))
+    dedent = later(lambda x: (x["line_no"] > F.col("line_no")) & (x["indent"] <= F.col("own.indent")))
+    last = F.array_max(F.transform(F.filter("rows", lambda x: x["indent"].isNotNull() & (x["line_no"] < F.coalesce(dedent, F.lit(2**31 - 1)))), lambda x: x["line_no"]))
+    lang = K.language(F.col("ext"))
+    end = F.when(lang == "python", last).when(lang == "ruby", F.coalesce(dedent, last)).otherwise(F.coalesce(braces, F.size("rows")))
+    return found.select("rel_path", "ext", "name", "kind", "line_no", F.greatest(end, "line_no").alias("line_end"), X.signature(F.trim("raw")).alias("signature"))
+
+
+def exports(lines: DataFrame) -> DataFrame:
+    """rel_path and the sorted different names that the file shows to others."""
+    found = F.coalesce(*[F.when((_language() == e) & F.col("line").rlike(p), F.regexp_extract("line", p, 1)) for e, p in EXPORTS.items()])
+    return lines.select("rel_path", found.alias("e")).filter("e IS NOT NULL").groupBy("rel_path").agg(F.sort_array(F.collect_set("e")).alias("exports"))
+
+
+def analysis(texts: DataFrame) -> DataFrame:
+    """rel_path, imports, exports (sorted, each once) and symbols (by line and name) of each file; minified ones have none."""
+    lines = code_lines(texts.filter(~X.minified(F.col("text"))))
+    used = imports(lines.withColumn("line", F.col("raw"))).groupBy("rel_path").agg(F.sort_array(F.collect_set("imports")).alias("imports"))
+    cells = F.struct("line_no", "name", "kind", "line_end", "signature")
+    defined = extents(lines).groupBy("rel_path").agg(F.sort_array(F.collect_list(cells)).alias("symbols"))
+    out = texts.select("rel_path")
+    for part in (used, exports(lines), defined):
+        out = out.join(part, "rel_path", "left")
+    nothing = F.array().cast("array<string>")
+    return out.select("rel_path", F.coalesce("imports", nothing).alias("imports"), F.coalesce("exports", nothing).alias("exports"), F.coalesce("symbols", F.array().cast(defined.schema["symbols"].dataType)).alias("symbols"))
+
+
+def word(names: Sequence[str]) -> str:
+    return r"(?<![\w$])(?:" + "|".join(names) + r")(?![\w$])"
+
+
+def usages(texts: DataFrame, name: str, around: int = 2) -> DataFrame:
+    """rel_path, line_no, category and context of each line of code that uses the name, comments and strings aside; by category, file and line.
+
+    Texts without the name are left out before anything is cut.
+    """
+    some = texts.filter(F.contains("text", F.lit(name)) & F.is_valid_utf8("text"))
+    used = code_lines(some).filter(F.col("line").rlike(word([name]))).select("rel_path", "line_no", K.category(F.col("line"), name).alias("category"))
+    context = X.context_window(F.split("text", "\n", -1), F.col("line_no"), around)
+    rank = F.array_position(F.array(*[F.lit(c) for c in K.CATEGORIES]), F.col("category"))
+    return used.join(some.select("rel_path", "text"), "rel_path").select("rel_path", "line_no", "category", context.alias("context")).orderBy(rank, "rel_path", "line_no")
+
+
+def usage_counts(texts: DataFrame, name: str) -> DataFrame:
+    """Uses by category."""
+    return usages(texts, name).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def outgoing(texts: DataFrame, name: str) -> DataFrame:
+    """rel_path, caller_line, callee and line_no of the calls within each definition of the name; of each callee the first.
+
+    Words that call nothing, calls that are common everywhere, and the definition's own first line are left out.
+    """
+    lines = code_lines(texts.filter(F.contains("text", F.lit(name))))
+    own = extents(lines).filter(F.col("name") == name).select("rel_path", F.col("line_no").alias("caller_line"), "line_end")
+    targets = F.explode(F.regexp_extract_all("line", F.lit(r"([\p{L}_$][\p{L}\p{N}_$.:]*)\s*!?\("), 1)).alias("target")
+    calls = lines.join(own, "rel_path").filter((F.col("line_no") > F.col("caller_line")) & (F.col("line_no") <= F.col("line_end")))
+    calls = calls.select("rel_path", "caller_line", "line_no", targets).withColumn("callee", K.called_name(F.col("target"))).filter("callee IS NOT NULL")
+    calls = calls.filter(~F.col("callee").isin(NO_CALLS + COMMON_CALLS))
+    return R.first_per(calls.select("rel_path", "caller_line", "callee", "line_no"), ["rel_path", "caller_line", "callee"], [F.col("line_no")]).drop("rank")
+
+
+def incoming(texts: DataFrame, name: str, most: int = 30) -> DataFrame:
+    """rel_path, line_no, caller (the tightest definition around it, null outside) of the first ``most`` calls of the name by file and line."""
+    lines = code_lines(texts.filter(F.contains("text", F.lit(name))))
+    found = extents(lines)
+    calls = lines.filter(F.col("line").rlike(rf"(?<![\w$]){name}\s*\(")).join(found.filter(F.col("name") == name), ["rel_path", "line_no"], "left_anti")
+    calls = calls.select("rel_path", "line_no").orderBy("rel_path", "line_no").limit(most)
+    spans = found.filter(F.col("kind").isin(CALLABLE)).select("rel_path", F.col("name").alias("caller"), F.col("line_no").alias("low"), F.col("line_end").alias("high"))
+    return R.tightest_interval(calls, spans, "rel_path", "line_no", "low", "high", "caller", width=200)
+
+
+def blast_radius(texts: DataFrame, name: str) -> DataFrame:
+    """section (definition, outgoing, incoming), rel_path, line_no and other (kind, callee or caller) of all that a change of the name may touch."""
+    own = extents(code_lines(texts.filter(F.contains("text", F.lit(name))))).filter(F.col("name") == name)
+    part = lambda df, section, other: df.select(F.lit(section).alias("section"), "rel_path", "line_no", F.col(other).alias("other"))
+    return part(own, "definition", "kind").unionByName(part(outgoing(texts, name), "outgoing", "callee")).unionByName(part(incoming(texts, name), "incoming", "caller"))
+
+
+def read_symbols(texts: DataFrame, name: str, most_lines: int = 500) -> DataFrame:
+    """instance (from 0, by file and line), rel_path, kind, line_no, line_end and source of each definition of the name.
+
+    Where no name is equal, those that differ only in case count. A source longer than ``most_lines`` is cut and says so.
+    """
+    some = texts.filter(F.contains(F.lower("text"), F.lit(name.lower())))
+    found = extents(code_lines(some)).filter(F.lower("name") == name.lower()).withColumn("exact", F.col("name") == name)
+    found = found.withColumn("any", F.max("exact").over(Window.partitionBy(F.lit(1)))).filter("exact OR NOT any")  # definitions of one name
+    n = F.col("line_end") - F.col("line_no") + 1
+    body = F.array_join(F.slice(F.split("text", "\n", -1), F.col("line_no"), F.least(n, F.lit(most_lines))), "\n")
+    source = F.when(n > most_lines, F.concat(body, F.format_string("\n... (%d lines more)", n - most_lines))).otherwise(body)
+    rank = F.row_number().over(Window.orderBy("rel_path", "line_no")) - 1
+    return found.join(some.select("rel_path", "text"), "rel_path").select(rank.alias("instance"), "rel_path", "kind", "line_no", "line_end", source.alias("source"))
+
+
+def first_definition(defined: DataFrame, target: str) -> DataFrame:
+    """Of ``extents`` the first row by file and line that ``name`` or ``kind:name`` means."""
+    hit = (F.col("name") == target) | (F.concat_ws(":", "kind", "name") == target)
+    return defined.filter(hit).orderBy("rel_path", "line_no").limit(1)
+
+
+#: What a file's ending says of its part in a change.
+DOMAINS = {"proto": ["proto"], "rust": ["rs"], "typescript": ["ts", "tsx", "js", "jsx", "mjs", "cjs"], "python": ["py"]}
+
+
+def propagation(texts: DataFrame, name: str, aliases: Sequence[str] = (), most: int = 50) -> DataFrame:
+    """domain, rel_path, uses and first_lines (five, then an ellipsis) of files that use the name or an alias in any casing; the ``most`` first by domain and path."""
+    names = list(dict.fromkeys(v for n in [name, *aliases] for v in casing_variants(n)))
+    some = texts.filter(reduce(or_, [F.contains("text", F.lit(n)) for n in names]))
+    used = code_lines(some).filter(F.col("line").rlike(word(names)))
+    domain = F.lit("other")
+    for k, endings in DOMAINS.items():
+        domain = F.when(F.col("ext").isin(endings), k).otherwise(domain)
+    nth = F.row_number().over(Window.partitionBy("rel_path").orderBy("line_no"))
+    files = used.withColumn("nth", nth).groupBy("rel_path", domain.alias("domain")).agg(
+        F.count(F.lit(1)).alias("uses"), F.sort_array(F.collect_list(F.when(F.col("nth") <= 5, F.col("line_no")))).alias("lines"))
+    first = F.concat(F.array_join(F.col("lines").cast("array<string>"), ", "), F.when(F.col("uses") > 5, ", …").otherwise(""))
+    return files.select("domain", "rel_path", "uses", first.alias("first_lines")).orderBy("domain", "rel_path").limit(most)
+
+
+def bridges(lines: DataFrame, name: str) -> DataFrame:
+    """side, rel_path and line_no where the name crosses from Rust commands to scripts that invoke them."""
+    names = casing_variants(name)
+    with_name = lines.filter(F.col("line").rlike(word(names))).select("rel_path").distinct()
+    rust = lines.filter((F.col("ext") == "rs") & F.col("line").rlike(r"#\[(?:tauri::)?command")).join(with_name, "rel_path", "left_semi")
+    script = lines.filter((_language() == "ts") & F.contains("line", F.lit("invoke(")) & F.col("line").rlike(word(names)))
+    side = lambda df, k: df.select(F.lit(k).alias("side"), "rel_path", "line_no")
+    return side(rust, "command").unionByName(side(script, "invoke"))
+
+
+def overview(texts: DataFrame, pattern: str = "", deep: int = 30, shallow: int = 150) -> DataFrame:
+    """level, folder, rel_path and symbols of the files whose path meets the pattern: of up to ``deep`` files their first 20
+    public symbols by line (shown by kind and name), of up to ``shallow`` their paths, of more only folders with their number of files."""
+    kept = texts.filter(X.path_matches(F.col("rel_path"), pattern))
+    folder = F.regexp_replace("rel_path", r"/?[^/]*$", "")
+    n = kept.count()
+    if n > shallow:
+        return kept.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).cast("string").alias("symbols")).select(F.lit("folders").alias("level"), "folder", F.lit(None).cast("string").alias("rel_path"), "symbols")
+    files = kept.select(F.lit("files" if n > deep else "deep").alias("level"), folder.alias("folder"), "rel_path")
+    if n > deep:
+        return files.withColumn("symbols", F.lit(None).cast("string"))
+    public = extents(code_lines(kept)).filter(K.is_public(F.col("name"), F.col("ext")))
+    first = R.first_per(public, ["rel_path"], [F.col("line_no"), F.col("name")], 20)
+    shown = first.groupBy("rel_path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("kind", "name"))), lambda x: F.concat_ws(" ", x["kind"], x["name"])), ", ").alias("symbols"))
+    return files.join(shown, "rel_path", "left").select("level", "folder", "rel_path", "symbols")
+
+
 def callers(lines: DataFrame, name: str) -> DataFrame:
     """rel_path, line_no and innermost definition around each line that calls name; null outside of definitions.
 

@@ -13,7 +13,13 @@ from .functions import paths as P
 from .functions import text as X
 from .operators import relational as R
 from .operators import sections as C
+from .operators import skeletons as N
+from .plans import explore as D
+from .plans import graphs as G
+from .plans import history as H
+from .plans import index as I
 from .plans import search as S
+from .plans import slices as L
 from .sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -290,6 +296,173 @@ def line_grouping(spark, sf_dir):
     return C.line_groups(spans, "user_id", "low", "high", 80)
 
 
+# Slices, maps, skeletons, chunks and data files over the tables: a document is a file of its source's folder.
+PATHS = "source || '/' || doc_id || '.txt'"
+ADDRESS = "regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
+ELEMENT = r"""'<file path="' || path || '"><![CDATA[' || replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t\r]+(\n)', '\1', 'g'), '\n+', chr(10), 'g'), '[ \t\r\n]+$', ''), ']]>', ']]]]><![CDATA[>') || ']]></file>'"""
+
+
+def document_files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return docs.select(path.alias("rel_path"), F.lit("txt").alias("ext"), F.octet_length("text").cast("long").alias("bytes"), "text", "source", "doc_id")
+
+
+def page_files(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select(F.regexp_replace("url", "^[A-Za-z][A-Za-z0-9+.-]*://", "").alias("rel_path"), F.octet_length("html").cast("long").alias("bytes"), "page_id")
+
+
+@query(f"""WITH p AS (SELECT page_id, lower({ADDRESS}) AS p FROM pages), f AS (SELECT *, regexp_extract(p, '[^/]*$') AS f, len(p) - len(replace(p, '/', '')) AS d FROM p)
+SELECT page_id, (CASE WHEN regexp_matches(p, '/tests?/|/test_') OR regexp_matches(f, '\\.spec\\.|[._]test\\.|^test_') THEN -1000 ELSE 0 END
++ CASE WHEN f IN ('main.rs','lib.rs','mod.rs','build.rs','index.ts','index.tsx','main.ts','main.tsx','app.tsx','app.ts','cli.ts','cli.js','main.go','main.py','__init__.py') THEN 120 ELSE 0 END
++ CASE WHEN f IN ('server.rs','handler.rs','handlers.rs','routes.rs','router.rs','api.rs','controller.rs','service.rs','app.rs','server.ts','handler.ts','routes.ts','router.ts','api.ts','controller.ts','service.ts','server.py','app.py') THEN 90 ELSE 0 END
++ 30 * (len(p) - len(replace(p, '/src/', ''))) // 5 + CASE WHEN regexp_matches(p, '/(core|lib|common|shared)/') THEN 25 ELSE 0 END
++ CASE WHEN f IN ('cargo.toml','package.json','pyproject.toml','go.mod','pubspec.yaml') THEN 60 ELSE 0 END + CASE WHEN ends_with(f, '.md') THEN 10 ELSE 0 END
++ CASE WHEN regexp_matches(f, '\\.(json|ya?ml|toml)$') THEN 5 ELSE 0 END - CASE WHEN regexp_matches(p, '/(dist|target|generated|migrations)/') THEN 30 ELSE 0 END - 5 * greatest(d - 6, 0))::BIGINT AS score FROM f""")
+def importance_scores(spark, sf_dir):
+    return L.by_importance(page_files(spark, sf_dir)).select("page_id", "score")
+
+
+@query(f"""WITH p AS (SELECT page_id, {ADDRESS} AS p, octet_length(encode(html)) AS b FROM pages), s AS (SELECT *, CASE WHEN contains(lower(regexp_extract(p, '[^/]*$')), 'news') THEN 30 WHEN contains(lower(p), 'news') THEN 10 ELSE 0 END
++ CASE WHEN contains(lower(regexp_extract(p, '[^/]*$')), '1') THEN 30 WHEN contains(lower(p), '1') THEN 10 ELSE 0 END AS score FROM p)
+SELECT p AS rel_path, page_id, score::INT AS score FROM s ORDER BY score DESC, b, p, page_id LIMIT 80""")
+def query_candidates(spark, sf_dir):
+    pages = page_files(spark, sf_dir).withColumn("rel_path", F.struct("rel_path", "page_id"))  # an address may stand for several pages
+    scored = pages.withColumn("score", X.path_score(F.col("rel_path.rel_path"), ["news", "1"]))
+    return scored.orderBy(F.desc("score"), "bytes", "rel_path").limit(80).select("rel_path.rel_path", "page_id", "score")
+
+
+SLICE = f"""o AS (SELECT {PATHS} AS path, text, octet_length(encode(text)) + 33 + octet_length(encode({PATHS})) AS size FROM documents),
+r AS (SELECT *, row_number() OVER (ORDER BY path) AS n FROM o), k AS (SELECT * FROM r WHERE n <= 400),
+p AS (SELECT 0::BIGINT AS n, 104::BIGINT AS used, false AS kept UNION ALL SELECT k.n, CASE WHEN p.used + k.size <= 80000 THEN p.used + k.size ELSE p.used END, p.used + k.size <= 80000 FROM p JOIN k ON k.n = p.n + 1)"""
+
+
+@query(f"""WITH RECURSIVE {SLICE} SELECT k.path AS rel_path, row_number() OVER (ORDER BY k.n)::INT AS position, ceil(p.used / 4.0)::BIGINT AS tokens FROM p JOIN k USING (n) WHERE p.kept""")
+def budget_slice(spark, sf_dir):
+    return L.sliced(L.by_importance(document_files(spark, sf_dir)), ["-score"], 20_000, most=400).select("rel_path", "position", "tokens")
+
+
+@query(f"""WITH RECURSIVE {SLICE}, e AS (SELECT k.n, {ELEMENT} AS e FROM p JOIN k USING (n) WHERE p.kept)
+SELECT md5('<context>' || chr(10) || string_agg(e, chr(10) ORDER BY n) || chr(10) || '</context>') AS xml FROM e""")
+def context_document(spark, sf_dir):
+    return L.document(L.sliced(L.by_importance(document_files(spark, sf_dir)), ["-score"], 20_000, most=400)).select(F.md5("xml").alias("xml"))
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT source, {PATHS} AS path, octet_length(encode(text)) + 33 + octet_length(encode({PATHS})) AS size FROM documents WHERE source IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY path) AS n FROM o), k AS (SELECT * FROM r WHERE n <= 200),
+p AS (SELECT source, 0::BIGINT AS n, 104::BIGINT AS used, false AS kept FROM (SELECT DISTINCT source FROM k) UNION ALL
+SELECT k.source, k.n, CASE WHEN p.used + k.size <= 16000 THEN p.used + k.size ELSE p.used END, p.used + k.size <= 16000 FROM p JOIN k ON k.source = p.source AND k.n = p.n + 1)
+SELECT p.source, k.path AS rel_path, ceil(p.used / 4.0)::BIGINT AS tokens FROM p JOIN k USING (source, n) WHERE p.kept""")
+def slices_by_source(spark, sf_dir):
+    docs = document_files(spark, sf_dir).filter("source IS NOT NULL")
+    return L.sliced(L.by_importance(docs), ["-score"], 4000, most=200, group="source").select("source", "rel_path", "tokens")
+
+
+@query(f"""SELECT md5(string_agg(path, chr(10) ORDER BY path)[1:65536]) AS repo_map FROM (SELECT {PATHS} AS path FROM documents ORDER BY 1 LIMIT 4000)""")
+def repository_map(spark, sf_dir):
+    return L.repository_map(document_files(spark, sf_dir)).select(F.md5("repo_map").alias("repo_map"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l, text FROM documents), i AS (SELECT *, (list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '^\s*(?:(?:pub|export|public|private|protected|static|abstract|final|async|default)\s+)*(?:fn|func|function|def|class|struct|enum|trait|interface|impl|module|namespace|package|message|service|type)\s+[\p{L}_]') OR regexp_matches(l[i], '(?i)todo|fixme')))[1:600] AS k FROM l)
+SELECT doc_id, CASE WHEN NOT coalesce(list_bool_or(list_transform(list_filter(l, lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')[1:5], lambda x: octet_length(encode(x)) > 2000)), false)
+THEN md5(CASE WHEN len(k) > 0 THEN array_to_string(list_transform(range(1, len(k) + 1), lambda n: CASE WHEN n > 1 AND k[n] > k[n - 1] + 1 THEN '...' || chr(10) ELSE '' END || rtrim(l[k[n]], ' ')), chr(10)) ELSE array_to_string(l[1:50], chr(10)) END) END AS skeleton FROM i""")
+def universal_skeletons(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(N.universal(F.col("text"))).alias("skeleton"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), n AS (SELECT *, least(3, len(l)) AS n FROM l)
+SELECT doc_id, md5(array_to_string(list_transform(range(greatest(n - 2, 1), least(n + 2, len(l)) + 1), lambda i: CASE WHEN i = n THEN '>>>' ELSE '   ' END || ' ' || lpad(i::VARCHAR, 4, ' ') || ' | ' || l[i]), chr(10))) AS shown FROM n""")
+def context_windows(spark, sf_dir):
+    lines = F.split("text", "\n", -1)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.context_window(lines, F.least(F.lit(3), F.size(lines)))).alias("shown"))
+
+
+@query("""WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS rank, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, rank::INT AS rank, event_id, greatest(n - 50, 0)::BIGINT AS more FROM r WHERE rank <= 50""")
+def newest_by_tag(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id", "ts")
+    return H.listing(rows, ("event_type",), F.desc("ts"), "event_id", 50)
+
+
+@query(f"""WITH f AS (SELECT {ADDRESS} AS p, octet_length(encode(html)) AS b FROM pages) SELECT split_part(p, '/', 1) AS path, CASE WHEN contains(p, '/') THEN 'folder' ELSE 'file' END AS kind, sum(b)::BIGINT AS bytes FROM f GROUP BY ALL""")
+def folder_listing(spark, sf_dir):
+    return G.listing(page_files(spark, sf_dir))
+
+
+@query(f"""WITH f AS (SELECT {ADDRESS} AS p, octet_length(encode(html)) AS b FROM pages), m AS (SELECT split_part(p, '/', 1) AS id, count(*) AS file_count, sum(b)::BIGINT AS bytes FROM f GROUP BY 1)
+SELECT id, id AS label, file_count, bytes, ceil(bytes / 4.0)::BIGINT AS est_tokens, CASE WHEN bytes < 200000 THEN 'small' WHEN bytes < 1500000 THEN 'medium' ELSE 'large' END AS size_class FROM m""")
+def module_sizes(spark, sf_dir):
+    pages = page_files(spark, sf_dir)
+    roots = pages.select(F.split("rel_path", "/")[0].alias("root")).distinct()
+    return G.module_nodes(pages, G.owners(pages, roots))
+
+
+@query("SELECT l_partkey AS target, count(*) AS in_degree FROM lineitem GROUP BY 1")
+def in_degrees(spark, sf_dir):
+    return G.in_degree(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target")))
+
+
+@query("""WITH d AS (SELECT doc_id, n_chars, md5(text) AS h FROM documents), i AS (SELECT l.doc_id, n_chars - toxic AS n, CASE WHEN quality = 0 THEN 'old' ELSE md5(text) END AS h FROM labels l JOIN documents USING (doc_id))
+SELECT count_if(i.doc_id IS NULL)::BIGINT AS added, count_if(n_chars <> n OR (n_chars = n AND d.h <> i.h))::BIGINT AS updated, count_if(d.doc_id IS NULL)::BIGINT AS deleted, count_if(n_chars = n AND d.h = i.h)::BIGINT AS same FROM d FULL JOIN i USING (doc_id)""")
+def refresh_counters(spark, sf_dir):
+    return I.counters(index_changes(spark, sf_dir))
+
+
+@query("""WITH d AS (SELECT doc_id, octet_length(encode(text)) AS b, len(string_split(text, chr(10))) AS n FROM documents), c AS (SELECT doc_id, n, b, unnest(range(0, CASE WHEN b <= 8192 THEN 1 ELSE (n - 1) // 5 + 1 END)) AS i FROM d)
+SELECT doc_id, i::INT AS chunk, (CASE WHEN b <= 8192 THEN 1 ELSE i * 5 + 1 END)::INT AS first, (CASE WHEN b <= 8192 THEN n ELSE least(i * 5 + 5, n) END)::INT AS last FROM c""")
+def index_chunks(spark, sf_dir):
+    docs = document_files(spark, sf_dir)
+    return I.chunks(docs, 5).join(docs.select("rel_path", "doc_id"), "rel_path").select("doc_id", "chunk", "first", "last")
+
+
+@query("""WITH k AS (SELECT event_id, unnest(json_keys(props)) AS name, props FROM events) SELECT name, CASE json_type(props, '$.' || name) WHEN 'OBJECT' THEN '{object}' WHEN 'ARRAY' THEN '[array]' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind, count(*) AS n FROM k GROUP BY ALL""")
+def json_keys(spark, sf_dir):
+    return D.keys_of(table(spark, sf_dir, "events"), "props", "event_id").groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n, len(string_split(text, chr(10))) AS last FROM documents)
+SELECT doc_id, n::INT AS line_no, md5(line) AS line FROM l WHERE n <= 6 OR n > last - 2""")
+def head_and_tail(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rel_path"), "text")
+    return D.text_overview(docs, 6, 2).select(F.col("rel_path").alias("doc_id"), "line_no", F.md5("line").alias("line"))
+
+
+@query("""WITH s AS (SELECT *, octet_length(encode(c_custkey || ' | ' || c_name || ' | ' || c_nationkey || ' | ' || c_mktsegment)) + 1 AS b FROM customer WHERE contains(lower(c_mktsegment), 'build') OR contains(lower(c_name), 'build')),
+c AS (SELECT *, coalesce(sum(b) OVER (ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s) SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM c WHERE before < 5000""")
+def data_search(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return D.found_rows(rows, "BUILD", ["c_custkey"], 5000)
+
+
+@query(f"""WITH e AS (SELECT vec_id, text, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings JOIN documents ON vec_id = doc_id WHERE lang IN ('en', 'fr') AND contains(source, '1')),
+s AS (SELECT vec_id AS id, 0.7 * list_dot_product(v, {VECTOR_SQL}) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product({VECTOR_SQL}, {VECTOR_SQL}))) + 0.3 * (contains(lower(text), 'the')::INT + contains(lower(text), 'ing')::INT) / 2.0 AS score FROM e)
+SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY s.score DESC, id)::INT AS rank FROM s ORDER BY s.score DESC, id LIMIT 20""")
+def journal_recall(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id"))
+    entries = docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "id")
+    entries = entries.select("id", F.col("text").alias("intent"), F.lit("").alias("decision"), F.array("lang").alias("tags"), F.col("source").alias("project_path"), "vector")
+    return S.recall(entries, "The ING", VECTOR, 20, ["EN", "fr"], "1").select("id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC' AS at FROM events")
+def event_times(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", X.utc_time(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("at"))
+
+
+@query("""SELECT conv_id, turn, lag(trim(text, ' ' || chr(9) || chr(13) || chr(10))) OVER (PARTITION BY conv_id, role ORDER BY turn) IS DISTINCT FROM trim(text, ' ' || chr(9) || chr(13) || chr(10)) AS changed FROM conversations""")
+def changed_turns(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.lit("n").alias("namespace"), F.col("conv_id").alias("path"), F.col("role").alias("symbol"), F.col("text").alias("code"), F.col("turn").alias("created_unix_ms"), F.lit("").alias("tag"))
+    return H.versions(rows).select(F.col("path").alias("conv_id"), F.col("created_unix_ms").alias("turn"), "changed")
+
+
+@query(f"""WITH p AS (SELECT page_id, {ADDRESS} AS p, (SELECT min(split_part({ADDRESS}, '/', 1)) FROM pages) AS s FROM pages) SELECT page_id FROM p WHERE p = s OR starts_with(p, s || '/')""")
+def scope_filter(spark, sf_dir):
+    pages = page_files(spark, sf_dir)
+    first = pages.agg(F.min(F.split("rel_path", "/")[0])).first()[0]
+    return pages.filter(X.in_scope(F.col("rel_path"), first)).select("page_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid_search(spark, sf_dir)
 
