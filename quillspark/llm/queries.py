@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, line_dedup, mixing, near_dedup, ogg, packing, pii, quality, sharding
+from . import exact_dedup, licenses, line_dedup, mixing, near_dedup, ogg, packing, pii, quality, ranking, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_licenses": licenses.op9_licenses,
         "op10_pack": packing.op10_pack,
+        "op11_rank": ranking.op11_rank,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": mixing.OP5_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {"op5_mix_sources": mixing.OP5_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op11_rank": ranking.OP11_SQL}
