@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, licenses, line_dedup, mixing, near_dedup, ogg, packing, pii, quality, ranking, sharding
+from . import alignment, exact_dedup, fingerprints, licenses, line_dedup, mixing, near_dedup, ogg, packing, pii, quality, ranking, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_licenses": licenses.op9_licenses,
         "op10_pack": packing.op10_pack,
         "op11_rank": ranking.op11_rank,
+        "op12_align": alignment.op12_align,
         "op13_fingerprints": fingerprints.op13_fingerprints,
     }
 
