@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,74 +11,117 @@ from pyspark.sql.window import Window
 
 from .common import documents, shuffle_partitions, text_of
 
-#: What stands between terms: ASCII other than letters and digits.
-BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Samples of a fingerprint, and how many of them one row of the sampling step draws.
-SAMPLES, AT_ONCE = 64, 8
-#: Logarithms of samples lie within 128 of 0; they are compared in steps of 2^-23.
-OFFSET, STEP = 128.0, float(1 << 23)
-HALF, UNIT, LOW = 0.5, float(1 << 25), (1 << 25) - 1
+#: White space other than the blank, which it counts as.
+WHITE = "\t\n\x0b\x0c\r"
+#: Samples of a fingerprint, and how many of them one row of the sampling step draws: as many as compiled code has room for.
+SAMPLES, AT_ONCE = 32, 4
+#: Sampled values are compared in steps of 2^-41, up to 2^6; marks have 16 bits.
+STEP, MOST, MARK = float(1 << 41), (1 << 47) - 1, 0xFFFF
+LN2, BITS24, BITS16 = math.log(2.0), (1 << 24) - 1, (1 << 16) - 1
 
 
-def drawn(term: Column, sample: Column, seed: int) -> tuple[Column, Column, Column, Column]:
-    """r, ln c, beta and a hash that depend on the term, the sample and the seed alone: r and c from Gamma(2, 1), beta uniform in [0, 1).
+def fraction(bits: Column, at: int) -> Column:
+    """A number in (0, 1) of 24 bits of a hash."""
+    return (F.shiftrightunsigned(bits, at).bitwiseAND(F.lit(BITS24)) + F.lit(0.5)) / F.lit(float(1 << 24))
 
-    A Gamma(2, 1) number is minus the logarithm of a product of two uniform
-    numbers, of 25 bits each; beta takes the 28 bits that are left of two
-    64-bit hashes.
-    """
-    one = F.xxhash64(term, sample, F.lit(seed))
-    two = F.xxhash64(one)
-
-    def uniform(h: Column, at: int) -> Column:
-        return (F.shiftrightunsigned(h, at).bitwiseAND(F.lit(LOW)) + F.lit(HALF)) / F.lit(UNIT)
-
-    r = F.negative(F.ln(uniform(one, 0) * uniform(one, 25)))
-    ln_c = F.ln(F.negative(F.ln(uniform(two, 0) * uniform(two, 25))))
-    beta = F.shiftleft(F.shiftrightunsigned(one, 50), 14).bitwiseOR(F.shiftrightunsigned(two, 50)) / F.lit(float(1 << 28))
-    return r, ln_c, beta, two
 
+def zeros(bits: Column) -> Column:
+    """How many of the 16 uppermost bits are 0, from the lowest on: a geometric number."""
+    x = F.shiftrightunsigned(bits, 48).bitwiseOR(F.lit(1 << 16))
+    return F.bit_count(x.bitwiseAND(F.negative(x)) - 1)
 
-def sample_key(ln_weight: Column, r: Column, ln_c: Column, beta: Column, mark: Column) -> Column:
-    """A number whose smallest over a document's terms is its sample: in the upper bits the logarithm of the sampled
-    value, ln c - r (t - beta + 1) with t = floor(ln weight / r + beta); in the lowest 16 what term and t it came from."""
-    t = F.floor(ln_weight / r + beta)
-    value = F.floor((ln_c - r * (t - beta + F.lit(1.0)) + F.lit(OFFSET)) * F.lit(STEP))
-    return F.shiftleft(value, 32).bitwiseOR(F.shiftrightunsigned(mark, 32).bitwiseXOR(t).bitwiseAND(F.lit(0xFFFF)))
 
+def with_draws(terms: DataFrame, seed: int) -> DataFrame:
+    """terms(term, __run, ...) with __u{j}, __v{j} and __m{j} for each sample j of the run, which depend on the term, the sample and the seed alone.
 
-def weighted_terms(rows: DataFrame, keys: Sequence[str], texts: Sequence[str]) -> DataFrame:
-    """keys, term (a hash of the lower-cased term) and for each text column a weight of that name: how often the term occurs in it.
-
-    Rows of no text have one term of weight 0. Where rows are dealt by some of
-    the keys already, nothing is shuffled.
+    Consistent weighted sampling wants r and c from Gamma(2, 1) and beta uniform
+    in [0, 1). Of two uniform numbers u and v, r = -ln u - ln v is such a
+    number and beta = -ln v / r is uniform and independent of it. c is the sum of
+    two exponential numbers, each ln 2 times a geometric number plus minus the
+    logarithm of a number in [1/2, 1); the two logarithms are one of a product p
+    in [1, 4), by its series about 2. m = c u is the sampled value where the
+    weight is 1, so that there no logarithm is called. Each step is a
+    projection of its own, so that nothing is worked out twice.
+    """
+    each = range(AT_ONCE)
+    steps = [
+        lambda j: {f"__h{j}": F.xxhash64("term", F.col("__run") * AT_ONCE + j, F.lit(seed))},
+        lambda j: {f"__i{j}": F.xxhash64(f"__h{j}")},
+        lambda j: {f"__u{j}": fraction(F.col(f"__h{j}"), 0), f"__v{j}": fraction(F.col(f"__h{j}"), 24), f"__g{j}": zeros(F.col(f"__h{j}")) + zeros(F.col(f"__i{j}")) + 1, f"__p{j}": (fraction(F.col(f"__i{j}"), 0) + F.lit(1.0)) * (fraction(F.col(f"__i{j}"), 24) + F.lit(1.0))},
+        lambda j: {f"__s{j}": (F.col(f"__p{j}") - F.lit(2.0)) / (F.col(f"__p{j}") + F.lit(2.0))},
+        lambda j: {f"__q{j}": F.col(f"__s{j}") * F.col(f"__s{j}")},
+        lambda j: {f"__m{j}": F.col(f"__u{j}") * (F.lit(LN2) * F.col(f"__g{j}") - F.lit(2.0) * F.col(f"__s{j}") * series(F.col(f"__q{j}")))},
+    ]
+    for step in steps:
+        terms = terms.withColumns({k: v for j in each for k, v in step(j).items()})
+    return terms.drop(*[f"__{x}{j}" for x in "higpsq" for j in each])
+
+
+def series(q: Column) -> Column:
+    """1 + q / 3 + q^2 / 5 + ... + q^5 / 11: with q = s^2 and 2 s before it the logarithm of (1 + s) / (1 - s)."""
+    out = F.lit(1 / 11)
+    for n in (9, 7, 5, 3, 1):
+        out = F.lit(1 / n) + q * out
+    return out
+
+
+def sample_key(term: Column, j: int, weight: Column, ln_weight: Column) -> Column:
+    """A number whose smallest over a document's terms is its sample j: in the upper bits the sampled value c u e^(-r t) with
+    t = floor(ln weight / r + beta), in the lowest 16 what term and t it came from; null without weight."""
+    u, v, m = (F.col(f"__{x}{j}") for x in "uvm")
+    t = F.floor((ln_weight - F.ln(v)) / F.negative(F.ln(u * v)))
+
+    def key(value: Column, mark: Column) -> Column:
+        return F.shiftleft(F.least(F.floor(value * F.lit(STEP)), F.lit(MOST)), 16).bitwiseOR(mark.bitwiseAND(F.lit(MARK)))
+
+    mark = F.shiftrightunsigned(term, 32)
+    return F.when(weight == 1, key(m, mark)).when(weight > 1, key(m * F.exp(F.ln(u * v) * t), mark.bitwiseXOR(t)))
+
+
+def plain(text: Column) -> Column:
+    """The text with blanks for all white space."""
+    for c in WHITE:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def weighted_terms(rows: DataFrame, pieces: dict[str, Sequence[int]], texts: int) -> DataFrame:
+    """part, row, term (a hash of the word) and w0, w1, ... (how often each of so many texts has the word) of rows(part, row, pieces).
+
+    ``pieces`` names columns of ``plain`` text and which of the row's texts each
+    is a part of; words do not reach over pieces, and blanks alone part them (a
+    single character, which needs no pattern). A row without words has one term
+    without weight. Rows are dealt by part already, so that nothing is shuffled.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("of"), F.col(c).alias("text")) for i, c in enumerate(texts)])).alias("each")
-    words = rows.select(*keys, each).select(*keys, F.col("each.of").alias("of"), F.explode(F.split(F.lower("each.text"), BETWEEN)).alias("word"))
-    real = F.col("word") != ""
-    counts = [F.count_if(real & (F.col("of") == i)).alias(c) for i, c in enumerate(texts)]
-    return words.withColumn("term", F.xxhash64("word")).groupBy(*keys, "term").agg(*counts)
+    each = F.explode(F.array(*[F.struct(F.lit(sum(1 << i for i in of)).alias("of"), F.col(c).alias("text")) for c, of in pieces.items()])).alias("each")
+    words = rows.select("part", "row", each).select("part", "row", F.col("each.of").alias("of"), F.explode(F.split("each.text", " ")).alias("word"))
+    counts = [F.count_if((F.col("of").bitwiseAND(F.lit(1 << i)) > 0) & (F.col("word") != "")).alias(f"w{i}") for i in range(texts)]
+    return words.withColumn("term", F.xxhash64("word")).groupBy("part", "row", "term").agg(*counts)
 
 
-def sampled(terms: DataFrame, keys: Sequence[str], weights: Sequence[str], samples: int = SAMPLES, seed: int = 13) -> DataFrame:
-    """keys and for each weight column an array of that name with ``samples`` numbers of 16 bits, one for each sample; null where all weights are 0.
+def sampled(terms: DataFrame, texts: int, samples: int = SAMPLES, seed: int = 13) -> DataFrame:
+    """part, row and s0, s1, ... for each text an array of ``samples`` numbers of 16 bits; null where all its weights are 0.
 
-    Two documents have the same number at a place with a probability that equals
-    the generalised Jaccard similarity of their weighted terms, the sum of the
-    smaller weights over the sum of the larger ones (and 2^-16 by chance). The
-    random numbers of a term are drawn once for all weight columns.
+    ``weighted_terms`` are dealt by part. Two texts have the same number at a
+    place with a probability that equals the generalised Jaccard similarity of
+    their weighted terms, the sum of the smaller weights over the sum of the
+    larger ones (and 2^-16 by chance). What is drawn for a term serves all texts
+    of a row, and a key that of every text with the same weight.
     """
-    logs = terms.select(*keys, "term", *[F.ln(F.col(w).cast("double")).alias(w) for w in weights])
-    dealt = logs.select("*", F.explode(F.sequence(F.lit(0), F.lit(-(-samples // AT_ONCE) - 1))).alias("__run"))
-    least = []
-    for j in range(AT_ONCE):
-        numbers = drawn(F.col("term"), F.col("__run") * AT_ONCE + j, seed)
-        least += [F.min(sample_key(F.col(w), *numbers)).alias(f"{w}_{j}") for w in weights]
-    runs = dealt.groupBy(*keys, "__run").agg(*least)
-    parts = [F.array(*[F.col(f"{w}_{j}").bitwiseAND(F.lit(0xFFFF)) for j in range(AT_ONCE)]).alias(w) for w in weights]
-    runs = runs.select(*keys, F.struct("__run", *parts).alias("__draws")).groupBy(*keys).agg(F.sort_array(F.collect_list("__draws")).alias("__all"))
-    whole = [F.slice(F.flatten(F.col(f"__all.{w}")), 1, samples) for w in weights]
-    return runs.select(*keys, *[F.when(x[0].isNotNull(), x).alias(w) for x, w in zip(whole, weights, strict=True)])
+    logs = {f"__l{i}": F.when(F.col(f"w{i}") > 1, F.ln(F.col(f"w{i}").cast("double"))).otherwise(0.0) for i in range(texts)}
+    runs = terms.withColumns(logs).select("*", F.explode(F.sequence(F.lit(0), F.lit(-(-samples // AT_ONCE) - 1))).alias("__run"))
+    drawn = with_draws(runs, seed)
+    for i in range(texts):
+        own = [sample_key(F.col("term"), j, F.col(f"w{i}"), F.col(f"__l{i}")) for j in range(AT_ONCE)]
+        if i:
+            own = [F.when(F.col(f"w{i}") == F.col(f"w{i - 1}"), F.col(f"__k{i - 1}_{j}")).otherwise(own[j]) for j in range(AT_ONCE)]
+        drawn = drawn.withColumns({f"__k{i}_{j}": own[j] for j in range(AT_ONCE)})
+    least = [F.min(f"__k{i}_{j}").alias(f"__k{i}_{j}") for i in range(texts) for j in range(AT_ONCE)]
+    found = drawn.groupBy("part", "row", "__run").agg(*least)
+    draws = [F.array(*[F.col(f"__k{i}_{j}").bitwiseAND(F.lit(MARK)) for j in range(AT_ONCE)]).alias(f"s{i}") for i in range(texts)]
+    whole = found.select("part", "row", F.struct("__run", *draws).alias("run")).groupBy("part", "row").agg(F.sort_array(F.collect_list("run")).alias("runs"))
+    signatures = [F.slice(F.flatten(F.col(f"runs.s{i}")), 1, samples) for i in range(texts)]
+    return whole.select("part", "row", *[F.when(x[0].isNotNull(), x).alias(f"s{i}") for i, x in enumerate(signatures)])
 
 
 def written(signature: Column) -> Column:
@@ -102,9 +146,11 @@ def fingerprints(rows: DataFrame, samples: int = SAMPLES, seed: int = 13) -> Dat
     key = "_key"
     while key in rows.columns:
         key = f"_{key}"
-    digest = F.sha2(text_of(), 256)
-    terms = weighted_terms(rows.select(digest.alias(key), text_of().alias("w")).dropDuplicates([key]), [key], ["w"])
-    known = sampled(terms, [key], ["w"], samples, seed).select(key, written(F.col("w")).alias("fingerprint"))
+    n, digest = shuffle_partitions(rows.sparkSession), F.sha2(text_of(), 256)
+    texts = rows.select(digest.alias("digest"), text_of().alias("text")).dropDuplicates(["digest"]).withColumn("part", F.pmod(F.hash("digest"), F.lit(n)))
+    numbered = texts.withColumn("row", F.row_number().over(Window.partitionBy("part").orderBy("digest")))
+    signed = sampled(weighted_terms(numbered.withColumn("text", plain(F.col("text"))), {"text": [0]}, 1), 1, samples, seed)
+    known = numbered.select("part", "row", "digest").join(signed, ["part", "row"]).select(F.col("digest").alias(key), written(F.col("s0")).alias("fingerprint"))
     return rows.withColumn(key, digest).join(known, key).drop(key)
 
 
@@ -145,7 +191,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     first = F.get(F.lit(firsts).cast("array<bigint>"), own) == F.col("doc_id") if firsts else F.lit(True)
     places = F.when(first, F.array(F.struct(own.alias("part"), F.lit(False).alias("guest")), F.struct(((own + n - 1) % n).alias("part"), F.lit(True).alias("guest"))))
     places = places.otherwise(F.array(F.struct(own.alias("part"), F.lit(False).alias("guest"))))
-    dealt = rows.select("doc_id", "text", F.explode(places).alias("at")).select("doc_id", "text", "at.part", "at.guest")
+    dealt = rows.select("doc_id", "text", F.explode(places).alias("at")).select("doc_id", "text", "at.part", "at.guest").repartitionById(n, F.col("part"))
     order = Window.partitionBy("part").orderBy("guest", F.asc_nulls_last("doc_id"), "text")
     return dealt.withColumns({"next_text": F.coalesce(F.lead("text").over(order), F.col("text")), "row": F.row_number().over(order)})
 
@@ -164,17 +210,20 @@ def with_edits(docs: DataFrame, samples: int = SAMPLES, seed: int = 13, parts: i
     and samples of a row are made where it is.
     """
     spark = docs.sparkSession
-    laid = with_next(docs, parts or 4 * shuffle_partitions(spark))
+    laid = with_next(docs, parts or shuffle_partitions(spark))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    laid = laid.select("part", "row", "guest", "doc_id", n.cast("long").alias("n_chars"), F.col("text").alias("own"), edited.alias("edited"))
-    base = laid.filter("NOT guest").select("part", "row", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    signed = sampled(weighted_terms(laid, ["part", "row"], ["own", "edited"]), ["part", "row"], ["own", "edited"], samples, seed)
-    after = F.lead(F.struct("own")).over(Window.partitionBy("part").orderBy("row"))
-    signed = signed.withColumn("after", F.coalesce(after, F.struct("own"))).select(
-        "part", "row", written(F.col("own")).alias("fingerprint"), written(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited"), samples).alias("near_edited"), likeness(F.col("own"), F.col("after.own"), samples).alias("near_next"),
+    base = laid.filter("NOT guest").select("part", "row", "doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"))
+    # both texts begin alike: up to the last blank before the cut they are counted as one piece
+    halves = laid.select("part", "row", F.substring(plain(F.col("text")), F.lit(1), n - half).alias("kept"), F.substring(plain(F.col("text")), n - half + 1, half).alias("lost"), F.substring(plain(F.col("next_text")), F.lit(1), half).alias("new"))
+    halves = halves.withColumn("word", F.substring_index("kept", " ", -1))
+    pieces = halves.select("part", "row", F.substring("kept", F.lit(1), F.char_length("kept") - F.char_length("word")).alias("head"), F.concat("word", "lost").alias("own"), F.concat("word", "new").alias("other"))
+    signed = sampled(weighted_terms(pieces, {"head": [0, 1], "own": [0], "other": [1]}, 2), 2, samples, seed)
+    after = F.lead(F.struct("s0")).over(Window.partitionBy("part").orderBy("row"))
+    signed = signed.withColumn("after", F.coalesce(after, F.struct("s0"))).select(
+        "part", "row", written(F.col("s0")).alias("fingerprint"), written(F.col("s1")).alias("edited_fingerprint"),
+        likeness(F.col("s0"), F.col("s1"), samples).alias("near_edited"), likeness(F.col("s0"), F.col("after.s0"), samples).alias("near_next"),
     )
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     return base.join(signed, ["part", "row"]).select(*names)
