@@ -14,7 +14,7 @@ from .common import documents, shuffle_partitions, text_of
 #: White space other than the blank, which it counts as.
 WHITE = "\t\n\x0b\x0c\r"
 #: Samples of a fingerprint, and how many of them one row of the sampling step draws: as many as compiled code has room for.
-SAMPLES, AT_ONCE = 32, 4
+SAMPLES, AT_ONCE = 32, 2
 #: Sampled values are compared in steps of 2^-41, up to 2^6; marks have 16 bits.
 STEP, MOST, MARK = float(1 << 41), (1 << 47) - 1, 0xFFFF
 LN2, BITS24, BITS16 = math.log(2.0), (1 << 24) - 1, (1 << 16) - 1
@@ -65,17 +65,19 @@ def series(q: Column) -> Column:
     return out
 
 
-def sample_key(term: Column, j: int, weight: Column, ln_weight: Column) -> Column:
-    """A number whose smallest over a document's terms is its sample j: in the upper bits the sampled value c u e^(-r t) with
-    t = floor(ln weight / r + beta), in the lowest 16 what term and t it came from; null without weight."""
-    u, v, m = (F.col(f"__{x}{j}") for x in "uvm")
-    t = F.floor((ln_weight - F.ln(v)) / F.negative(F.ln(u * v)))
+def sample_step(j: int, weight: Column, ln_weight: Column) -> Column:
+    """t = floor(ln weight / r + beta) of sample j; 0 where the weight is 1, without a logarithm."""
+    u, v = F.col(f"__u{j}"), F.col(f"__v{j}")
+    return F.when(weight > 1, F.floor((ln_weight - F.ln(v)) / F.negative(F.ln(u * v)))).otherwise(F.lit(0).cast("long"))
 
-    def key(value: Column, mark: Column) -> Column:
-        return F.shiftleft(F.least(F.floor(value * F.lit(STEP)), F.lit(MOST)), 16).bitwiseOR(mark.bitwiseAND(F.lit(MARK)))
 
-    mark = F.shiftrightunsigned(term, 32)
-    return F.when(weight == 1, key(m, mark)).when(weight > 1, key(m * F.exp(F.ln(u * v) * t), mark.bitwiseXOR(t)))
+def sample_key(j: int, weight: Column, t: Column) -> Column:
+    """A number whose smallest over a document's terms is its sample j: in the upper bits the sampled value c u e^(-r t), in
+    the lowest 16 what term and t it came from; null without weight."""
+    u, v, m = (F.col(f"__{x}{j}") for x in "uvm")
+    value = F.when(t == 0, m).otherwise(m * F.exp(F.ln(u * v) * t))
+    mark = F.shiftrightunsigned("term", 32).bitwiseXOR(t).bitwiseAND(F.lit(MARK))
+    return F.when(weight > 0, F.shiftleft(F.least(F.floor(value * F.lit(STEP)), F.lit(MOST)), 16).bitwiseOR(mark))
 
 
 def plain(text: Column) -> Column:
@@ -106,16 +108,14 @@ def sampled(terms: DataFrame, texts: int, samples: int = SAMPLES, seed: int = 13
     place with a probability that equals the generalised Jaccard similarity of
     their weighted terms, the sum of the smaller weights over the sum of the
     larger ones (and 2^-16 by chance). What is drawn for a term serves all texts
-    of a row, and a key that of every text with the same weight.
+    of a row.
     """
     logs = {f"__l{i}": F.when(F.col(f"w{i}") > 1, F.ln(F.col(f"w{i}").cast("double"))).otherwise(0.0) for i in range(texts)}
     runs = terms.withColumns(logs).select("*", F.explode(F.sequence(F.lit(0), F.lit(-(-samples // AT_ONCE) - 1))).alias("__run"))
     drawn = with_draws(runs, seed)
-    for i in range(texts):
-        own = [sample_key(F.col("term"), j, F.col(f"w{i}"), F.col(f"__l{i}")) for j in range(AT_ONCE)]
-        if i:
-            own = [F.when(F.col(f"w{i}") == F.col(f"w{i - 1}"), F.col(f"__k{i - 1}_{j}")).otherwise(own[j]) for j in range(AT_ONCE)]
-        drawn = drawn.withColumns({f"__k{i}_{j}": own[j] for j in range(AT_ONCE)})
+    each = [(i, j) for i in range(texts) for j in range(AT_ONCE)]
+    drawn = drawn.withColumns({f"__t{i}_{j}": sample_step(j, F.col(f"w{i}"), F.col(f"__l{i}")) for i, j in each})
+    drawn = drawn.withColumns({f"__k{i}_{j}": sample_key(j, F.col(f"w{i}"), F.col(f"__t{i}_{j}")) for i, j in each})
     least = [F.min(f"__k{i}_{j}").alias(f"__k{i}_{j}") for i in range(texts) for j in range(AT_ONCE)]
     found = drawn.groupBy("part", "row", "__run").agg(*least)
     draws = [F.array(*[F.col(f"__k{i}_{j}").bitwiseAND(F.lit(MARK)) for j in range(AT_ONCE)]).alias(f"s{i}") for i in range(texts)]
@@ -210,7 +210,7 @@ def with_edits(docs: DataFrame, samples: int = SAMPLES, seed: int = 13, parts: i
     and samples of a row are made where it is.
     """
     spark = docs.sparkSession
-    laid = with_next(docs, parts or shuffle_partitions(spark))
+    laid = with_next(docs, parts or 4 * shuffle_partitions(spark))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
