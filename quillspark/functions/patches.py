@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sections as C
 from ..operators import symbols as S
+from ..operators import tokens as T
 from ..sources import files
 
 
@@ -40,7 +41,7 @@ def replaced_lines(texts: DataFrame, edits: DataFrame) -> DataFrame:
 
 def replaced_symbols(texts: DataFrame, target: str, new: str | None) -> DataFrame:
     """texts(rel_path, ext, text) with the first definition that ``name`` or ``kind:name`` means replaced, or deleted where ``new`` is null."""
-    found = S.first_definition(S.extents(S.code_lines(texts)), target)
+    found = S.first_definition(T.definitions(texts), target)
     edits = found.select("rel_path", F.col("line_no").alias("first"), F.col("line_end").alias("last"), F.lit(new).cast("string").alias("new"))
     return replaced_lines(texts, edits)
 

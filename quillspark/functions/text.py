@@ -81,7 +81,7 @@ ENTRY_FILES = "__init__.py app.ts app.tsx build.rs cli.js cli.ts index.ts index.
 SERVICE_FILES = (
     "api.rs api.ts app.py app.rs controller.rs controller.ts handler.rs handler.ts handlers.rs router.rs router.ts routes.rs routes.ts server.py server.rs server.ts service.rs service.ts".split()
 )
-MANIFEST_FILES = ["cargo.toml", "package.json", "pyproject.toml", "go.mod", "pubspec.yaml"]
+MANIFEST_FILES = ["cargo.toml", "package.json"]
 
 
 def importance(path: Column) -> Column:
@@ -96,7 +96,7 @@ def importance(path: Column) -> Column:
         + points(name.isin(SERVICE_FILES), "service")
         + F.regexp_count(low, F.lit("/src/")) * IMPORTANCE["src"]
         + points(low.rlike(r"/(core|lib|common|shared)/"), "core")
-        + points(name.isin(MANIFEST_FILES), "manifest")
+        + points(reduce(or_, [low.endswith(x) for x in MANIFEST_FILES]), "manifest")
         + points(name.endswith(".md"), "markdown")
         + points(name.rlike(r"\.(json|ya?ml|toml)$"), "config")
         + points(low.rlike(r"/(dist|target|generated|migrations)/"), "generated")
@@ -141,16 +141,17 @@ def head_lines(text: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(text, "\n", -1), 1, n), "\n")
 
 
-#: Comment mark of the line that heads a cut text, by ending.
-HEADERS = {"py": "#", "sh": "#", "yaml": "#", "yml": "#", "toml": "#", "sql": "--", "html": "<!--", "md": "<!--"}
+#: The line that heads a cut text, of these endings and of all others, and the mark behind what is left out.
+HASH_HEADED, HASH_HEADER, HEADER, REST = r"\.(md|txt|toml|ya?ml)$", "# TRUNCATED\n", "/* TRUNCATED */\n", "\n/* ... */\n"
 
 
 def cut_unknown(path: Column, text: Column, most_bytes: int = 2048, most_lines: int = 50) -> Column:
-    """A text of no known language: its first lines, under a comment that says so where something is left out."""
-    ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    marks = F.create_map(*[F.lit(x) for pair in HEADERS.items() for x in pair])
-    cut = head_lines(cut_bytes(text, most_bytes), most_lines)
-    return F.when(cut == text, text).otherwise(F.concat(F.coalesce(F.element_at(marks, ext), F.lit("//")), F.lit(" TRUNCATED\n"), cut))
+    """A text of no known language: under a heading its first lines, with a mark where something is left out."""
+    lines = F.split(F.regexp_replace(cut_bytes(text, most_bytes), r"\r?\n$", ""), r"\r?\n", -1)
+    whole = F.size(F.split(F.regexp_replace(text, r"\n$", ""), "\n", -1))
+    cut = (F.octet_length(text) > most_bytes) | (whole > most_lines)
+    head = F.when(F.lower(path).rlike(HASH_HEADED), HASH_HEADER).otherwise(HEADER)
+    return F.concat(head, F.array_join(F.slice(lines, 1, most_lines), "\n"), F.lit("\n"), F.when(cut, REST).otherwise(""))
 
 
 def journal_words(text: str) -> list[str]:

@@ -74,33 +74,6 @@ def in_order(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return rows.repartition(F.col(group)).sortWithinPartitions(group, *order)
 
 
-def pack_greedy(rows: DataFrame, group: str, order: list[str], size: str, key: str, budget: int, fixed: int = 0) -> DataFrame:
-    """group, used (all that is taken), n_taken and key of the rows taken in order while they fit the budget; a row too large is skipped and later ones may still fit.
-
-    What has been taken decides what fits next, which no window frame can say:
-    each group's rows that fit on their own pass one task in order, which keeps
-    a sum. Ties are broken by the key; ``fixed`` is taken before the first row.
-    """
-    own = rows.filter((F.col(size) <= budget) & F.col(group).isNotNull()).select(F.col(group).alias("g"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("k"), F.col(size).cast("long").alias("s"))
-    dealt = in_order(own, "g", [*[f"o{i}" for i in range(len(order))], "k"]).select("g", "k", "s")
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, used = None, fixed
-        for b in batches:
-            kept = []
-            for i, (g, s) in enumerate(zip(b.column("g").to_pylist(), b.column("s").to_pylist(), strict=True)):
-                if g != last:
-                    last, used = g, fixed
-                if used + s <= budget:
-                    used += s
-                    kept.append(i)
-            yield b.take(pa.array(kept, pa.int64()))
-
-    taken = dealt.mapInArrow(take, dealt.schema)
-    sums = taken.groupBy("g").agg((F.sum("s") + fixed).cast("long").alias("used"), F.count(F.lit(1)).cast("int").alias("n_taken"))
-    return taken.join(sums, "g").select(F.col("g").alias(group), "used", "n_taken", F.col("k").alias(key))
-
-
 def first_per(rows: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key, with their rank."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import code as K
 from ..functions import text as X
 from . import symbols as S
+from . import tokens as T
 
 #: Lines that look like definitions in any language.
 DEFINES = r"^\s*(?:(?:pub|export|public|private|protected|static|abstract|final|async|default)\s+)*(?:fn|func|function|def|class|struct|enum|trait|interface|impl|module|namespace|package|message|service|type)\s+[\p{L}_]"
@@ -22,7 +23,7 @@ def pruned(texts: DataFrame) -> DataFrame:
     A function's first and last line stay, so that a class keeps the signatures of its methods.
     """
     lines = S.code_lines(texts)
-    own = S.extents(lines).filter(F.col("kind").isin(S.CALLABLE) & (F.col("line_end") > F.col("line_no"))).select("rel_path", "ext", F.col("line_no").alias("low"), F.col("line_end").alias("high"))
+    own = T.bodies(texts).filter(F.col("kind").isin(S.CALLABLE)).select("rel_path", "ext", F.col("head_end").alias("low"), F.col("line_end").alias("high")).filter("high > low")
     after = Window.partitionBy("rel_path").orderBy("low")
     inner = own.withColumn("next", F.lead("low").over(after)).filter("next IS NULL OR next > high")
     last = F.when(F.col("ext").isin("py", "rb"), F.col("high")).otherwise(F.col("high") - 1)

@@ -9,6 +9,7 @@ one file may meet in one row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
@@ -21,6 +22,7 @@ from ..functions import code as K
 from ..functions import text as X
 from ..functions.names import casing_variants
 from . import relational as R
+from . import tokens as T
 
 NAME = r"([\p{L}_$][\p{L}\p{N}_$]*)"
 #: For each ending, kinds of symbols and the patterns of their first lines; group 1 is the name.
@@ -51,7 +53,7 @@ DEFINITIONS["ts"] |= {
 }
 DEFINITIONS["dart"] = {"class": rf"^\s*(?:abstract\s+)?class\s+{NAME}", "function": rf"^\s*[\w<>?]+\s+{NAME}\s*\([^;]*\)\s*(?:async\s*)?\{{"}
 #: Kinds that hold calls.
-CALLABLE = ["function", "method", "arrow", "rpc"]
+CALLABLE = T.CALLABLE
 #: What makes a symbol visible to other files, by ending.
 EXPORTS = {"rs": r"^\s*pub\s+(?:async\s+|const\s+|unsafe\s+)*(?:fn|struct|enum|trait)\s+(\w+)", "ts": rf"^\s*export\s+(?:default\s+)?(?:abstract\s+|async\s+)*(?:function\s*\*?|class|const|let|var|interface|type|enum)\s+{NAME}"}
 #: Words that stand before brackets but call nothing, and calls so common that they tell nothing.
@@ -107,31 +109,6 @@ def code_lines(texts: DataFrame) -> DataFrame:
     return both.select("rel_path", "ext", F.posexplode(pairs).alias("line_no", "p")).select("rel_path", "ext", (F.col("line_no") + 1).alias("line_no"), "p.raw", "p.line")
 
 
-def extents(lines: DataFrame) -> DataFrame:
-    """rel_path, ext, name, kind, line_no, line_end and signature of each definition in ``code_lines``.
-
-    Where braces bound blocks, a definition ends with the line that closes what
-    it opened, or with a semicolon before anything is opened. In Python and Ruby
-    it ends before the next line that is indented no deeper (Ruby: with it).
-    """
-    count = lambda c: F.length("line") - F.length(F.replace("line", F.lit(c), F.lit("")))
-    at = Window.partitionBy("rel_path").orderBy("line_no")
-    indent = F.when(F.trim("line") != "", F.length(F.regexp_extract("line", r"^[ \t]*", 0)))
-    each = lines.withColumns({"opens": F.sum(count("{")).over(at), "closes": F.sum(count("}")).over(at), "indent": indent, "ends": F.rtrim("line").endswith(";")})
-    row = F.struct("line_no", "opens", (F.col("opens") - F.col("closes")).alias("depth"), "indent", "ends")
-    files = each.groupBy("rel_path").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    found = symbols(lines).join(lines.select("rel_path", "ext", "line_no", "raw"), ["rel_path", "line_no"]).join(files, "rel_path")
-    own, before = F.get("rows", F.col("line_no") - 1), F.get("rows", F.col("line_no") - 2)
-    found = found.withColumns({"own": own, "depth0": F.coalesce(before["depth"], F.lit(0)), "opens0": F.coalesce(before["opens"], F.lit(0))})
-    later = lambda cond: F.array_min(F.transform(F.filter("rows", lambda x: (x["line_no"] >= F.col("line_no")) & cond(x)), lambda x: x["line_no"]))
-    braces = later(lambda x: ((x["opens"] > F.col("opens0")) & (x["depth"] <= F.col("depth0"))) | ((x["opens"] == F.col("opens0")) & x["ends"]))
-    dedent = later(lambda x: (x["line_no"] > F.col("line_no")) & (x["indent"] <= F.col("own.indent")))
-    last = F.array_max(F.transform(F.filter("rows", lambda x: x["indent"].isNotNull() & (x["line_no"] < F.coalesce(dedent, F.lit(2**31 - 1)))), lambda x: x["line_no"]))
-    lang = K.language(F.col("ext"))
-    end = F.when(lang == "python", last).when(lang == "ruby", F.coalesce(dedent, last)).otherwise(F.coalesce(braces, F.size("rows")))
-    return found.select("rel_path", "ext", "name", "kind", "line_no", F.greatest(end, "line_no").alias("line_end"), X.signature(F.trim("raw")).alias("signature"))
-
-
 def exports(lines: DataFrame) -> DataFrame:
     """rel_path and the sorted different names that the file shows to others."""
     found = F.coalesce(*[F.when((_language() == e) & F.col("line").rlike(p), F.regexp_extract("line", p, 1)) for e, p in EXPORTS.items()])
@@ -140,10 +117,11 @@ def exports(lines: DataFrame) -> DataFrame:
 
 def analysis(texts: DataFrame) -> DataFrame:
     """rel_path, imports, exports (sorted, each once) and symbols (by line and name) of each file; minified ones have none."""
-    lines = code_lines(texts.filter(~X.minified(F.col("text"))))
+    full = texts.filter(~X.minified(F.col("text")))
+    lines = code_lines(full)
     used = imports(lines.withColumn("line", F.col("raw"))).groupBy("rel_path").agg(F.sort_array(F.collect_set("imports")).alias("imports"))
     cells = F.struct("line_no", "name", "kind", "line_end", "signature")
-    defined = extents(lines).groupBy("rel_path").agg(F.sort_array(F.collect_list(cells)).alias("symbols"))
+    defined = T.definitions(full).groupBy("rel_path").agg(F.sort_array(F.collect_list(cells)).alias("symbols"))
     out = texts.select("rel_path")
     for part in (used, exports(lines), defined):
         out = out.join(part, "rel_path", "left")
@@ -152,18 +130,24 @@ def analysis(texts: DataFrame) -> DataFrame:
 
 
 def word(names: Sequence[str]) -> str:
-    return r"(?<![\w$])(?:" + "|".join(names) + r")(?![\w$])"
+    return r"(?<![\w$])(?:" + "|".join(map(re.escape, names)) + r")(?![\w$])"
 
 
 def usages(texts: DataFrame, name: str, around: int = 2) -> DataFrame:
     """rel_path, line_no, category and context of each line of code that uses the name, comments and strings aside; by category, file and line.
 
+    The category is told by the syntax around the name (``tokens.uses``); of several in a line the first of CATEGORIES.
+    Texts of other languages have lines of no category.
+
     Texts without the name are left out before anything is cut.
     """
     some = texts.filter(F.contains("text", F.lit(name)) & F.is_valid_utf8("text"))
-    used = code_lines(some).filter(F.col("line").rlike(word([name]))).select("rel_path", "line_no", K.category(F.col("line"), name).alias("category"))
-    context = X.context_window(F.split("text", "\n", -1), F.col("line_no"), around)
+    told = T.uses(T.tokens(some), name)
     rank = F.array_position(F.array(*[F.lit(c) for c in K.CATEGORIES]), F.col("category"))
+    told = R.first_per(told, ["rel_path", "line_no"], [rank]).drop("rank")
+    plain = code_lines(some.filter(~F.coalesce(K.language(F.col("ext")).isin(list(T.PATTERNS)), F.lit(False)))).filter(F.col("line").rlike(word([name])))
+    used = told.unionByName(plain.select("rel_path", "line_no", F.lit(K.CATEGORIES[-1]).alias("category")))
+    context = X.context_window(F.split("text", "\n", -1), F.col("line_no"), around)
     return used.join(some.select("rel_path", "text"), "rel_path").select("rel_path", "line_no", "category", context.alias("context")).orderBy(rank, "rel_path", "line_no")
 
 
@@ -177,8 +161,9 @@ def outgoing(texts: DataFrame, name: str) -> DataFrame:
 
     Words that call nothing, calls that are common everywhere, and the definition's own first line are left out.
     """
-    lines = code_lines(texts.filter(F.contains("text", F.lit(name))))
-    own = extents(lines).filter(F.col("name") == name).select("rel_path", F.col("line_no").alias("caller_line"), "line_end")
+    some = texts.filter(F.contains("text", F.lit(name)))
+    lines = code_lines(some)
+    own = T.definitions(some).filter(F.col("name") == name).select("rel_path", F.col("line_no").alias("caller_line"), "line_end")
     targets = F.explode(F.regexp_extract_all("line", F.lit(r"([\p{L}_$][\p{L}\p{N}_$.:]*)\s*!?\("), 1)).alias("target")
     calls = lines.join(own, "rel_path").filter((F.col("line_no") > F.col("caller_line")) & (F.col("line_no") <= F.col("line_end")))
     calls = calls.select("rel_path", "caller_line", "line_no", targets).withColumn("callee", K.called_name(F.col("target"))).filter("callee IS NOT NULL")
@@ -188,9 +173,9 @@ def outgoing(texts: DataFrame, name: str) -> DataFrame:
 
 def incoming(texts: DataFrame, name: str, most: int = 30) -> DataFrame:
     """rel_path, line_no, caller (the tightest definition around it, null outside) of the first ``most`` calls of the name by file and line."""
-    lines = code_lines(texts.filter(F.contains("text", F.lit(name))))
-    found = extents(lines)
-    calls = lines.filter(F.col("line").rlike(rf"(?<![\w$]){name}\s*\(")).join(found.filter(F.col("name") == name), ["rel_path", "line_no"], "left_anti")
+    some = texts.filter(F.contains("text", F.lit(name)))
+    lines, found = code_lines(some), T.definitions(some)
+    calls = lines.filter(F.col("line").rlike(rf"(?<![\w$]){re.escape(name)}\s*\(")).join(found.filter(F.col("name") == name), ["rel_path", "line_no"], "left_anti")
     calls = calls.select("rel_path", "line_no").orderBy("rel_path", "line_no").limit(most)
     spans = found.filter(F.col("kind").isin(CALLABLE)).select("rel_path", F.col("name").alias("caller"), F.col("line_no").alias("low"), F.col("line_end").alias("high"))
     return R.tightest_interval(calls, spans, "rel_path", "line_no", "low", "high", "caller", width=200)
@@ -198,7 +183,7 @@ def incoming(texts: DataFrame, name: str, most: int = 30) -> DataFrame:
 
 def blast_radius(texts: DataFrame, name: str) -> DataFrame:
     """section (definition, outgoing, incoming), rel_path, line_no and other (kind, callee or caller) of all that a change of the name may touch."""
-    own = extents(code_lines(texts.filter(F.contains("text", F.lit(name))))).filter(F.col("name") == name)
+    own = T.definitions(texts.filter(F.contains("text", F.lit(name)))).filter(F.col("name") == name)
     part = lambda df, section, other: df.select(F.lit(section).alias("section"), "rel_path", "line_no", F.col(other).alias("other"))
     return part(own, "definition", "kind").unionByName(part(outgoing(texts, name), "outgoing", "callee")).unionByName(part(incoming(texts, name), "incoming", "caller"))
 
@@ -209,7 +194,7 @@ def read_symbols(texts: DataFrame, name: str, most_lines: int = 500) -> DataFram
     Where no name is equal, those that differ only in case count. A source longer than ``most_lines`` is cut and says so.
     """
     some = texts.filter(F.contains(F.lower("text"), F.lit(name.lower())))
-    found = extents(code_lines(some)).filter(F.lower("name") == name.lower()).withColumn("exact", F.col("name") == name)
+    found = T.definitions(some).filter(F.lower("name") == name.lower()).withColumn("exact", F.col("name") == name)
     found = found.withColumn("any", F.max("exact").over(Window.partitionBy(F.lit(1)))).filter("exact OR NOT any")  # definitions of one name
     n = F.col("line_end") - F.col("line_no") + 1
     body = F.array_join(F.slice(F.split("text", "\n", -1), F.col("line_no"), F.least(n, F.lit(most_lines))), "\n")
@@ -219,7 +204,7 @@ def read_symbols(texts: DataFrame, name: str, most_lines: int = 500) -> DataFram
 
 
 def first_definition(defined: DataFrame, target: str) -> DataFrame:
-    """Of ``extents`` the first row by file and line that ``name`` or ``kind:name`` means."""
+    """Of ``tokens.definitions`` the first row by file and line that ``name`` or ``kind:name`` means."""
     hit = (F.col("name") == target) | (F.concat_ws(":", "kind", "name") == target)
     return defined.filter(hit).orderBy("rel_path", "line_no").limit(1)
 
@@ -264,7 +249,7 @@ def overview(texts: DataFrame, pattern: str = "", deep: int = 30, shallow: int =
     files = kept.select(F.lit("files" if n > deep else "deep").alias("level"), folder.alias("folder"), "rel_path")
     if n > deep:
         return files.withColumn("symbols", F.lit(None).cast("string"))
-    public = extents(code_lines(kept)).filter(K.is_public(F.col("name"), F.col("ext")))
+    public = T.definitions(kept).filter(K.is_public(F.col("name"), F.col("ext")))
     first = R.first_per(public, ["rel_path"], [F.col("line_no"), F.col("name")], 20)
     shown = first.groupBy("rel_path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("kind", "name"))), lambda x: F.concat_ws(" ", x["kind"], x["name"])), ", ").alias("symbols"))
     return files.join(shown, "rel_path", "left").select("level", "folder", "rel_path", "symbols")
@@ -277,6 +262,6 @@ def callers(lines: DataFrame, name: str) -> DataFrame:
     """
     found = symbols(lines)
     spans = R.territory(found.select("rel_path", "line_no", "name"), "rel_path", "line_no", F.lit(2**31 - 1))
-    call = lines.filter(F.col("line").rlike(rf"(?<![\w$]){name}\s*\(")).join(found.filter(F.col("name") == name), ["rel_path", "line_no"], "left_anti")
+    call = lines.filter(F.col("line").rlike(rf"(?<![\w$]){re.escape(name)}\s*\(")).join(found.filter(F.col("name") == name), ["rel_path", "line_no"], "left_anti")
     spans = spans.select("rel_path", F.col("name").alias("caller"), F.col("line_no").alias("low"), F.col("end").alias("high"))
     return R.tightest_interval(call.select("rel_path", "line_no"), spans, "rel_path", "line_no", "low", "high", "caller")

@@ -7,6 +7,8 @@ chosen from may be of any size, and is ranked and cut before.
 from __future__ import annotations
 
 import json
+import re
+import tomllib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -16,18 +18,19 @@ from pyspark.sql.window import Window
 
 from ..functions import edits as E
 from ..functions import text as X
+from ..operators import packing as B
 from ..operators import relational as R
 from ..operators import skeletons as L
 
 #: Bytes of a document around its map and files, and limits of the map.
 DOCUMENT, MAP, MAP_LINES, MAP_BYTES = 64, 40, 4000, 64 * 1024
 #: What a compact manifest keeps of package.json and Cargo.toml.
-PACKAGE_KEYS = ["name", "version", "private", "type", "main", "module", "types", "exports", "scripts", "dependencies", "devDependencies", "peerDependencies", "workspaces"]
-CARGO_TABLES = ["package", "workspace", "lib", "bin", "features", "dependencies", "dev-dependencies", "build-dependencies"]
+PACKAGE_KEYS = ["name", "version", "private", "type", "workspaces", "main", "module", "types", "exports", "scripts", "dependencies", "devDependencies", "peerDependencies", "optionalDependencies"]
+CARGO_TABLES = ["package", "lib", "bin", "workspace", "dependencies", "dev-dependencies", "build-dependencies", "features"]
 
 
 def by_importance(files: DataFrame, edges: DataFrame | None = None, path: str = "rel_path") -> DataFrame:
-    """files with score: the path's importance and 10 for each edge(source, target) that leads to it, containment aside."""
+    """files with score: the path's importance and 10 for each edge(source, target) that leads to it; edges of containment count like others where they are handed in."""
     score = X.importance(F.col(path))
     if edges is None:
         return files.withColumn("score", score)
@@ -64,14 +67,43 @@ def compact(name: str, text: str | None) -> str | None:
             tree = json.loads(text)
         except ValueError:
             return text
-        return json.dumps({k: tree[k] for k in PACKAGE_KEYS if k in tree}, indent=2, ensure_ascii=False) if isinstance(tree, dict) else text
-    kept, on = [], False
-    for line in text.splitlines():
-        if line.startswith("["):
-            on = line.strip("[] \t").split(".")[0] in CARGO_TABLES
-        if on:
-            kept.append(line)
-    return "\n".join(kept) if kept else text
+        return json.dumps({k: tree[k] for k in PACKAGE_KEYS if k in tree}, indent=2, ensure_ascii=False, sort_keys=True) if isinstance(tree, dict) else text
+    try:
+        tree = tomllib.loads(text)
+    except tomllib.TOMLDecodeError:
+        return text
+    return "\n".join(toml_lines({k: tree[k] for k in sorted(CARGO_TABLES) if k in tree}, ())).lstrip("\n")
+
+
+def toml_value(value: object) -> str:
+    if isinstance(value, dict):
+        return "{ " + ", ".join(f"{toml_key(k)} = {toml_value(value[k])}" for k in sorted(value)) + " }" if value else "{}"
+    if isinstance(value, list):
+        return "[" + ", ".join(map(toml_value, value)) + "]"
+    return json.dumps(value, ensure_ascii=False) if isinstance(value, str | bool | int | float) else str(value)
+
+
+def toml_key(key: str) -> str:
+    return key if re.fullmatch(r"[A-Za-z0-9_-]+", key) else json.dumps(key, ensure_ascii=False)
+
+
+def toml_lines(table: dict, above: tuple[str, ...]) -> Iterator[str]:
+    """A table's lines, keys sorted: plain values first, then its tables under their headings."""
+    below = lambda v: isinstance(v, dict) or (isinstance(v, list) and v and all(isinstance(x, dict) for x in v))
+    if above and (not table or any(not below(v) for v in table.values())):
+        yield ""
+        yield f"[{'.'.join(map(toml_key, above))}]"
+    for k in sorted(table):
+        if not below(table[k]):
+            yield f"{toml_key(k)} = {toml_value(table[k])}"
+    for k in sorted(table):
+        if isinstance(table[k], dict):
+            yield from toml_lines(table[k], (*above, k))
+        elif below(table[k]):
+            for one in table[k]:
+                yield ""
+                yield f"[[{'.'.join(map(toml_key, (*above, k)))}]]"
+                yield from (f"{toml_key(x)} = {toml_value(one[x])}" for x in sorted(one))
 
 
 def contents(files: DataFrame, skeleton: bool = False, focus: str | None = None, compacted: bool = True) -> DataFrame:
@@ -90,32 +122,44 @@ def contents(files: DataFrame, skeleton: bool = False, focus: str | None = None,
     return compact_manifests(out.filter(~is_focus)).unionByName(out.filter(is_focus))
 
 
+#: The map's first line, and the one that says that paths are left out.
+MAP_HEAD, MAP_END = "# REPOSITORY_MAP\n", "# ... (truncated)\n"
+
+
+def repository_maps(files: DataFrame, group: str, path: str = "rel_path") -> DataFrame:
+    """group and repo_map: under its heading the group's sorted paths, one a line, MAP_LINES at most and whole lines up to MAP_BYTES, with a mark where some are left out."""
+    first = R.first_per(files.select(group, path), [group], [F.col(path)], MAP_LINES + 1)
+    line = F.concat(F.col(path), F.lit("\n"))
+    upto = F.sum(F.octet_length(line)).over(Window.partitionBy(group).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) + len(MAP_HEAD)
+    shown = (F.col("rank") <= MAP_LINES) & (F.col("upto") <= MAP_BYTES)
+    each = first.withColumn("upto", upto).select(group, "rank", F.when(shown, line).alias("line"))
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("rank", "line")))), lambda x: x["line"]), "")
+    return each.groupBy(group).agg(F.concat(F.lit(MAP_HEAD), lines, F.when(F.count("line") < F.count(F.lit(1)), MAP_END).otherwise("")).alias("repo_map"))
+
+
 def repository_map(files: DataFrame, path: str = "rel_path") -> DataFrame:
-    """One row: repo_map, the sorted paths one a line, MAP_LINES at most and cut at MAP_BYTES."""
-    first = files.select(path).orderBy(path).limit(MAP_LINES)
-    return first.agg(X.cut_bytes(F.array_join(F.sort_array(F.collect_list(path)), "\n"), MAP_BYTES).alias("repo_map"))
+    """One row: repo_map, of all files; the heading alone without any."""
+    first = files.select(F.lit("").alias("all"), F.col(path)).orderBy(path).limit(MAP_LINES + 1)
+    return repository_maps(first, "all", path).agg(F.coalesce(F.max("repo_map"), F.lit(MAP_HEAD)).alias("repo_map"))
 
 
-def sliced(files: DataFrame, order: Sequence[str], budget: int, per_token: int = 4, most: int = 10_000, path: str = "rel_path", group: str | None = None) -> DataFrame:
+def sliced(files: DataFrame, order: Sequence[str], budget: int, per_token: int = 4, path: str = "rel_path", group: str | None = None) -> DataFrame:
     """group (if any), position (from 1), path, text and tokens so far of the files that fit the budget in order; one too large is skipped.
 
-    ``order`` names columns, a minus before one means from the largest. Of each
-    group only the ``most`` first are considered.
+    ``order`` names columns, a minus before one means from the largest. The
+    document, its map of the group's paths and each file's element count. Paths
+    are unique within a group.
     """
-    keys = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order] + [F.asc(path)]
-    mark = F.col(group) if group else F.lit("")
-    ranked = files.withColumn("__group", mark)
-    if group:
-        ranked = R.first_per(ranked, ["__group"], keys, most).withColumnRenamed("rank", "__at")
-    else:
-        ranked = ranked.orderBy(*keys).limit(most).withColumn("__at", F.row_number().over(Window.orderBy(*keys)))  # ``most`` rows
-    size = F.octet_length("text") + X.element_overhead(F.col(path))
-    ranked = ranked.select("__group", "__at", path, "text", size.cast("long").alias("__size"))
-    taken = R.pack_greedy(ranked, "__group", ["__at"], "__size", "__at", budget * per_token, fixed=DOCUMENT + MAP)
-    rows = ranked.join(taken.select("__group", "__at"), ["__group", "__at"])
-    upto = F.sum("__size").over(Window.partitionBy("__group").orderBy("__at")) + DOCUMENT + MAP
-    position = F.row_number().over(Window.partitionBy("__group").orderBy("__at"))
-    return rows.select(*([F.col("__group").alias(group)] if group else []), position.alias("position"), path, "text", X.token_estimate(upto, per_token).alias("tokens"))
+    rows = files.withColumn("__group", F.col(group) if group else F.lit("")).filter("__group IS NOT NULL")
+    size = (F.octet_length("text") + X.element_overhead(F.col(path))).cast("long")
+    maps = repository_maps(rows, "__group", path).select("__group", (F.octet_length("repo_map") + DOCUMENT + MAP).cast("long").alias("__map"))
+    keys = [F.negative(F.col(c[1:])) if c.startswith("-") else F.col(c) for c in order]
+    sized = rows.withColumn("__size", size).join(maps, "__group").withColumns({"__room": budget * per_token - F.col("__map"), **{f"__o{i}": k for i, k in enumerate(keys)}})
+    taken = B.pack_greedy(sized, "__group", [f"__o{i}" for i in range(len(keys))], "__size", path, "__room")
+    kept = sized.join(taken.select("__group", path), ["__group", path])
+    at = Window.partitionBy("__group").orderBy(*[f"__o{i}" for i in range(len(keys))], path)  # what fits a budget
+    tokens = X.token_estimate(F.sum("__size").over(at.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__map"), per_token)
+    return kept.select(*([F.col("__group").alias(group)] if group else []), F.row_number().over(at).alias("position"), path, "text", tokens.alias("tokens"))
 
 
 def document(rows: DataFrame, repo_map: DataFrame | None = None, path: str = "rel_path") -> DataFrame:
@@ -164,5 +208,5 @@ def member_slices(files: DataFrame, members: DataFrame, budget: int, least: int
     own = R.longest_prefix(files.select("rel_path").distinct(), members.select(F.col("root").alias("member")), "rel_path", "member").filter("member IS NOT NULL")
     each = sliced(by_importance(files.join(own, "rel_path")), ["-score"], share, group="member")
     first = each.withColumn("size", F.octet_length("text") + X.element_overhead(F.col("rel_path"))).withColumn("all", F.lit(0))
-    kept = R.pack_greedy(first, "all", ["member", "position"], "size", "rel_path", budget * 4, fixed=DOCUMENT)
+    kept = B.pack_greedy(first, "all", ["member", "position"], "size", "rel_path", budget * 4, fixed=DOCUMENT)
     return each.join(kept.select("rel_path"), "rel_path", "left_semi").select("member", "position", "rel_path", "text", "tokens")

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from .functions import edits as E
 from .functions import paths as P
 from .functions import text as X
+from .operators import packing as B
 from .operators import relational as R
 from .operators import sections as C
 from .operators import skeletons as N
@@ -237,7 +238,7 @@ p AS (SELECT o_custkey, o_orderkey, r, size AS used, true AS kept FROM o WHERE r
 SELECT o.o_custkey, o.o_orderkey, o.r, CASE WHEN p.used + o.size <= 500000 THEN p.used + o.size ELSE p.used END, p.used + o.size <= 500000 FROM p JOIN o ON o.o_custkey = p.o_custkey AND o.r = p.r + 1)
 SELECT o_custkey, (max(used) OVER (PARTITION BY o_custkey))::BIGINT AS used, (count(*) OVER (PARTITION BY o_custkey))::INT AS n_taken, o_orderkey FROM p WHERE kept""")
 def budget_packing(spark, sf_dir):
-    return R.pack_greedy(table(spark, sf_dir, "orders").withColumn("size", F.col("o_totalprice").cast("long")), "o_custkey", ["o_orderdate"], "size", "o_orderkey", 500_000)
+    return B.pack_greedy(table(spark, sf_dir, "orders").withColumn("size", F.col("o_totalprice").cast("long")), "o_custkey", ["o_orderdate"], "size", "o_orderkey", 500_000)
 
 
 @query("""SELECT source, doc_id FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM documents) WHERE upto <= 50000""")
@@ -318,7 +319,7 @@ SELECT page_id, (CASE WHEN regexp_matches(p, '/tests?/|/test_') OR regexp_matche
 + CASE WHEN f IN ('main.rs','lib.rs','mod.rs','build.rs','index.ts','index.tsx','main.ts','main.tsx','app.tsx','app.ts','cli.ts','cli.js','main.go','main.py','__init__.py') THEN 120 ELSE 0 END
 + CASE WHEN f IN ('server.rs','handler.rs','handlers.rs','routes.rs','router.rs','api.rs','controller.rs','service.rs','app.rs','server.ts','handler.ts','routes.ts','router.ts','api.ts','controller.ts','service.ts','server.py','app.py') THEN 90 ELSE 0 END
 + 30 * (len(p) - len(replace(p, '/src/', ''))) // 5 + CASE WHEN regexp_matches(p, '/(core|lib|common|shared)/') THEN 25 ELSE 0 END
-+ CASE WHEN f IN ('cargo.toml','package.json','pyproject.toml','go.mod','pubspec.yaml') THEN 60 ELSE 0 END + CASE WHEN ends_with(f, '.md') THEN 10 ELSE 0 END
++ CASE WHEN ends_with(p, 'cargo.toml') OR ends_with(p, 'package.json') THEN 60 ELSE 0 END + CASE WHEN ends_with(f, '.md') THEN 10 ELSE 0 END
 + CASE WHEN regexp_matches(f, '\\.(json|ya?ml|toml)$') THEN 5 ELSE 0 END - CASE WHEN regexp_matches(p, '/(dist|target|generated|migrations)/') THEN 30 ELSE 0 END - 5 * greatest(d - 6, 0))::BIGINT AS score FROM f""")
 def importance_scores(spark, sf_dir):
     return L.by_importance(page_files(spark, sf_dir)).select("page_id", "score")
@@ -333,33 +334,39 @@ def query_candidates(spark, sf_dir):
     return scored.orderBy(F.desc("score"), "bytes", "rel_path").limit(80).select("rel_path.rel_path", "page_id", "score")
 
 
-SLICE = f"""o AS (SELECT {PATHS} AS path, text, octet_length(encode(text)) + 33 + octet_length(encode({PATHS})) AS size FROM documents),
-r AS (SELECT *, row_number() OVER (ORDER BY path) AS n FROM o), k AS (SELECT * FROM r WHERE n <= 400),
-p AS (SELECT 0::BIGINT AS n, 104::BIGINT AS used, false AS kept UNION ALL SELECT k.n, CASE WHEN p.used + k.size <= 80000 THEN p.used + k.size ELSE p.used END, p.used + k.size <= 80000 FROM p JOIN k ON k.n = p.n + 1)"""
+def map_sql(files: str, group: str) -> str:
+    """SQL for m(group, map): the map of each group's paths in a table files(group, path)."""
+    return f"""q AS (SELECT {group}, path, row_number() OVER (PARTITION BY {group} ORDER BY path) AS r, 17 + sum(octet_length(encode(path)) + 1) OVER (PARTITION BY {group} ORDER BY path ROWS UNBOUNDED PRECEDING) AS b FROM {files}),
+m AS (SELECT {group}, '# REPOSITORY_MAP' || chr(10) || coalesce(string_agg(path || chr(10), '' ORDER BY path) FILTER (WHERE r <= 4000 AND b <= 65536), '') || CASE WHEN count_if(r > 4000 OR b > 65536) > 0 THEN '# ... (truncated)' || chr(10) ELSE '' END AS map FROM q GROUP BY {group})"""
+
+
+SLICE = f"""o AS (SELECT 0 AS g, {PATHS} AS path, text, octet_length(encode(text)) + 33 + octet_length(encode({PATHS})) AS size FROM documents), {map_sql("o", "g")},
+k AS (SELECT *, row_number() OVER (ORDER BY path) AS n FROM o),
+p AS (SELECT 0::BIGINT AS n, 104 + octet_length(encode(map))::BIGINT AS used, false AS kept FROM m UNION ALL SELECT k.n, CASE WHEN p.used + k.size <= 80000 THEN p.used + k.size ELSE p.used END, p.used + k.size <= 80000 FROM p JOIN k ON k.n = p.n + 1)"""
 
 
 @query(f"""WITH RECURSIVE {SLICE} SELECT k.path AS rel_path, row_number() OVER (ORDER BY k.n)::INT AS position, ceil(p.used / 4.0)::BIGINT AS tokens FROM p JOIN k USING (n) WHERE p.kept""")
 def budget_slice(spark, sf_dir):
-    return L.sliced(L.by_importance(document_files(spark, sf_dir)), ["-score"], 20_000, most=400).select("rel_path", "position", "tokens")
+    return L.sliced(L.by_importance(document_files(spark, sf_dir)), ["-score"], 20_000).select("rel_path", "position", "tokens")
 
 
 @query(f"""WITH RECURSIVE {SLICE}, e AS (SELECT k.n, {ELEMENT} AS e FROM p JOIN k USING (n) WHERE p.kept)
 SELECT md5('<context>' || chr(10) || string_agg(e, chr(10) ORDER BY n) || chr(10) || '</context>') AS xml FROM e""")
 def context_document(spark, sf_dir):
-    return L.document(L.sliced(L.by_importance(document_files(spark, sf_dir)), ["-score"], 20_000, most=400)).select(F.md5("xml").alias("xml"))
+    return L.document(L.sliced(L.by_importance(document_files(spark, sf_dir)), ["-score"], 20_000)).select(F.md5("xml").alias("xml"))
 
 
-@query(f"""WITH RECURSIVE o AS (SELECT source, {PATHS} AS path, octet_length(encode(text)) + 33 + octet_length(encode({PATHS})) AS size FROM documents WHERE source IS NOT NULL),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY path) AS n FROM o), k AS (SELECT * FROM r WHERE n <= 200),
-p AS (SELECT source, 0::BIGINT AS n, 104::BIGINT AS used, false AS kept FROM (SELECT DISTINCT source FROM k) UNION ALL
-SELECT k.source, k.n, CASE WHEN p.used + k.size <= 16000 THEN p.used + k.size ELSE p.used END, p.used + k.size <= 16000 FROM p JOIN k ON k.source = p.source AND k.n = p.n + 1)
+@query(f"""WITH RECURSIVE o AS (SELECT source, {PATHS} AS path, octet_length(encode(text)) + 33 + octet_length(encode({PATHS})) AS size FROM documents WHERE source IS NOT NULL), {map_sql("o", "source")},
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY path) AS n FROM o),
+p AS (SELECT source, 0::BIGINT AS n, 104 + octet_length(encode(map))::BIGINT AS used, false AS kept FROM m UNION ALL
+SELECT k.source, k.n, CASE WHEN p.used + k.size <= 80000 THEN p.used + k.size ELSE p.used END, p.used + k.size <= 80000 FROM p JOIN k ON k.source = p.source AND k.n = p.n + 1)
 SELECT p.source, k.path AS rel_path, ceil(p.used / 4.0)::BIGINT AS tokens FROM p JOIN k USING (source, n) WHERE p.kept""")
 def slices_by_source(spark, sf_dir):
     docs = document_files(spark, sf_dir).filter("source IS NOT NULL")
-    return L.sliced(L.by_importance(docs), ["-score"], 4000, most=200, group="source").select("source", "rel_path", "tokens")
+    return L.sliced(L.by_importance(docs), ["-score"], 20_000, group="source").select("source", "rel_path", "tokens")
 
 
-@query(f"""SELECT md5(string_agg(path, chr(10) ORDER BY path)[1:65536]) AS repo_map FROM (SELECT {PATHS} AS path FROM documents ORDER BY 1 LIMIT 4000)""")
+@query(f"""WITH o AS (SELECT 0 AS g, {PATHS} AS path FROM documents), {map_sql("o", "g")} SELECT md5(map) AS repo_map FROM m""")
 def repository_map(spark, sf_dir):
     return L.repository_map(document_files(spark, sf_dir)).select(F.md5("repo_map").alias("repo_map"))
 

@@ -7,6 +7,7 @@ from quillspark.functions import code as K
 from quillspark.functions import text as X
 from quillspark.operators import skeletons as L
 from quillspark.operators import symbols as S
+from quillspark.operators import tokens as T
 
 FILES = {
     "src/a.rs": """use std::fmt;
@@ -80,7 +81,7 @@ def test_comments_and_strings_are_blanked(spark):
 
 
 def test_extents(texts):
-    got = {(r.rel_path, r.name): (r.kind, r.line_no, r.line_end) for r in S.extents(S.code_lines(texts)).collect()}
+    got = {(r.rel_path, r.name): (r.kind, r.line_no, r.line_end) for r in T.definitions(texts).collect()}
     assert got[("src/a.rs", "area")] == ("function", 7, 10) and got[("src/a.rs", "Point")] == ("struct", 3, 3)
     assert got[("b.py", "Tree")] == ("class", 5, 13) and got[("b.py", "grow")] == ("function", 8, 10)
     assert got[("c.ts", "total")] == ("method", 3, 5) and got[("c.ts", "Shop")] == ("class", 2, 6)
@@ -91,7 +92,7 @@ def test_usages(texts):
     assert ("src/a.rs", 19, "Calls") in got and ("b.py", 10, "Calls") in got
     assert {(p, n) for p, n, _ in got} == {("src/a.rs", 7), ("src/a.rs", 19), ("b.py", 10), ("b.py", 15), ("d.txt", 1)}
     kinds = {r.line_no: r.category for r in S.usages(texts, "Point").collect()}
-    assert kinds[17] == "Type Refs" and kinds[18] == "Other"
+    assert kinds[17] == "Type Refs" and kinds[18] == "Type Refs"
     assert {r.line_no: r.category for r in S.usages(texts, "x").filter("rel_path = 'src/a.rs'").collect()}[18] == "Field Inits"
     assert sum(r.n for r in S.usage_counts(texts, "area").collect()) == 5
 
@@ -110,7 +111,7 @@ def test_read_symbols(texts):
     assert [(r.rel_path, r.line_no) for r in got] == [("b.py", 15), ("src/a.rs", 7)] and got[0].source == "def area(n):\n    return n"
     assert [r.kind for r in S.read_symbols(texts, "TREE").collect()] == ["class"]
     assert "lines more" in S.read_symbols(texts, "area", 1).collect()[0].source
-    assert S.first_definition(S.extents(S.code_lines(texts)), "function:grow").count() == 1
+    assert S.first_definition(T.definitions(texts), "function:grow").count() == 1
 
 
 def test_analysis_and_overview(texts):
@@ -148,7 +149,8 @@ def test_universal_skeleton(spark):
 def test_text_cuts(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(X.cut_bytes(F.lit("aé€😀"), 9, "…")) == "aé€…" and one(X.cut_bytes(F.lit("abc"), 3)) == "abc" and one(X.cut_bytes(F.lit("😀"), 3)) == ""
-    assert one(X.cut_unknown(F.lit("a.sql"), F.lit("x\n" * 60))).startswith("-- TRUNCATED\nx\n") and one(X.cut_unknown(F.lit("a.z"), F.lit("y"))) == "y"
+    assert one(X.cut_unknown(F.lit("a.sql"), F.lit("x\n" * 60))).endswith("x\n\n/* ... */\n") and one(X.cut_unknown(F.lit("a.z"), F.lit("y"))) == "/* TRUNCATED */\ny\n"
+    assert one(X.cut_unknown(F.lit("A.YML"), F.lit("k\n" * 50))) == "# TRUNCATED\n" + "k\n" * 50 and one(X.cut_unknown(F.lit("a.md"), F.lit("é" * 2000))) == "# TRUNCATED\n" + "é" * 1024 + "\n\n/* ... */\n"
     assert X.journal_words("Fix A the  ÄX fix") == ["fix", "the", "äx", "fix"] and X.path_terms("Ab É c") == ["ab", "É"]
     assert one(X.bare_name(F.lit("impl Convert"))) == "convert" and one(X.utc_time(F.lit(1709251199))) == "2024-02-29 23:59:59 UTC"
     kinds = {'{"a":1}': "{object}", "[1]": "[array]", '"x"': "string", "1.5": "number", "true": "bool", "null": "null", "{x": "value"}

@@ -10,6 +10,7 @@ from quillspark import queries as core
 from quillspark.functions import edits, names
 from quillspark.functions import paths as P
 from quillspark.functions import text as X
+from quillspark.operators import packing
 from quillspark.operators import relational as R
 from quillspark.operators import sections as C
 from quillspark.operators import symbols
@@ -35,10 +36,26 @@ def test_query_equals_sql(spark, name):
 
 def test_greedy_packing_skips_and_goes_on(spark):
     rows = spark.createDataFrame([("g", 1, 60), ("g", 2, 50), ("g", 3, 40), ("g", 4, 500)], "g string, id long, size long")
-    got = R.pack_greedy(rows, "g", ["id"], "size", "id", 100).collect()
+    got = packing.pack_greedy(rows, "g", ["id"], "size", "id", 100).collect()
     assert sorted(r.id for r in got) == [1, 3]
 
 
+def test_greedy_packing_equals_a_fold(spark):
+    """Many groups, one of which holds most rows; budgets by group; ties; nothing that fits."""
+    rng = random.Random(7)
+    rows = [("hot" if rng.random() < 0.6 else f"g{rng.randrange(9)}", i, rng.randrange(40), rng.choice([1, 5, 30, 80, 300, 2000])) for i in range(1500)] + [(None, 9999, 1, 1), ("none", 8888, 1, 10**9)]
+    budget = {g: 50 * (i + 2) for i, g in enumerate(sorted({r[0] for r in rows if r[0]}))}
+    df = spark.createDataFrame([(*r, budget.get(r[0])) for r in rows], "g string, id long, o int, size long, room long").repartition(7)
+    want, used = set(), {}
+    for g, i, o, s in sorted((r for r in rows if r[0]), key=lambda r: (-r[2], r[1])):
+        if used.get(g, 20) + s <= budget[g]:
+            used[g] = used.get(g, 20) + s
+            want.add((g, i))
+    got = packing.pack_greedy(df, "g", [F.negative("o")], "size", "id", "room", fixed=20).collect()
+    assert {(r.g, r.id) for r in got} == want and all(r.used == used[r.g] for r in got)
+    assert packing.pack_greedy(df.limit(0), "g", ["o"], "size", "id", 10).collect() == []
+
+
 def test_cosine_of_odd_inputs(spark):
     rows = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([1.0], [1.0, 2.0]), ([0.0], [1.0]), ([], []), (None, [1.0])], "a array<float>, b array<float>")
     assert [r[0] for r in rows.select(X.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0, 0.0, 0.0]

@@ -18,14 +18,15 @@ def frame(spark, texts):
 
 def test_plain_slice(spark):
     df = frame(spark, {"a/src/main.rs": "fn main() {}\n", "a/src/big.rs": "x" * 2000, "a/x/util.py": "y = 1\n", "a/package.json": '{"name": "p", "junk": 1}'})
-    got = slices.plain_slice(df, 120).orderBy("position").collect()
+    n_map = len("# REPOSITORY_MAP\n") + sum(len(r.rel_path) + 1 for r in df.collect())
+    got = slices.plain_slice(df, 140).orderBy("position").collect()
     assert [r.rel_path for r in got] == ["a/src/main.rs", "a/package.json", "a/x/util.py"] and json.loads(got[1].text) == {"name": "p"}
-    assert got[-1].tokens == -(-(64 + 40 + sum(33 + len(r.rel_path) + len(r.text) for r in got)) // 4) <= 120
+    assert got[-1].tokens == -(-(64 + 40 + sum(33 + len(r.rel_path) + len(r.text) for r in got) + n_map) // 4) <= 140
     edges = spark.createDataFrame([("q", "a/x/util.py")] * 16, "source string, target string")
-    assert slices.plain_slice(df, 120, edges).orderBy("position").first().rel_path == "a/x/util.py"
-    xml = slices.document(slices.plain_slice(df, 120), slices.repository_map(df)).first().xml
+    assert slices.plain_slice(df, 140, edges).orderBy("position").first().rel_path == "a/x/util.py"
+    xml = slices.document(slices.plain_slice(df, 140), slices.repository_map(df)).first().xml
     assert xml.index("a/src/big.rs") < xml.index('<file path="a/src/main.rs">') < xml.index('<file path="a/x/util.py">')
-    assert slices.totals(slices.plain_slice(df, 120), 120).first().files == 3
+    assert slices.totals(slices.plain_slice(df, 140), 140).first().files == 3
     short = {r.rel_path: r.text for r in slices.plain_slice(df, 1000, skeleton=True, focus="a/x/util.py").collect()}
     assert short["a/x/util.py"] == "y = 1\n" and short["a/src/main.rs"] == "fn main() {}"
 
@@ -41,6 +42,26 @@ def test_query_slice_and_members(spark):
     assert got == {("app", "app/auth.py"), ("app", "app/auth/other.py"), ("lib", "lib/auth.py"), ("lib", "lib/z.py")}
 
 
+def test_repository_map_is_cut_at_whole_lines(spark, monkeypatch):
+    df = frame(spark, {f"d/{i:03}.py": "x" for i in range(30)})
+    assert slices.repository_map(df).first().repo_map == "# REPOSITORY_MAP\n" + "".join(f"d/{i:03}.py\n" for i in range(30))
+    monkeypatch.setattr(slices, "MAP_BYTES", 17 + 9 * 4 + 5)
+    assert slices.repository_map(df).first().repo_map == "# REPOSITORY_MAP\n" + "".join(f"d/{i:03}.py\n" for i in range(4)) + "# ... (truncated)\n"
+    monkeypatch.setattr(slices, "MAP_LINES", 2)
+    assert slices.repository_map(df).first().repo_map.count("\n") == 4 and slices.repository_map(df.limit(0)).first().repo_map == "# REPOSITORY_MAP\n"
+
+
+def test_compact_manifests_keep_order_and_tables(spark):
+    cargo = '[workspace]\nmembers = [\n  "a",\n  "[b]",\n]\n\n[profile.dev]\nx = 1\n\n[package]\nname = "q"\n[dependencies]\nserde = { version = "1", features = ["a"] }\n[[bin]]\nname = "m"\n'
+    got = slices.compact("cargo.toml", cargo)
+    import tomllib
+
+    want = tomllib.loads(cargo)
+    del want["profile"]
+    assert tomllib.loads(got) == want and "[profile" not in got and slices.compact("cargo.toml", "= broken") == "= broken"
+    assert slices.compact("package.json", '{"optionalDependencies": {"x": "1"}, "junk": 2, "name": "n"}') == '{\n  "name": "n",\n  "optionalDependencies": {\n    "x": "1"\n  }\n}'
+
+
 def test_checkpoints(spark, tmp_path):
     folder = str(tmp_path / "marks")
     assert history.checkpoints(spark, folder).count() == 0
