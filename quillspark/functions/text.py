@@ -200,6 +200,11 @@ def in_scope(path: Column, scope: str) -> Column:
     return F.lit(True) if scope in ("", ".") else (path == scope) | path.startswith(f"{scope}/")
 
 
+def in_scope_of(path: Column, scope: Column) -> Column:
+    """``in_scope`` of a scope that is a column, a plain path."""
+    return (path == scope) | path.startswith(F.concat(scope, F.lit("/")))
+
+
 def element_overhead(path: Column) -> Column:
     """Bytes that a file's element adds to its content."""
     return F.octet_length(path) + 33

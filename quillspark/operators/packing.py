@@ -33,7 +33,31 @@ def prefix_sums(rows: DataFrame, group: str, size: str) -> DataFrame:
     before = F.sum("all").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     shift = ranges.select(group, "part", F.coalesce(before, F.lit(0)).alias("before"))
     own = F.sum(size).over(Window.partitionBy(group, "part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("own", own).join(shift, [group, "part"]).withColumn("upto", F.col("own") + F.col("before")).drop("own", "before")
+    shift = shift.toDF("of", "of_part", "before")
+    both = rows.withColumn("own", own).join(shift, F.col(group).eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
+    return both.withColumn("upto", F.col("own") + F.col("before")).drop("own", "before", "of", "of_part")
+
+
+def running(rows: DataFrame, group: Column, order: Sequence[Column], size: Column) -> DataFrame:
+    """row (all columns of rows), s (the size) and upto, the sum of the group's sizes in order up to the row, its own included; null is a group too.
+
+    Rows are laid into ranges of the order and written once, so that a group
+    that holds most rows is summed by many tasks. Of rows that the order does
+    not tell apart any may come first.
+    """
+    own = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), group.alias("g"), size.cast("long").alias("s"), *[c.alias(f"o{i}") for i, c in enumerate(order)])
+    laid = in_ranges(own, [F.col("g"), *[F.col(f"o{i}") for i in range(len(order))]]).select("row", "g", "s", "at", "part")
+    return prefix_sums(Tables(rows.sparkSession, "running").put(laid, "rows"), "g", "s").select("row", "s", "upto")
+
+
+def within_cap(rows: DataFrame, group: str | None, order: Sequence[Column], size: Column, cap: int) -> DataFrame:
+    """Rows of each group (of all, where none is named) in order up to the one that reaches the cap: kept while the sum before is below it."""
+    return running(rows, F.col(group) if group else F.lit(0), order, size).filter(F.col("upto") - F.col("s") < cap).select("row.*")
+
+
+def within_budget(rows: DataFrame, group: str | None, order: Sequence[Column], size: Column, budget: int) -> DataFrame:
+    """Rows of each group in order up to the first that would break the budget; that one and all later ones are left out. Sizes are not negative."""
+    return running(rows, F.col(group) if group else F.lit(0), order, size).filter(F.col("upto") <= budget).select("row.*")
 
 
 #: Rows of a group that one fold over an array may hold.

@@ -63,12 +63,6 @@ def edge_weights(edges: DataFrame, source: str, target: str, weight: Column) ->
     return edges.filter(F.col(source) != F.col(target)).groupBy(source, target).agg(F.sum(weight).alias("weight"))
 
 
-def within_cap(rows: DataFrame, group: str, order: list[Column], size: Column, cap: int) -> DataFrame:
-    """Rows of each group in order up to the one that reaches the cap: kept while the sum before is below it."""
-    before = F.sum(size).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("__before", F.coalesce(before, F.lit(0))).filter(F.col("__before") < cap).drop("__before")
-
-
 def in_order(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     """rows dealt by group and sorted in each task, for a fold that keeps only its state between batches."""
     return rows.repartition(F.col(group)).sortWithinPartitions(group, *order)

@@ -69,12 +69,6 @@ def line_groups(spans: DataFrame, key: str, low: str, high: str, most: int) -> D
     return in_order(own, "k", ["low", "high"]).mapInArrow(run, out).withColumnRenamed("k", key)
 
 
-def within_budget(rows: DataFrame, group: str, order: list[Column], size: Column, budget: int) -> DataFrame:
-    """Rows of each group in order up to the first that would break the budget; that one and all later ones are left out."""
-    upto = F.sum(size).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("__upto", upto).filter(F.col("__upto") <= budget).drop("__upto")
-
-
 def resolve(rows: DataFrame, candidates: Column, known: DataFrame, name: str) -> DataFrame:
     """rows with name: the first of their candidates that known(name) has, null if it has none.
 

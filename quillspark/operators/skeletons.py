@@ -11,8 +11,9 @@ from ..functions import text as X
 from . import symbols as S
 from . import tokens as T
 
-#: Lines that look like definitions in any language.
-DEFINES = r"^\s*(?:(?:pub|export|public|private|protected|static|abstract|final|async|default)\s+)*(?:fn|func|function|def|class|struct|enum|trait|interface|impl|module|namespace|package|message|service|type)\s+[\p{L}_]"
+#: Lines that look like definitions in any language, and the texts for minified and unstructured files.
+DEFINES = r"^\s*(?:function|class|def|func|struct|interface|enum)\s+[a-zA-Z0-9_]|^\s*(?:public|private|protected)?\s*(?:static\s*)?(?:fn|var|val|func)\s+[a-zA-Z0-9_]"
+MINIFIED, UNSTRUCTURED, GAP = "/* MINIFIED_OR_GENERATED — skipped */\n", "/* TRUNCATED */\n", "...\n"
 #: How the hint for left-out imports names them.
 HINTS = {"rust": "uses", "csharp": "usings"}
 
@@ -52,12 +53,17 @@ def skeletons(texts: DataFrame, flat: bool = True) -> DataFrame:
 
 
 def universal(text: Column, most: int = 600, otherwise: int = 50) -> Column:
-    """Lines of a text of any language that look like definitions or hold TODO, with ``...`` for what is left out between them.
+    """Lines of a text of any language that look like definitions or hold TODO or FIXME, without the blanks around them, a gap's mark for what is left out between them.
 
-    ``most`` lines at most; of a text without such lines its first ``otherwise``.
-    Minified and null texts give null.
+    After ``most`` such lines the mark ends the text, if it goes on. A text
+    without such lines gives its first ``otherwise``, a minified one a note.
     """
-    numbered = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    lines = F.split(F.regexp_replace(text, r"\n$", ""), "\n", -1)
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     kept = F.slice(F.filter(numbered, lambda r: r["x"].rlike(DEFINES) | X.todo(r["x"])), 1, most)
-    shown = F.transform(kept, lambda r, k: F.concat(F.when((k > 0) & (r["i"] > F.coalesce(F.get(kept, k - 1)["i"], F.lit(0)) + 1), "...\n").otherwise(""), F.rtrim(r["x"])))
-    return F.when(~X.minified(text), F.when(F.size(kept) > 0, F.array_join(shown, "\n")).otherwise(X.head_lines(text, otherwise)))
+    gap = lambda r, k: F.when((k > 0) & (r["i"] > F.coalesce(F.get(kept, k - 1)["i"], F.lit(0)) + 1), GAP).otherwise("")
+    shown = F.array_join(F.transform(kept, lambda r, k: F.concat(gap(r, k), bare(r["x"]), F.lit("\n"))), "")
+    cut = F.when((F.size(kept) == most) & (F.size(lines) > F.get(kept, F.lit(most - 1))["i"] + 1), GAP).otherwise("")
+    head = F.concat(F.lit(UNSTRUCTURED), F.array_join(F.transform(F.slice(lines, 1, otherwise), bare), "\n"), F.lit("\n"))
+    return F.when(X.minified(text), MINIFIED).when(F.size(kept) > 0, F.concat(shown, cut)).when(text.isNotNull(), head)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import relational as R
+from ..operators import packing as B
 from ..operators import sections as C
 from ..sources import files
 
@@ -84,14 +84,14 @@ def dot_path(json_col: str, path: str):
 def found_lines(texts: DataFrame, query: str, most_bytes: int = 8000) -> DataFrame:
     """rel_path, line_no and line of the lines that hold the query in whatever case, of each text up to the one that reaches the limit."""
     hits = files.lines(texts).filter(X.any_cell_contains([F.col("line")], query))
-    return R.within_cap(hits, "rel_path", [F.col("line_no")], F.octet_length("line") + 1, most_bytes)
+    return B.within_cap(hits, "rel_path", [F.col("line_no")], F.octet_length("line") + 1, most_bytes)
 
 
 def found_rows(rows: DataFrame, query: str, order: list[str], most_bytes: int = 8000) -> DataFrame:
     """The rows of which some cell holds the query, up to the one that reaches the limit; cells are joined by bars."""
     shown = rows.filter(X.any_cell_contains([F.col(f"`{c}`") for c in rows.columns], query))
     size = F.octet_length(F.concat_ws(" | ", *[F.col(f"`{c}`").cast("string") for c in rows.columns])) + 1
-    return R.within_cap(shown.withColumn("__one", F.lit(1)), "__one", [F.col(c) for c in order], size, most_bytes).drop("__one")
+    return B.within_cap(shown, None, [F.col(c) for c in order], size, most_bytes)
 
 
 def outline(texts: DataFrame) -> DataFrame:

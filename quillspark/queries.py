@@ -152,7 +152,7 @@ def module_graph(spark, sf_dir):
 @query("""WITH b AS (SELECT source, doc_id, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
 SELECT source, doc_id, n_chars FROM b WHERE before < 8000""")
 def capped_output(spark, sf_dir):
-    return R.within_cap(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", [F.col("doc_id")], F.col("n_chars"), 8000)
+    return B.within_cap(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", [F.col("doc_id")], F.col("n_chars"), 8000)
 
 
 @query("""SELECT o_custkey, o_orderkey, o_totalprice, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 5""")
@@ -244,7 +244,7 @@ def budget_packing(spark, sf_dir):
 @query("""SELECT source, doc_id FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM documents) WHERE upto <= 50000""")
 def stop_on_overflow(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return C.within_budget(rows, "source", [F.col("doc_id")], F.col("n_chars"), 50_000).select("source", "doc_id")
+    return B.within_budget(rows, "source", [F.col("doc_id")], F.col("n_chars"), 50_000).select("source", "doc_id")
 
 
 @query("""WITH u AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '') AS path FROM pages) SELECT * FROM u""")
@@ -371,9 +371,12 @@ def repository_map(spark, sf_dir):
     return L.repository_map(document_files(spark, sf_dir)).select(F.md5("repo_map").alias("repo_map"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l, text FROM documents), i AS (SELECT *, (list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '^\s*(?:(?:pub|export|public|private|protected|static|abstract|final|async|default)\s+)*(?:fn|func|function|def|class|struct|enum|trait|interface|impl|module|namespace|package|message|service|type)\s+[\p{L}_]') OR regexp_matches(l[i], '(?i)todo|fixme')))[1:600] AS k FROM l)
-SELECT doc_id, CASE WHEN NOT coalesce(list_bool_or(list_transform(list_filter(l, lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')[1:5], lambda x: octet_length(encode(x)) > 2000)), false)
-THEN md5(CASE WHEN len(k) > 0 THEN array_to_string(list_transform(range(1, len(k) + 1), lambda n: CASE WHEN n > 1 AND k[n] > k[n - 1] + 1 THEN '...' || chr(10) ELSE '' END || rtrim(l[k[n]], ' ')), chr(10)) ELSE array_to_string(l[1:50], chr(10)) END) END AS skeleton FROM i""")
+@query(r"""WITH t AS (SELECT doc_id, text, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS l FROM documents), i AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '(?i)todo|fixme')
+OR regexp_matches(l[i], '^\s*(function|class|def|func|struct|interface|enum)\s+[a-zA-Z0-9_]+') OR regexp_matches(l[i], '^\s*(public|private|protected)?\s*(static\s*)?(fn|var|val|func)\s+[a-zA-Z0-9_]+')) AS k,
+coalesce(list_bool_or(list_transform(list_filter(l, lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')[1:5], lambda x: octet_length(encode(x)) > 2000)), false) AS minified FROM t)
+SELECT doc_id, md5(CASE WHEN minified THEN '/* MINIFIED_OR_GENERATED — skipped */' || chr(10)
+WHEN len(k) > 0 THEN array_to_string(list_transform(range(1, least(len(k), 600) + 1), lambda n: CASE WHEN n > 1 AND k[n] > k[n - 1] + 1 THEN '...' || chr(10) ELSE '' END || regexp_replace(l[k[n]], '^\s+|\s+$', '', 'g') || chr(10)), '') || CASE WHEN len(k) >= 600 AND len(l) > k[600] THEN '...' || chr(10) ELSE '' END
+ELSE '/* TRUNCATED */' || chr(10) || array_to_string(list_transform(l[1:50], lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), chr(10)) || chr(10) END) AS skeleton FROM i""")
 def universal_skeletons(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(N.universal(F.col("text"))).alias("skeleton"))
 
@@ -435,11 +438,10 @@ def head_and_tail(spark, sf_dir):
     return D.text_overview(docs, 6, 2).select(F.col("rel_path").alias("doc_id"), "line_no", F.md5("line").alias("line"))
 
 
-@query("""WITH s AS (SELECT *, octet_length(encode(c_custkey || ' | ' || c_name || ' | ' || c_nationkey || ' | ' || c_mktsegment)) + 1 AS b FROM customer WHERE contains(lower(c_mktsegment), 'build') OR contains(lower(c_name), 'build')),
-c AS (SELECT *, coalesce(sum(b) OVER (ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s) SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM c WHERE before < 5000""")
+@query("""WITH s AS (SELECT *, octet_length(encode(c_custkey || ' | ' || c_name || ' | ' || c_nationkey || ' | ' || c_acctbal || ' | ' || c_mktsegment)) + 1 AS b FROM customer WHERE contains(lower(c_mktsegment), 'build') OR contains(lower(c_name), 'build') OR contains(c_custkey::VARCHAR, 'build') OR contains(c_nationkey::VARCHAR, 'build') OR contains(c_acctbal::VARCHAR, 'build')),
+c AS (SELECT *, coalesce(sum(b) OVER (ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s) SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM c WHERE before < 5000""")
 def data_search(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    return D.found_rows(rows, "BUILD", ["c_custkey"], 5000)
+    return D.found_rows(table(spark, sf_dir, "customer"), "BUILD", ["c_custkey"], 5000)
 
 
 @query(f"""WITH e AS (SELECT vec_id, text, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings JOIN documents ON vec_id = doc_id WHERE lang IN ('en', 'fr') AND contains(source, '1')),
@@ -466,8 +468,8 @@ def changed_turns(spark, sf_dir):
 @query(f"""WITH p AS (SELECT page_id, {ADDRESS} AS p, (SELECT min(split_part({ADDRESS}, '/', 1)) FROM pages) AS s FROM pages) SELECT page_id FROM p WHERE p = s OR starts_with(p, s || '/')""")
 def scope_filter(spark, sf_dir):
     pages = page_files(spark, sf_dir)
-    first = pages.agg(F.min(F.split("rel_path", "/")[0])).first()[0]
-    return pages.filter(X.in_scope(F.col("rel_path"), first)).select("page_id")
+    first = pages.agg(F.min(F.split("rel_path", "/")[0]).alias("scope"))
+    return pages.join(F.broadcast(first), X.in_scope_of(F.col("rel_path"), F.col("scope"))).select("page_id")  # one row
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +16,11 @@ from ..functions.paths import glob_regex, matches_globs
 #: Limits on a file's bytes, and folders, names and endings that a scan leaves out.
 MOST_BYTES, EVER_BYTES = 524_288, 1_000_000
 SKIPPED_FOLDERS = (
-    "node_modules target dist build out .git .svn .hg .idea .vscode __pycache__ .venv venv env vendor .next .nuxt .cache coverage .gradle .mvn .terraform .tox .mypy_cache .pytest_cache .ruff_cache "
-    ".dart_tool .turbo .parcel-cache .svelte-kit .yarn bower_components Pods DerivedData obj bin tmp temp logs .eggs site-packages .cargo"
+    ".git node_modules dist build coverage .next .nuxt .vscode-test .vscode out .turbo .svelte-kit target __pycache__ .venv venv .env env .tox .pytest_cache .mypy_cache .ruff_cache htmlcov .hypothesis site-packages "
+    ".dart_tool .pub .pub-cache .flutter-plugins .flutter-plugins-dependencies vendor .bundle .gradle .m2 .terraform .serverless tmp temp logs .cache"
 ).split()
-SKIPPED_NAMES = "package-lock.json yarn.lock pnpm-lock.yaml Cargo.lock poetry.lock composer.lock Gemfile.lock".split()
-SKIPPED_ENDINGS = r"\.(png|jpe?g|gif|ico|webp|svg|pdf|zip|gz|tar|jar|exe|dll|so|dylib|bin|wasm|woff2?|ttf|eot|mp[34]|lock|min\.js|min\.css|map)$"
+SKIPPED_NAMES = "package-lock.json pnpm-lock.yaml yarn.lock Cargo.lock".split()
+SKIPPED_ENDINGS = r"\.(lock|map|svg|png|ico|jpg|jpeg|gif|pyc|pyo|pyd|class|o|a|so|dylib|dll|exe|wasm|min\.js|min\.css)$"
 
 
 def ignore_rules(text: str) -> list[tuple[bool, str]]:
@@ -51,11 +52,36 @@ def ignored(path: Column, rules: Sequence[tuple[bool, str]]) -> Column:
     return out
 
 
+def ignore_table(ignores: DataFrame) -> DataFrame:
+    """folder, line_no, again and pattern of every rule of ignores(folder, text), the ignore files of any folders ('' is the top)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(f, i, *rule) for f, t in zip(b.column("folder").to_pylist(), b.column("text").to_pylist(), strict=True) for i, rule in enumerate(ignore_rules(t or ""))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.string(), pa.int32(), pa.bool_(), pa.string()), strict=True)], names=["folder", "line_no", "again", "pattern"])
+
+    return ignores.select("folder", "text").mapInArrow(run, "folder string, line_no int, again boolean, pattern string")
+
+
+def kept_by_ignores(files: DataFrame, ignores: DataFrame) -> DataFrame:
+    """Of files(rel_path, ...) those that the ignore files of their folders leave in.
+
+    A file meets the rules of all folders above it by an equi-join on the
+    folder, each with the path below that folder; of all rules that match, the
+    last line of the deepest folder decides.
+    """
+    parts = F.split("rel_path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("folder"), F.array_join(F.slice(parts, n + 1, F.size(parts)), "/").alias("below")))
+    met = files.select("rel_path", F.explode(above).alias("a")).select("rel_path", "a.*").join(ignore_table(ignores), "folder").filter(F.rlike("below", F.col("pattern")))
+    gone = met.groupBy("rel_path").agg(F.max_by("again", F.struct("depth", "line_no")).alias("again")).filter(~F.col("again"))
+    return files.join(gone.select("rel_path"), "rel_path", "left_anti")
+
+
 def wanted(files: DataFrame, most_bytes: int = MOST_BYTES, skip: Sequence[str] = (), rules: Sequence[tuple[bool, str]] = (), hidden: bool = False) -> DataFrame:
     """Of files(rel_path, bytes, ...) those that a scan keeps: not empty, not too large, in no skipped or hidden folder, of no skipped name or ending, not ignored."""
     parts = F.split("rel_path", "/")
     folders, name = F.slice(parts, 1, F.size(parts) - 1), F.element_at(parts, -1)
-    keep = (F.col("bytes") > 0) & (F.col("bytes") <= min(most_bytes, EVER_BYTES)) & ~F.lower("rel_path").rlike(SKIPPED_ENDINGS) & ~name.isin(SKIPPED_NAMES)
+    keep = (F.col("bytes") > 0) & (F.col("bytes") <= min(most_bytes, EVER_BYTES)) & ~F.col("rel_path").rlike(SKIPPED_ENDINGS) & ~name.isin(SKIPPED_NAMES)
     keep &= ~F.arrays_overlap(folders, F.array(*[F.lit(x) for x in [*SKIPPED_FOLDERS, *skip]]))
     if not hidden:
         keep &= ~F.exists(parts, lambda x: x.startswith(".") & ~x.isin(".", ".."))
@@ -75,13 +101,14 @@ def found(spark: SparkSession, root: str) -> DataFrame:
     return files.select(one.alias("rel_path"), ext.alias("ext"), F.col("length").alias("bytes"), "content")
 
 
-def scan(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES, skip: Sequence[str] = (), ignore: str = "", hidden: bool = False) -> DataFrame:
-    """``found`` files that are ``wanted``; ``ignore`` is the text of an ignore file.
+def scan(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES, skip: Sequence[str] = (), ignore: str = "", hidden: bool = False, ignores: DataFrame | None = None) -> DataFrame:
+    """``found`` files that are ``wanted``; ``ignore`` is the text of an ignore file at the top, ignores(folder, text) those of any folders.
 
     Sizes and names are tested before content is read, as binaryFile prunes its
     columns. Order by rel_path where it is shown; a table has none.
     """
-    return wanted(found(spark, root), most_bytes, skip, ignore_rules(ignore), hidden)
+    kept = wanted(found(spark, root), most_bytes, skip, ignore_rules(ignore), hidden)
+    return kept if ignores is None else kept_by_ignores(kept, ignores)
 
 
 def funnel(files: DataFrame, kept: DataFrame, most: int = 5) -> tuple[DataFrame, DataFrame]:

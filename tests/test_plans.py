@@ -208,3 +208,14 @@ def test_stream_hands_on_new_files_once(spark, tmp_path):
         spark.range(3 + i).write.mode("append").parquet(str(tmp_path / "in"))
         refresh.follow(spark, str(tmp_path / "in"), "id long", str(tmp_path / "marks"), each).awaitTermination()
     assert seen == [3, 4]
+
+
+def test_ignore_files_of_folders(spark):
+    """Rules of deeper folders and later lines decide; a folder's rules reach below it only."""
+    paths = ["a.log", "x/a.log", "x/keep.log", "x/y/a.log", "x/y/b.txt", "z/b.txt", "x/gen/c.txt", "src/bin/main.rs", "build/o.txt", "z/top.txt", "top.txt"]
+    rows = spark.createDataFrame([(p, 1) for p in paths], "rel_path string, bytes long")
+    ignores = spark.createDataFrame([("", "*.log\n/top.txt\n"), ("x", "!keep.log\ngen/\n"), ("x/y", "!*.log\nb.txt\n"), ("none", "*\n"), ("z", None)], "folder string, text string")
+    kept = {r.rel_path for r in files.kept_by_ignores(rows, ignores).collect()}
+    assert kept == {"x/keep.log", "x/y/a.log", "z/b.txt", "src/bin/main.rs", "build/o.txt", "z/top.txt"}
+    assert {r.rel_path for r in files.wanted(rows).collect()} == set(paths) - {"build/o.txt"}
+    assert files.kept_by_ignores(rows, ignores.limit(0)).count() == len(paths)
