@@ -7,9 +7,11 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ BYTE_BPE, BYTE_RANKS, PIECE_BPE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken",
 #: Bits of a pair's key that the second tokenizer's id takes.
 B_BITS = 15
 #: UTF-8 bytes that are aligned at a time, tries near the middle before all ends of an interval are compared, links of a group beyond which its ids are counted before they are paired.
-AT_ONCE, TRIES, WIDE = 1 << 20, 24, 64
+AT_ONCE, TRIES, WIDE = 1 << 18, 24, 64
 #: Id pairs of a block of the corpus-wide table, of one of its rows, and links looked up by one task.
 BLOCK_PAIRS, ROW_PAIRS, TASK_LINKS = 1 << 20, 1 << 16, 1 << 22
 #: Runs that the faster library is not given: its pattern may look back over all of a run.
@@ -37,19 +39,16 @@ class Tokenizers:
     """Both tokenizers and the bytes of each of their tokens.
 
     The first is byte-level BPE; tiktoken encodes by its ranks, which gives the
-    ids of the vocabulary file (tests compare them), and the file's own library
-    what has runs too long for tiktoken's pattern. The second is a
-    sentencepiece model.
+    ids of the vocabulary file (tests compare them), and the file's own library,
+    read when first needed, what has runs too long for tiktoken's pattern. The
+    second is a sentencepiece model.
     """
 
     def __init__(self, paths: tuple[str, str, str]):
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.whole = Tokenizer.from_file(paths[0])
-        self.whole.encode_special_tokens = True
+        self.path = paths[0]
         with open(paths[1], "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.plain = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -60,6 +59,15 @@ class Tokenizers:
         self.b_bytes = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.get_piece_size())]
         self.a_size, self.b_size = (np.array([len(x) for x in y]) for y in (self.a_bytes, self.b_bytes))
 
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
+
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of blank + text by both; none where a text is empty or a tokenizer does not keep its bytes."""
         second = self.pieces.encode(texts, num_threads=1)
@@ -180,16 +188,13 @@ def written_ids() -> list[bytes]:
     return [b"%d%s" % (i, mark) for mark in (b",", b"|", b";", b"") for i in range(1 << 16)]
 
 
-def spans(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about AT_ONCE bytes, of one text at least."""
-    low, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= AT_ONCE:
-            yield low, i + 1
-            low, held = i + 1, 0
-    if low < len(texts):
-        yield low, len(texts)
+def spans(texts: pa.StringArray) -> Iterator[tuple[int, list[str]]]:
+    """The column's texts, null as empty, in lists of about AT_ONCE bytes, of one text at least, each with the place of its first."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+    piece = (np.cumsum(sizes, dtype=np.int64) - sizes) // AT_ONCE
+    starts = np.flatnonzero(np.diff(piece, prepend=-1)) if len(piece) else piece
+    for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(texts)], strict=True):
+        yield low, [x or "" for x in texts.slice(low, high - low).to_pylist()]
 
 
 ALIGNED = ["doc_id long", "n_a long", "n_b long", "n_groups long", "n_links long", "groups_sha256 string", "keys array<long>", "times array<long>"]
@@ -208,9 +213,9 @@ def groups(docs: DataFrame, paths: tuple[str, str, str] | None = None) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers = Tokenizers(paths)
         for b in batches:
-            texts, ids = [x or "" for x in b.column("text").to_pylist()], b.column("doc_id")
-            for low, high in spans(texts):
-                x = Batch(tokenizers, texts[low:high])
+            ids = b.column("doc_id")
+            for low, texts in spans(b.column("text")):
+                x = Batch(tokenizers, texts)
                 g, before = x.groups, np.concatenate([[0], np.cumsum(x.n_groups)])
                 base = np.concatenate([[0], x.a_end])[(np.cumsum(x.n_a) - x.n_a)[x.doc]]
                 a, c = (pa.ListArray.from_arrays(pa.array(np.append(g[:, k], side.size), pa.int32()), pa.array(side, pa.int32())) for k, side in ((0, x.a), (2, x.b)))
@@ -228,9 +233,8 @@ def aligned(docs: DataFrame, paths: tuple[str, str, str] | None = None) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers, written = Tokenizers(paths), written_ids()
         for b in batches:
-            texts = [x or "" for x in b.column("text").to_pylist()]
-            for low, high in spans(texts):
-                x, n = Batch(tokenizers, texts[low:high]), high - low
+            for low, texts in spans(b.column("text")):
+                x, n = Batch(tokenizers, texts), len(texts)
                 of, keys, times = x.links()
                 own = [pa.array(v, pa.int64()) for v in (x.n_a, x.n_b, x.n_groups, x.n_links)]
                 cells = [b.column("doc_id").slice(low, n), *own, pa.array(x.digests(written), pa.string()), lists(of, keys, n), lists(of, times, n)]
