@@ -219,7 +219,7 @@ def regions(own: np.ndarray, template: Template) -> list[tuple[int, int]]:
 def matches(text: str, templates: Mapping[str, Template], posts: Mapping[int, list], sorted_posts: np.ndarray, memo: Hashes) -> list[tuple[str, float, int, int]]:
     """(template, coverage, first character, last + 1) of each match in a text, by place; matches of one template do not overlap."""
     found = WORD.findall(text)
-    if not found:
+    if not found or not len(sorted_posts):
         return []
     own = np.array(list(map(memo.__getitem__, found)), np.int64)
     hashes = grams(own)

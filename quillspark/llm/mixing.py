@@ -93,8 +93,12 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3,
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: int = 17) -> DataFrame:
     """The mixture itself: every row of docs, with all its columns, as often as ``plan_mix`` says."""
-    again = F.explode(F.array_repeat(F.lit(True), F.col("__copies").cast("int"))).alias("__copy")
-    return with_copies(docs, weights, most, seed).filter("__copies > 0").select(*docs.columns, again).select(*docs.columns)
+    own = [f"c{i}" for i in range(len(docs.columns))]  # names that cannot meet those of the work
+    place = {c: i for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*own).withColumns({c: F.col(own[place[c]]) for c in ("doc_id", "text", "source")})
+    again = F.explode(F.array_repeat(F.lit(True), F.col("__copies").cast("int"))).alias("again")
+    copies = with_copies(rows, weights, most, seed).filter("__copies > 0").select(*own, again)
+    return copies.select(*own).toDF(*docs.columns)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
