@@ -14,7 +14,7 @@ from .common import documents, shuffle_partitions, text_of
 #: White space other than the blank, which it counts as.
 WHITE = "\t\n\x0b\x0c\r"
 #: Samples of a fingerprint, and how many of them one row of the sampling step draws: as many as compiled code has room for.
-SAMPLES, AT_ONCE = 32, 2
+SAMPLES, AT_ONCE = 64, 2
 #: Sampled values are compared in steps of 2^-41, up to 2^6; marks have 16 bits.
 STEP, MOST, MARK = float(1 << 41), (1 << 47) - 1, 0xFFFF
 LN2, BITS24, BITS16 = math.log(2.0), (1 << 24) - 1, (1 << 16) - 1
