@@ -49,9 +49,33 @@ def safe_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_"), r"^_+|_+$", "")
 
 
+def joined(folder: Column, target: Column) -> Column:
+    """The path that target means from a folder, of any depth: ``.`` and empty parts go, ``..`` takes the part before it; null where it leads out of the top, ``.`` for the top itself.
+
+    The parts are folded with a stack; a target that begins with a slash starts from the top.
+    """
+    start = F.when(target.startswith("/"), "").otherwise(folder)
+    parts = F.split(F.concat(start, F.lit("/"), F.replace(target, F.lit("\\"), F.lit("/"))), "/")
+    empty = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(False).alias("out"))
+
+    def step(state: Column, part: Column) -> Column:
+        n = F.size(state["stack"])
+        up = F.struct(F.slice(state["stack"], F.lit(1), F.greatest(n - 1, F.lit(0))).alias("stack"), (state["out"] | (n == 0)).alias("out"))
+        down = F.struct(F.concat(state["stack"], F.array(part)).alias("stack"), state["out"].alias("out"))
+        return F.when(part.isin("", "."), state).when(part == "..", up).otherwise(down)
+
+    done = F.aggregate(parts, empty, step)
+    return F.when(~done["out"], F.when(F.size(done["stack"]) == 0, ".").otherwise(F.array_join(done["stack"], "/")))
+
+
+def relative_to(path: Column, root: Column) -> Column:
+    """The path below a root, both normalised; ``.`` for the root itself, the whole path where it lies elsewhere."""
+    path, root = normal_path(path), normal_path(root)
+    return F.when(path == root, ".").when(path.startswith(F.concat(root, F.lit("/"))), F.substring(path, F.length(root) + 2, F.length(path))).otherwise(path)
+
+
 def import_candidates(folder: Column, target: Column) -> Column:
-    """Files that a relative import may mean, best first; empty unless the target starts with a dot."""
-    inside = F.regexp_replace(F.concat(folder, F.lit("/"), F.regexp_replace(target, r"^\./", "")), r"/\./", "/")
-    for _ in range(8):  # each step takes one folder that a following .. leaves
-        inside = F.regexp_replace(inside, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return F.when(target.startswith("."), F.array(*[F.concat(inside, F.lit(x)) for x in IMPORT_ENDINGS])).otherwise(F.array().cast("array<string>"))
+    """Files that a relative import may mean, best first; empty unless the target starts with a dot and stays below the top."""
+    inside = joined(folder, target)
+    each = F.array(*[F.concat(inside, F.lit(x)) for x in IMPORT_ENDINGS])
+    return F.when(target.startswith(".") & inside.isNotNull(), each).otherwise(F.array().cast("array<string>"))

@@ -77,6 +77,26 @@ def folded(rows: DataFrame) -> DataFrame:
     return each.select("g", F.explode(F.aggregate("rows", nothing, take)["kept"]).alias("x")).select("g", "x.k", "x.s")
 
 
+def taken_in_rounds(own: DataFrame, keys: Sequence[Column]) -> DataFrame:
+    """g, k and s of the rows(g, k, s, room) that each group takes in the order of the keys, of groups of any size (see ``pack_greedy``)."""
+    tables = Tables(own.sparkSession, "packing")
+    laid = in_ranges(own, [F.col("g"), *keys])
+    left, taken, round_ = tables.put(laid.select("g", "k", "s", "room", "at", "part"), "rows"), [], 0
+    while True:
+        counts = left.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        taken.append(folded(left.join(counts.filter(F.col("n") <= FOLD), "g")))
+        many = left.join(counts.filter(F.col("n") > FOLD).select("g"), "g")
+        summed = tables.put(prefix_sums(many, "g", "s"), f"round-{round_}")
+        if summed.isEmpty():
+            return reduce(DataFrame.unionByName, taken)
+        fits = F.col("upto") <= F.col("room")
+        taken.append(summed.filter(fits).select("g", "k", "s"))
+        over = summed.groupBy("g").agg(F.coalesce(F.sum(F.when(fits, F.col("s"))), F.lit(0)).alias("took"), F.min(F.when(~fits, F.col("at"))).alias("first")).filter("first IS NOT NULL")
+        rest = summed.drop("upto").join(over, "g").filter("at > first AND s <= room - took")
+        left = tables.put(rest.select("g", "k", "s", (F.col("room") - F.col("took")).alias("room"), "at", "part"), f"left-{round_}")
+        round_ += 1
+
+
 def pack_greedy(rows: DataFrame, group: str, order: Sequence[str | Column], size: str, key: str, budget: int | str, fixed: int = 0) -> DataFrame:
     """group, used (all that is taken), n_taken and key of the rows taken in order while they fit the budget; a row too large is skipped and later ones may still fit.
 
@@ -92,26 +112,11 @@ def pack_greedy(rows: DataFrame, group: str, order: Sequence[str | Column], size
     remain. Rows lie in ranges of the order (``in_ranges``), so that no task
     holds a large group; each round reads what the one before has left.
     """
-    tables = Tables(rows.sparkSession, "packing")
     room = (F.col(budget) if isinstance(budget, str) else F.lit(budget)).cast("long") - fixed
     own = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(size).cast("long").alias("s"), room.alias("room"), *[(F.col(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order)])
     own = own.filter(F.col("g").isNotNull() & (F.col("s") <= F.col("room")))
-    laid = in_ranges(own, [F.col("g"), *[F.col(f"o{i}") for i in range(len(order))], F.col("k")])
-    left, taken, round_ = tables.put(laid.select("g", "k", "s", "room", "at", "part"), "rows"), [], 0
-    while True:
-        counts = left.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-        few = left.join(counts.filter(F.col("n") <= FOLD), "g")
-        taken.append(folded(few))
-        many = left.join(counts.filter(F.col("n") > FOLD).select("g"), "g")
-        summed = tables.put(prefix_sums(many, "g", "s"), f"round-{round_}")
-        if summed.isEmpty():
-            break
-        fits = F.col("upto") <= F.col("room")
-        taken.append(summed.filter(fits).select("g", "k", "s"))
-        over = summed.groupBy("g").agg(F.coalesce(F.sum(F.when(fits, F.col("s"))), F.lit(0)).alias("took"), F.min(F.when(~fits, F.col("at"))).alias("first")).filter("first IS NOT NULL")
-        rest = summed.drop("upto").join(over, "g").filter("at > first AND s <= room - took")
-        left = tables.put(rest.select("g", "k", "s", (F.col("room") - F.col("took")).alias("room"), "at", "part"), f"left-{round_}")
-        round_ += 1
-    all_ = reduce(DataFrame.unionByName, taken)
+    keys = [*[F.col(f"o{i}") for i in range(len(order))], F.col("k")]
+    small = own.groupBy("g").count().filter(F.col("count") > FOLD).isEmpty()
+    all_ = folded(own.withColumn("at", F.struct(*keys))) if small else taken_in_rounds(own, keys)
     sums = all_.groupBy("g").agg((F.sum("s") + fixed).cast("long").alias("used"), F.count(F.lit(1)).cast("int").alias("n_taken"))
     return all_.join(sums, "g").select(F.col("g").alias(group), "used", "n_taken", F.col("k").alias(key))

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions import code as K
 from ..functions import text as X
+from ..sources.scratch import Tables
 
 #: Words that begin a definition, by language, and the kind of symbol.
 KEYWORDS = {
@@ -244,8 +245,9 @@ def bodies(texts: DataFrame) -> DataFrame:
     into lines does not matter. Of several definitions of one name on a line
     the first is told, an arrow function before a constant.
     """
-    rows = tokens(texts)
-    code, ends = laid(rows), brackets(rows)
+    tables = Tables(texts.sparkSession, "tokens")
+    rows = tables.put(tokens(texts), "rows")  # texts are scanned once, and what is read several times is made once
+    code, ends = tables.put(laid(rows), "laid"), tables.put(brackets(rows), "brackets")
     pairs = [F.when((F.col("lang") == lang) & (F.col("token") == word), F.lit(kind)) for lang, words in KEYWORDS.items() for word, kind in words.items()]
     told = F.coalesce(*pairs)
     head = (F.col("kind") == "word") & told.isNotNull() & ~F.coalesce(F.col("prev1").isin(".", "::"), F.lit(False))
@@ -302,7 +304,7 @@ def uses(rows: DataFrame, name: str) -> DataFrame:
     a literal's brace); part of a call, callee or argument, of one of the LEVELS
     brackets around it; the key of a literal; part of a chain of accesses.
     """
-    code = laid(rows)
+    code = Tables(rows.sparkSession, "uses").put(laid(rows), "laid")
     some = code.filter((F.col("token") == name) & (F.col("kind") == "word"))
     parents = code.filter(F.col("token").isin("(", "[", "{")).select("rel_path", F.col("at").alias("up"), F.col("block").alias("above"), ((F.col("token") == "(") & F.col("prev1").rlike(r"^[\w$)\]>]+$") & ~F.col("prev1").isin([*CONTROL, "fn", "def", "and", "or", "not", "in"])).alias("call"), F.col("prev2").alias("told"), (F.col("token") == "{").alias("brace"))
     parents = parents.withColumn("call", F.col("call") & ~F.coalesce(F.col("told").isin("fn", "def", "function", "func", "class", "new"), F.lit(False)))

@@ -74,12 +74,19 @@ def module_nodes(files: DataFrame, of: DataFrame) -> DataFrame:
     return sums.select(F.col("module").alias("id"), F.element_at(F.split("module", "/"), -1).alias("label"), "file_count", "bytes", X.token_estimate(F.col("bytes")).alias("est_tokens"), X.size_class(F.col("bytes")).alias("size_class"))
 
 
+def declared_modules(declared: DataFrame, roots: DataFrame) -> DataFrame:
+    """module and path: of declared(module, path), the folders that manifests name relative to their own module's, those that are a root(root), as its path from the top."""
+    own = F.when(F.col("module") == ".", "").otherwise(F.col("module"))
+    meant = declared.select("module", P.joined(own, F.col("path")).alias("path")).filter("path IS NOT NULL")
+    return meant.join(roots.select(F.col("root").alias("path")), "path", "left_semi").select("module", "path").distinct()
+
+
 def module_edges(edges: DataFrame, of: DataFrame, packages: DataFrame | None = None, imports: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
     """source, target and weight between different modules: imports of files count one, declared dependencies five.
 
     edges(source, target) are of files; imports(rel_path, imports) are met with
     packages(name, module) by the import's first part, dashes as underscores;
-    declared(module, path) name another module's folder. Packages are few, but
+    declared(module, path) name another module's folder from the top (``declared_modules``). Packages are few, but
     nothing is broadcast by force.
     """
     a, b = of.toDF("source", "from"), of.toDF("target", "to")

@@ -21,6 +21,7 @@ from ..functions import text as X
 from ..operators import packing as B
 from ..operators import relational as R
 from ..operators import skeletons as L
+from ..sources.scratch import Tables
 
 #: Bytes of a document around its map and files, and limits of the map.
 DOCUMENT, MAP, MAP_LINES, MAP_BYTES = 64, 40, 4000, 64 * 1024
@@ -117,6 +118,7 @@ def contents(files: DataFrame, skeleton: bool = False, focus: str | None = None,
         name = F.lower(F.element_at(F.split("rel_path", "/"), -1))
         manifest = name.isin("package.json", "cargo.toml") if compacted else F.lit(False)
         out = files.join(short, "rel_path", "left").withColumn("text", F.when(manifest, F.col("text")).otherwise(shown)).drop("skeleton")
+        out = Tables(files.sparkSession, "contents").put(out, "shown")  # what is packed is read several times, skeletons are made once
     if not compacted:
         return out
     return compact_manifests(out.filter(~is_focus)).unionByName(out.filter(is_focus))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from .functions import edits as E
 from .functions import paths as P
 from .functions import text as X
+from .functions import trees as J
 from .operators import packing as B
 from .operators import relational as R
 from .operators import sections as C
@@ -19,6 +20,7 @@ from .plans import explore as D
 from .plans import graphs as G
 from .plans import history as H
 from .plans import index as I
+from .plans import postings as O
 from .plans import search as S
 from .plans import slices as L
 from .sources import files
@@ -472,6 +474,37 @@ def scope_filter(spark, sf_dir):
     return pages.join(F.broadcast(first), X.in_scope_of(F.col("rel_path"), F.col("scope"))).select("page_id")  # one row
 
 
+@query(r"""WITH w AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT doc_id, n, unnest(regexp_extract_all(line, '[\p{L}_$][\p{L}\p{N}_$]*')) AS name FROM w),
+p AS (SELECT name, doc_id, count(*) AS uses, array_to_string(list_sort(list(DISTINCT n)), ',') AS lines FROM t GROUP BY ALL), a AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}_$][\p{L}\p{N}_$]*')) AS name FROM benchmark)
+SELECT name, doc_id, uses, lines FROM p SEMI JOIN a USING (name)""")
+def name_postings(spark, sf_dir):
+    rows = O.of_lines(files.lines(table(spark, sf_dir, "documents"), key="doc_id"), "doc_id")
+    names = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(O.WORD), 0)).alias("name"))
+    return O.found(rows, names, "doc_id").select("name", "doc_id", "uses", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
+
+
+@query("""WITH k AS (SELECT event_id, props, 'k' AS path, json_extract(props, '$.k')::VARCHAR AS v FROM events), r AS (SELECT event_id, path, instr(props, ': ' || v) + 1 AS first_byte, length(v) AS n FROM k WHERE v IS NOT NULL)
+SELECT event_id, path, first_byte::BIGINT AS first_byte, (first_byte + n)::BIGINT AS last_byte FROM r UNION ALL SELECT event_id, '', 0, octet_length(encode(props))::BIGINT FROM events""")
+def json_byte_ranges(spark, sf_dir):
+    return J.byte_ranges(table(spark, sf_dir, "events").select("event_id", "props"), "props").select("event_id", "path", "first_byte", "last_byte")
+
+
+@query("SELECT event_id, regexp_replace(props, '(\"k\": )[0-9.]+', '\\1null') AS props FROM events")
+def json_splices(spark, sf_dir):
+    return J.spliced(table(spark, sf_dir, "events").select("event_id", "props"), "props", "k", "null")
+
+
+@query(r"""WITH RECURSIVE p AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '') AS path FROM pages), s AS (SELECT page_id, list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')) AS l FROM p)
+SELECT page_id, CASE WHEN len(l) < 2 THEN CASE WHEN len(l) = 1 THEN 'x.html' END ELSE array_to_string(l[1:len(l) - 2] || ['x.html'], '/') END AS target FROM s WHERE len(l) >= 1 UNION ALL SELECT page_id, NULL FROM s WHERE len(l) = 0""")
+def sibling_paths(spark, sf_dir):
+    """Where the link ``../x.html``, or at the top ``x.html``, in a page's folder leads."""
+    path = P.uri_path(F.col("url"))
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    folder = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/")
+    link = F.when(F.size(parts) == 1, "./x.html").otherwise("../x.html")
+    return table(spark, sf_dir, "pages").select("page_id", P.joined(folder, link).alias("target"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid_search(spark, sf_dir)
 

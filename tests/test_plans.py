@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import patches
-from quillspark.plans import explore, graphs, history, index, search, slices
+from quillspark.functions import patches, paths, trees
+from quillspark.plans import explore, graphs, history, index, postings, search, slices
 from quillspark.sources import files
 from quillspark.streaming import refresh
 
@@ -219,3 +219,39 @@ def test_ignore_files_of_folders(spark):
     assert kept == {"x/keep.log", "x/y/a.log", "z/b.txt", "src/bin/main.rs", "build/o.txt", "z/top.txt"}
     assert {r.rel_path for r in files.wanted(rows).collect()} == set(paths) - {"build/o.txt"}
     assert files.kept_by_ignores(rows, ignores.limit(0)).count() == len(paths)
+
+
+def test_places_in_json(spark):
+    text = '{"a": {"b": [1, {"c": "x\\"}"}, []], "é": null}, "d" : -1.5e3, "": true}'
+    got = {p: text.encode()[a:b].decode() for p, a, b, _ in trees.places(text.encode())}
+    assert got == {"a.b.0": "1", "a.b.1.c": '"x\\"}"', "a.b.1": '{"c": "x\\"}"}', "a.b.2": "[]", "a.b": '[1, {"c": "x\\"}"}, []]', "a.é": "null", "a": got["a"], "d": "-1.5e3", "": text} | {"": got[""]}
+    assert json.loads(got["a"]) == json.loads(text)["a"] and list(trees.places(b"{bad")) == [] and [p[3] for p in trees.places(b"[]")] == ["list"]
+    rows = spark.createDataFrame([(1, text, "p"), (1, text, "q"), (2, None, "r"), (3, "no json", "s"), (4, '{"d":0}', "t")], "id int, j string, path string")
+    new = {r.path: r.j for r in trees.spliced(rows, "j", "d", '{"z": 1}').collect()}
+    assert new == {"p": text.replace("-1.5e3", '{"z": 1}'), "q": text.replace("-1.5e3", '{"z": 1}'), "r": None, "s": "no json", "t": '{"d":{"z": 1}}'}
+    assert trees.byte_ranges(rows.limit(0), "j").collect() == []
+
+
+def test_paths_of_any_depth(spark):
+    one = lambda f, t: spark.range(1).select(paths.joined(F.lit(f), F.lit(t)).alias("x")).first().x
+    assert one("a/b", "../../x") == "x" and one("a/b", "../../../x") is None and one("a", "./b//c/./d") == "a/b/c/d" and one("a/b", "../..") == "." and one("a", "/z") == "z"
+    deep = "/".join("abcdefghijklmnopqrstuvwxyz")
+    assert one(deep, "../" * 25 + "q") == "a/q" and one(deep, "..\\..\\q") == deep[:-4] + "/q"
+    rel = lambda p, r: spark.range(1).select(paths.relative_to(F.lit(p), F.lit(r)).alias("x")).first().x
+    assert rel("C:\\repo\\src\\a.rs", "C:/repo/") == "src/a.rs" and rel("./repo", "repo") == "." and rel("repository/a", "repo") == "repository/a"
+    declared = spark.createDataFrame([("apps/web", "../../x"), ("apps/web", "../../../x"), (".", "./x"), ("apps/web", "../none")], "module string, path string")
+    roots = spark.createDataFrame([("x",), ("apps/web",), (".",)], "root string")
+    assert {tuple(r) for r in graphs.declared_modules(declared, roots).collect()} == {("apps/web", "x"), (".", "x")}
+
+
+def test_postings_answer_many_names(spark):
+    texts = spark.createDataFrame([("a.py", "py", "def getUser(x):\n    return x  # get_user\n"), ("b.rs", "rs", "fn get_user(x: i32) {\n let s = \"getUser\";\n get_user(1); }"), ("c.ts", "ts", "GetUser();")], "rel_path string, ext string, text string")
+    index_ = postings.of_code(texts)
+    names = spark.createDataFrame([("get_user",), ("x",), ("none",)] + [(f"n{i}",) for i in range(1000)], "name string")
+    got = {(r.asked, r.rel_path): (r.uses, r.lines) for r in postings.found(index_, names).collect()}
+    assert got == {("get_user", "b.rs"): (2, [1, 3]), ("x", "a.py"): (2, [1, 2]), ("x", "b.rs"): (1, [1])}
+    cased = {(r.asked, r.name, r.rel_path) for r in postings.found(index_, names.limit(1), any_casing=True).collect()}
+    assert cased == {("get_user", "getUser", "a.py"), ("get_user", "get_user", "b.rs"), ("get_user", "GetUser", "c.ts")}
+    newer = postings.of_code(spark.createDataFrame([("a.py", "py", "y = 1")], "rel_path string, ext string, text string"))
+    after = postings.refreshed(index_, newer, spark.createDataFrame([("c.ts",)], "rel_path string"))
+    assert {(r.name, r.rel_path) for r in after.filter("rel_path <> 'b.rs'").collect()} == {("y", "a.py")} and after.filter("rel_path = 'b.rs'").count() == index_.filter("rel_path = 'b.rs'").count()
