@@ -63,11 +63,6 @@ def edge_weights(edges: DataFrame, source: str, target: str, weight: Column) ->
     return edges.filter(F.col(source) != F.col(target)).groupBy(source, target).agg(F.sum(weight).alias("weight"))
 
 
-def in_order(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """rows dealt by group and sorted in each task, for a fold that keeps only its state between batches."""
-    return rows.repartition(F.col(group)).sortWithinPartitions(group, *order)
-
-
 def first_per(rows: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key, with their rank."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)

@@ -1,18 +1,11 @@
-"""Sections, groups of lines, budgets that stop, choice among candidates, and upkeep of an index."""
+"""Sections, choice among candidates, and upkeep of an index."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from .relational import in_order
-
 LEVELS = 6
 
 
@@ -37,38 +30,6 @@ def section_ends(heads: DataFrame, key: str, at: str, level: str, last: Column)
     return heads.withColumn("__next", F.element_at(F.array(*nexts), F.col(level).cast("int"))).withColumn("end", F.coalesce(F.col("__next") - 1, last)).drop("__next")
 
 
-def line_groups(spans: DataFrame, key: str, low: str, high: str, most: int) -> DataFrame:
-    """key, first, last and n of runs of following spans that together reach over at most ``most`` lines.
-
-    A span that would make its run too long starts the next run, alone if it is
-    too long itself. Which run a span is in depends on where the run began,
-    which no window frame can say: each key's spans pass one task in order,
-    which keeps the open run.
-    """
-    own = spans.filter(F.col(key).isNotNull() & F.col(low).isNotNull() & F.col(high).isNotNull()).select(F.col(key).alias("k"), F.col(low).cast("long").alias("low"), F.col(high).cast("long").alias("high"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: list = []
-        for b in batches:
-            done = []
-            for k, low_, high_ in zip(*(b.column(c).to_pylist() for c in ("k", "low", "high")), strict=True):
-                if open_ and open_[0] == k and max(open_[2], high_) - open_[1] < most:
-                    open_[2], open_[3] = max(open_[2], high_), open_[3] + 1
-                else:
-                    done += [open_] if open_ else []
-                    open_ = [k, low_, high_, 1]
-            yield made(done)
-        yield made([open_] if open_ else [])
-
-    def made(runs: list) -> pa.RecordBatch:
-        columns = list(zip(*runs, strict=True)) if runs else [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["k", "first", "last", "n"])
-
-    kinds = [to_arrow_type(own.schema["k"].dataType), pa.int64(), pa.int64(), pa.int64()]
-    out = T.StructType([own.schema["k"], *[T.StructField(c, T.LongType()) for c in ("first", "last", "n")]])
-    return in_order(own, "k", ["low", "high"]).mapInArrow(run, out).withColumnRenamed("k", key)
-
-
 def resolve(rows: DataFrame, candidates: Column, known: DataFrame, name: str) -> DataFrame:
     """rows with name: the first of their candidates that known(name) has, null if it has none.
 

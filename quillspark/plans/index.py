@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import relational as R
-from ..operators import sections as C
+from ..operators import runs as U
 from ..operators import symbols as S
 from ..sources import files
 
@@ -41,7 +41,7 @@ def chunks(texts: DataFrame, chunk_lines: int = 60) -> DataFrame:
     one = small.select("rel_path", F.lit(1).alias("first"), F.col("n").alias("last"))
     starts = defined.join(large.select("rel_path", "n"), "rel_path").select("rel_path", "n", "line_no").distinct()
     spans = R.territory(starts, "rel_path", "line_no", F.col("n")).select("rel_path", F.col("line_no").alias("low"), F.col("end").alias("high"))
-    cut = C.line_groups(spans, "rel_path", "low", "high", most).select("rel_path", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
+    cut = U.line_groups(spans, "rel_path", "low", "high", most).select("rel_path", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
     before = starts.groupBy("rel_path").agg(F.min("line_no").alias("m")).filter("m > 1").select("rel_path", F.lit(1).alias("first"), (F.col("m") - 1).cast("int").alias("last"))
     plain = large.join(starts.select("rel_path").distinct(), "rel_path", "left_anti")
     at = F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / chunk_lines).cast("int"))).alias("i")

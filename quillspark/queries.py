@@ -14,6 +14,7 @@ from .functions import text as X
 from .functions import trees as J
 from .operators import packing as B
 from .operators import relational as R
+from .operators import runs as U
 from .operators import sections as C
 from .operators import skeletons as N
 from .plans import explore as D
@@ -296,7 +297,7 @@ CASE WHEN greatest(g.last, s.high) - g.first < 80 THEN g.run ELSE g.run + 1 END
 SELECT user_id, min(first)::BIGINT AS first, max(last)::BIGINT AS last, count(*) AS n FROM g GROUP BY user_id, run""")
 def line_grouping(spark, sf_dir):
     spans = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 5000).alias("low"), (F.col("event_id") % 5000 + 30).alias("high"))
-    return C.line_groups(spans, "user_id", "low", "high", 80)
+    return U.line_groups(spans, "user_id", "low", "high", 80)
 
 
 # Slices, maps, skeletons, chunks and data files over the tables: a document is a file of its source's folder.

@@ -12,6 +12,7 @@ from quillspark.functions import paths as P
 from quillspark.functions import text as X
 from quillspark.operators import packing
 from quillspark.operators import relational as R
+from quillspark.operators import runs as U
 from quillspark.operators import sections as C
 from quillspark.operators import symbols
 from quillspark.sources import files
@@ -138,20 +139,29 @@ def test_headings_and_sections(spark):
     assert [(r.title, r.level, r.line_no, r.end) for r in got] == [("One", 1, 1, 8), ("Two", 2, 3, 7), ("Three", 3, 7, 7), ("Four", 2, 8, 8), ("Five", 1, 9, 10)]
 
 
-def test_line_groups_equal_brute_force(spark):
-    r = random.Random(2)
-    spans = [(f"f{k}", low, low + r.randint(0, 40)) for k in range(5) for low in r.sample(range(400), 30)] + [("g", 1, 500), ("g", 2, 3), ("h", None, 3)]
-    want = []
+def folded_runs(spans, most):
+    out = []
     for key in sorted({k for k, low, _ in spans if low is not None}):
-        runs = []
+        open_ = []
         for low, high in sorted((a, b) for k, a, b in spans if k == key):
-            if runs and max(runs[-1][1], high) - runs[-1][0] < 80:
-                runs[-1] = [runs[-1][0], max(runs[-1][1], high), runs[-1][2] + 1]
+            if open_ and max(open_[-1][1], high) - open_[-1][0] < most:
+                open_[-1] = [open_[-1][0], max(open_[-1][1], high), open_[-1][2] + 1]
             else:
-                runs.append([low, high, 1])
-        want += [(key, *x) for x in runs]
-    got = C.line_groups(spark.createDataFrame(spans, "k string, low long, high long"), "k", "low", "high", 80)
-    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+                open_.append([low, high, 1])
+        out += [(key, *x) for x in open_]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("fold", [512, 20, 0])
+def test_line_groups_equal_brute_force(spark, fold):
+    """Overlapping, repeated and too long spans, a hot key; all keys as arrays, some, none."""
+    r = random.Random(2)
+    spans = [(f"f{k}", low, low + r.randint(0, 40)) for k in range(5) for low in r.sample(range(400), 30)] + [("g", 1, 500), ("g", 2, 3), ("h", None, 3)]
+    spans += [("hot", low, low + r.choice([0, 1, 10, 79, 80, 200])) for low in (r.randint(0, 6000) for _ in range(600))] + [("same", 5, 300)] * 30
+    df = spark.createDataFrame(spans, "k string, low long, high long").repartition(6)
+    got = U.line_groups(df, "k", "low", "high", 80, fold)
+    assert got.columns == ["k", "first", "last", "n"] and sorted(tuple(x) for x in got.collect()) == folded_runs(spans, 80)
+    assert U.line_groups(df.limit(0), "k", "low", "high", 80, fold).collect() == []
 
 
 def test_paths(spark):
