@@ -24,6 +24,7 @@ from .plans import index as I
 from .plans import postings as O
 from .plans import search as S
 from .plans import slices as L
+from .plans import workspace as K
 from .sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -369,6 +370,34 @@ def slices_by_source(spark, sf_dir):
     return L.sliced(L.by_importance(docs), ["-score"], 20_000, group="source").select("source", "rel_path", "tokens")
 
 
+def greedy_sql(name: str, k: str) -> str:
+    """SQL for name(g, n, used, kept): greedy steps over the rows of a table k(g, n, size, room)."""
+    return f"""{name} AS (SELECT DISTINCT g, 0::BIGINT AS n, 0::BIGINT AS used, false AS kept FROM {k} UNION ALL
+SELECT k.g, k.n, CASE WHEN p.used + k.size <= k.room THEN p.used + k.size ELSE p.used END, p.used + k.size <= k.room FROM {name} p JOIN {k} k ON k.g = p.g AND k.n = p.n + 1)"""
+
+
+@query(f"""WITH RECURSIVE o AS MATERIALIZED (SELECT {PATHS} AS path, CASE WHEN source LIKE '%7' THEN '*' ELSE source END AS member, CASE WHEN source LIKE '%7' THEN 2 ELSE 1 END AS place, octet_length(encode(text)) + 33 + octet_length(encode({PATHS})) AS size FROM documents),
+l AS (SELECT DISTINCT place, member, 0 AS kind, '' AS path, CASE WHEN member = '*' THEN '# OTHER (outside of members)' ELSE '# ' || member || ' (' || member || ')' END AS line FROM o UNION ALL SELECT place, member, 1, path, path FROM o),
+u AS (SELECT *, row_number() OVER w AS no, 24 + sum(octet_length(encode(line)) + 1) OVER w AS upto FROM l WINDOW w AS (ORDER BY place, member, kind, path ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT '# REPOSITORY_MAP' || chr(10) || '# ROOT (workspace root)' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY no) FILTER (WHERE upto <= 98304) || CASE WHEN count_if(upto > 98304) > 0 THEN chr(10) || '# ... (truncated)' || chr(10) ELSE '' END AS map FROM u),
+f AS MATERIALIZED (SELECT 104 + octet_length(encode(map)) AS fixed, 800000 - 104 - octet_length(encode(map)) AS rest FROM m),
+i AS MATERIALIZED (SELECT o.* FROM o, f WHERE size <= rest),
+d AS MATERIALIZED (SELECT place, member, sum(size)::BIGINT AS need FROM i GROUP BY ALL),
+r AS (SELECT need, sum(need) OVER w - need AS before, count(*) OVER () - row_number() OVER w + 1 AS n FROM d WINDOW w AS (ORDER BY need, member ROWS UNBOUNDED PRECEDING)),
+v AS MATERIALIZED (SELECT greatest(16000, coalesce((SELECT ((rest - before) // n)::BIGINT FROM r, f WHERE need * n >= rest - before ORDER BY need, before LIMIT 1), (SELECT max(need) FROM d))) AS share),
+a AS (SELECT member, least(need, share) AS s, rest - (sum(least(need, share)) OVER (ORDER BY place, member ROWS UNBOUNDED PRECEDING) - least(need, share)) AS b FROM d, v, f),
+k AS MATERIALIZED (SELECT i.path, i.member AS g, i.size, greatest(0, least(s, b)) AS room, row_number() OVER (PARTITION BY i.member ORDER BY i.path) AS n FROM i JOIN a USING (member)), {greedy_sql("p", "k")},
+x AS MATERIALIZED (SELECT path, size FROM p JOIN k USING (g, n) WHERE kept),
+z AS MATERIALIZED (SELECT rest - coalesce((SELECT sum(size) FROM x), 0) AS room FROM f),
+k2 AS MATERIALIZED (SELECT i.path, 0 AS g, i.size, room, row_number() OVER (ORDER BY place, member, i.path) AS n FROM i, z WHERE size <= room AND i.path NOT IN (SELECT path FROM x)), {greedy_sql("p2", "k2")},
+t AS (SELECT path FROM x UNION ALL SELECT path FROM p2 JOIN k2 USING (g, n) WHERE kept)
+SELECT member, row_number() OVER w::INT AS position, path AS rel_path, ceil((fixed + sum(size) OVER w) / 4.0)::BIGINT AS tokens FROM t JOIN o USING (path), f WINDOW w AS (ORDER BY place, member, path ROWS UNBOUNDED PRECEDING)""")
+def workspace_slices(spark, sf_dir):
+    docs = document_files(spark, sf_dir)
+    members = docs.select(F.col("source").alias("root")).filter("source NOT LIKE '%7'").distinct()
+    return K.workspace_slice(docs.select("rel_path", "ext", "bytes", "text"), members, 200_000)[0].select("member", "position", "rel_path", "tokens")
+
+
 @query(f"""WITH o AS (SELECT 0 AS g, {PATHS} AS path FROM documents), {map_sql("o", "g")} SELECT md5(map) AS repo_map FROM m""")
 def repository_map(spark, sf_dir):
     return L.repository_map(document_files(spark, sf_dir)).select(F.md5("repo_map").alias("repo_map"))
