@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions.paths import normal_path
 from ..operators.relational import first_per
+from ..sources.versions import Versions
 
 SCHEMA = "tag string, path string, symbol string, code string, line_no int, line_end int, created_unix_ms long, namespace string"
 #: The tag that stands for the present state.
@@ -79,6 +80,16 @@ def deleted(rows: DataFrame, symbol: str | None = None, tag: str | None = None,
     return rows.filter(~F.coalesce(meant(symbol, tag, path, namespace), F.lit(False)))
 
 
+def delete(table: Versions, **what: str | None) -> int:
+    """Rewrites a table of checkpoints without those that are ``meant`` (see ``deleted``) and returns how many went; jobs that read it go on."""
+    old = table.read()
+    stays = deleted(old, **what)
+    n = old.count() - stays.count()
+    if n:
+        table.replace(stays)
+    return n
+
+
 def versions(rows: DataFrame) -> DataFrame:
     """rows with changed: whether the code differs from the version before of the same symbol and path."""
     before = F.lag(F.btrim("code", F.lit(BLANKS))).over(Window.partitionBy("namespace", "path", "symbol").orderBy("created_unix_ms", "tag"))

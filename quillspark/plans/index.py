@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +16,8 @@ from ..operators import relational as R
 from ..operators import runs as U
 from ..operators import symbols as S
 from ..sources import files
+from ..sources.scratch import Tables
+from ..sources.versions import Versions
 
 #: Texts up to so many bytes are one chunk; least and most lines of a chunk made of symbols.
 WHOLE_BYTES, LEAST_LINES, MOST_LINES = 8192, 20, 80
@@ -77,13 +78,8 @@ def hashed_vectors(rows: DataFrame, dims: int = 256) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """The index at a path; an empty one where there is none or it has other columns."""
-    nothing = spark.createDataFrame([], EMPTY)
-    try:
-        rows = spark.read.parquet(path)
-    except AnalysisException:
-        return nothing
-    return rows.select(*nothing.columns) if set(nothing.columns) <= set(rows.columns) else nothing
+    """The newest index at a path; an empty one where there is none or it has other columns."""
+    return Versions(spark, path, EMPTY).read()
 
 
 def usable(index: DataFrame, model: str, chunk_lines: int) -> DataFrame:
@@ -119,9 +115,22 @@ def counters(statuses: DataFrame) -> DataFrame:
     return statuses.agg(F.count_if(status == "new").alias("added"), F.count_if(status.isin("resized", "changed")).alias("updated"), F.count_if(status == "deleted").alias("deleted"), F.count_if(status == "same").alias("same"))
 
 
-def save(index: DataFrame, path: str) -> None:
-    """Writes the index anew, one folder beside the old: read it before by ``load`` from another path."""
-    index.write.mode("overwrite").parquet(path)
+def save(index: DataFrame, path: str) -> int:
+    """Makes index, which may be made from what ``load`` read there, the newest version at the path; jobs that read an older one go on."""
+    return Versions(index.sparkSession, path, EMPTY).replace(index)
+
+
+def kept_up(spark: SparkSession, path: str, texts: DataFrame, embed: Callable[[DataFrame], DataFrame], model: str, chunk_lines: int = 60) -> DataFrame:
+    """Brings the index at a path in step with texts in place and returns its ``counters``; without a change nothing is written."""
+    old = load(spark, path)
+    known = old.select("path", "version", ((F.col("model") == model) & (F.col("chunk_lines") == chunk_lines)).alias("ours")).distinct().filter("ours")
+    now = texts.select(F.col("rel_path").alias("path"), F.md5("text").alias("now"))
+    status = F.when(F.col("version").isNull(), "new").when(F.col("now").isNull(), "deleted").when(F.col("version") == F.col("now"), "same").otherwise("changed")
+    did = Tables(spark, "counters").put(counters(known.join(now, "path", "full").select(status.alias("status"))), "row")
+    got = did.first()
+    if got.added or got.updated or got.deleted or not old.filter(~((F.col("model") == model) & (F.col("chunk_lines") == chunk_lines))).isEmpty():
+        save(refreshed(old, texts, embed, model, chunk_lines), path)
+    return did
 
 
 def indexable(found: DataFrame) -> DataFrame:
