@@ -1,10 +1,13 @@
 """Tables replaced in place, and state between batches of a stream."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.plans import history, index
 from quillspark.sources.versions import Versions
+from quillspark.streaming import state
 from tests.test_plans import frame
 
 
@@ -53,3 +56,25 @@ def test_checkpoints_are_deleted_in_place(spark, tmp_path):
     table.replace(spark.createDataFrame(rows, history.SCHEMA))
     assert history.delete(table, tag="v1") == 1 and history.delete(table, tag="v1") == 0 and table.newest()[0] == 2
     assert history.delete(table, namespace="n") == 2 and table.read().collect() == []
+
+
+def test_state_between_batches(spark, tmp_path):
+    """Changed, deleted, late and expired entries; each file is a batch, and every run goes on from the state of the one before."""
+    state.use_state(spark)
+    schema, got, n = "path string, version string, seen timestamp, gone boolean", [], iter(range(99))
+
+    def run(*rows):
+        text = "".join(json.dumps({"path": p, "version": v, "seen": f"2024-01-0{d} {h:02}:00:00", "gone": g}) + "\n" for p, v, d, h, g in rows)
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{next(n)}.json").write_text(text)
+        got.clear()
+        stream = state.newest_versions(spark.readStream.schema(schema).json(str(tmp_path / "in")))
+        each = lambda batch, _: got.extend((r.path, r.version, r.before, r.status) for r in batch.collect())
+        query = stream.writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        return sorted(got)
+
+    assert run(("a", "1", 1, 1, False), ("b", "1", 1, 1, False), ("c", "1", 1, 1, False), ("c", "2", 1, 2, False), (None, "1", 1, 1, False)) == [("a", "1", None, "new"), ("b", "1", None, "new"), ("c", "2", None, "new")]
+    assert run(("a", "2", 1, 5, False), ("b", None, 1, 5, True), ("c", "2", 1, 9, False), ("x", None, 1, 6, True)) == [("a", "2", "1", "changed"), ("b", "1", "1", "deleted")]
+    assert run(("a", "0", 1, 3, False), ("c", "3", 2, 8, False)) == [("a", "2", "2", "expired"), ("c", "3", "2", "changed")]
+    assert run(("a", "2", 2, 9, False), ("b", "1", 2, 9, False)) == [("a", "2", None, "new"), ("b", "1", None, "new")]
