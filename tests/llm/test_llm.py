@@ -278,6 +278,27 @@ def test_line_classes_equal_brute_force(spark, monkeypatch, block):
     assert len(set(want.values())) < len(want) - 40 and len(wrong) <= 0.01 * len(want)
 
 
+def test_line_classes_at_the_threshold(spark):
+    """Short lines, lines that repeat themselves or a few signs or words, and lines with an edit in 46 to 50 characters."""
+    r = random.Random(11)
+    lines = ["=" * k for k in (5, 9, 40, 300, 301)] + ["ab" * k for k in (4, 20, 200)] + ["".join(r.choices("01", k=k)) for k in (60, 200, 200, 600)]
+    for n in range(4, 40):
+        short = "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+        lines += [short, short + "~", short + "~~"]
+    few = ["".join(r.choices("abcdefghijkl", k=5)) for _ in range(10)]
+    lines += [" ".join(r.choices(few, k=k)) for k in (400, 600, 900)]
+    for _ in range(200):
+        line = "".join(r.choices("abcdefghijklmnop ", k=r.randint(48, 700))).strip()
+        edits, other = len(line) // 48, list(line)
+        for k in range(edits):
+            other[int((k + 0.5) * len(line) / edits)] = r.choice("QZXY")
+        lines += [line, "".join(other)]
+    unique = list(dict.fromkeys(lines))
+    want = plain_classes(unique)
+    rows = spark.createDataFrame(list(enumerate(unique)), "doc_id long, text string")
+    assert {x.doc_id: x.class_doc_id for x in line_dedup.line_classes(rows).collect()} == want
+
+
 def test_line_classes_recall_on_tables(spark):
     """Against brute force over all pairs of lines that share a rare shingle, on the whole smallest table."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
