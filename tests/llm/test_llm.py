@@ -311,6 +311,20 @@ def test_line_classes_recall_on_tables(spark):
     assert all(got[i] >= want[i] for i in want)
 
 
+def test_line_pairs_by_fine_sketches(spark):
+    """Long lines of one vocabulary, which 512 parity bits cannot tell apart, are no candidates; linked ones are, also when one is below LONG."""
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdefghijklmnop", k=r.randint(3, 8))) for _ in range(900)]
+    lines = [" ".join(r.choices(words, k=600)) for _ in range(6)]
+    lines += [x[:1500] + "Q" + x[1501:] for x in lines] + [lines[0][:990], lines[0][:1010]]
+    table = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(lines)], "id long, line string, n_chars int")
+    marks = Scratch(spark, "t").table(line_dedup.sketches(table, table.select("id")), "marks")
+    pairs = spark.createDataFrame([(i, j) for j in range(14) for i in range(j)], "a long, b long")
+    pairs = pairs.join(marks.toDF("a", "u"), "a").join(marks.toDF("b", "v"), "b")
+    got = {(x.a, x.b) for x in line_dedup.finely_close(pairs.filter(line_dedup.may_be_close("u", "v"))).collect()}
+    assert got == {(i, i + 6) for i in range(6)} | {(12, 13)}
+
+
 def test_line_dedup_odd_inputs(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = spark.createDataFrame([(None, "a\n\nlonger line here"), (5, "a"), (5, "a"), (6, long), (7, long + "!")], "doc_id long, text string")
