@@ -325,6 +325,19 @@ def test_line_pairs_by_fine_sketches(spark):
     assert got == {(i, i + 6) for i in range(6)} | {(12, 13)}
 
 
+def test_line_keys_of_one_vocabulary(spark):
+    """Long lines of one small vocabulary, of which no two are linked, seldom share a key; an edited copy shares several."""
+    r = random.Random(5)
+    parts = ["the", "er", "ing", "an", "tion", "re", "on", "th", "ed", "ent", "or", "at", "is", "es", "en", "ou"]
+    lines = [" ".join("".join(r.choices(parts, k=r.randint(1, 4))) for _ in range(200)) for _ in range(1000)]
+    lines += ["Z".join(x[i : i + 60] for i in range(0, len(x), 60)) for x in lines[:50]]
+    table = line_dedup.probed(spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(lines)], "id long, line string, n_chars int"))
+    keys = line_dedup.candidates(table.filter("NOT again AND n_chars < 2000").withColumn("n_chars", F.least("n_chars", F.lit(999)))).distinct()
+    met = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("a", "b").distinct().collect()
+    other = [x for x in met if x.b != x.a + 1000]
+    assert len(met) - len(other) >= 40 and len(other) <= 20
+
+
 def test_line_dedup_odd_inputs(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = spark.createDataFrame([(None, "a\n\nlonger line here"), (5, "a"), (5, "a"), (6, long), (7, long + "!")], "doc_id long, text string")
